@@ -17,6 +17,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trackweave.llm.bpe import VOCABULARY, encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, digest=True)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackweave.llm.lines import line_dedup
 
