@@ -11,6 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trackweave.llm.packing import VOCABULARY, pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackweave.llm.secrets import secret_scan
 
