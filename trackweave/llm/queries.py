@@ -45,6 +45,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.media import payload_features, store
+
+    return payload_features(store(_table(spark, sf_dir, "documents")))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackweave.llm.simhash import simhash_groups
 
