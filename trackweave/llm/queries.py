@@ -19,6 +19,12 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op4_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.mtree import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), "pmod(vec_id, 50) = 0")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackweave.llm.secrets import secret_scan
 
