@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.kneser_ney import quality
+
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
