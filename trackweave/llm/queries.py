@@ -18,6 +18,12 @@ def op1_quality_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackweave.llm.html import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
