@@ -14,10 +14,16 @@ TABLES = {
 }
 TABLES["dense_preds"] = f"SELECT sequence_id, src % 200 AS src, dst % 200 AS dst, p0, p1, p2, y, dataloader_idx FROM ({TABLES['preds']}) WHERE src % 200 <> dst % 200"
 
+TABLES["base"] = TABLES["tracks"]
+#: Variants of tracks; they also stand as tracks for the common parts of a query.
+_EARLY = f"SELECT * FROM ({TABLES['tracks']}) WHERE (t < 12 OR label_track >= 40) AND (t >= 15 OR label_track < 40)"
+_BRIEF = f"SELECT sequence_id, index, t, CASE WHEN label_track % 4 = 0 THEN label_track * 1000 + CAST(floor(t / 2) AS BIGINT) ELSE label_track END AS label_track, CASE WHEN label_track % 8 = 1 THEN parent_track ELSE 0 END AS parent_track, center_0, center_1, cell_source FROM ({TABLES['tracks']})"
+VARIANTS = {"early": f"early AS ({_EARLY}), tracks AS (SELECT * FROM early)", "brief": f"brief AS ({_BRIEF}), tracks AS (SELECT * FROM brief)"}
+
 
 def sql(body: str, *tables: str) -> str:
     """The query with the named tables before it."""
-    return "WITH RECURSIVE " + ", ".join(f"{t} AS ({TABLES[t]})" for t in tables) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
+    return "WITH RECURSIVE " + ", ".join(VARIANTS.get(t) or f"{t} AS ({TABLES[t]})" for t in tables) + (", " if body.lstrip().startswith("+") else " ") + body.lstrip().removeprefix("+")
 
 
 def r(expression: str, name: str) -> str:
