@@ -81,16 +81,16 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_w
     different ids: all but the first lose their runs. Empty table: no rows.
     """
     gone = repeated_runs(docs, ident, text, min_words).distinct()
-    gone = gone.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("_gone"))
-    gone = gone.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_k"), F.col("th").alias("_th"), "_gone").hint("shuffle_hash")
-    keyed = docs.withColumn("_k", F.coalesce(F.col(ident).cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(text))
-    out = keyed.join(gone, ["_k", "_th"], "left")
+    gone = gone.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("__tw_gone"))
+    gone = gone.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__tw_k"), F.col("th").alias("__tw_th"), "__tw_gone").hint("shuffle_hash")
+    keyed = docs.withColumn("__tw_k", F.coalesce(F.col(ident).cast("string"), F.lit(""))).withColumn("__tw_th", F.xxhash64(text))
+    out = keyed.join(gone, ["__tw_k", "__tw_th"], "left")
     # Merge the stretches in order, then keep what lies between them.
-    merged = "aggregate(array_sort(_gone), array(struct(-2 as first, -2 as last)), (a, x) -> if(x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first as first, greatest(element_at(a, -1).last, x.last) as last))), concat(a, array(x))))"
-    out = out.withColumn("_cut", F.when(F.col("_gone").isNotNull(), F.expr(merged)))
-    out = out.withColumn("_l", F.when(F.col("_gone").isNotNull(), _numbered_lines(F.col(text))))
-    kept = "flatten(transform(sequence(1, size(_cut)), c -> slice(_l, element_at(_cut, c).last + 2 + if(c = 1, 1, 0), greatest(0, if(c = size(_cut), size(_l), element_at(_cut, c + 1).first) - element_at(_cut, c).last - 1 - if(c = 1, 1, 0)))))"
-    cleaned = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.expr(f"array_join({kept}, '\\n')"))
-    removed = F.coalesce(F.expr("aggregate(slice(_cut, 2, greatest(size(_cut) - 1, 0)), 0, (a, x) -> a + x.last - x.first + 1)"), F.lit(0))
+    merged = "aggregate(array_sort(__tw_gone), array(struct(-2 as first, -2 as last)), (a, x) -> if(x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first as first, greatest(element_at(a, -1).last, x.last) as last))), concat(a, array(x))))"
+    out = out.withColumn("__tw_cut", F.when(F.col("__tw_gone").isNotNull(), F.expr(merged)))
+    out = out.withColumn("__tw_l", F.when(F.col("__tw_gone").isNotNull(), _numbered_lines(F.col(text))))
+    kept = "flatten(transform(sequence(1, size(__tw_cut)), c -> slice(__tw_l, element_at(__tw_cut, c).last + 2 + if(c = 1, 1, 0), greatest(0, if(c = size(__tw_cut), size(__tw_l), element_at(__tw_cut, c + 1).first) - element_at(__tw_cut, c).last - 1 - if(c = 1, 1, 0)))))"
+    cleaned = F.when(F.col("__tw_cut").isNull(), F.col(text)).otherwise(F.expr(f"array_join({kept}, '\\n')"))
+    removed = F.coalesce(F.expr("aggregate(slice(__tw_cut, 2, greatest(size(__tw_cut) - 1, 0)), 0, (a, x) -> a + x.last - x.first + 1)"), F.lit(0))
     names = [c for c in docs.columns if c != "n_removed"]
     return out.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], removed.alias("n_removed"))

@@ -39,7 +39,7 @@ def integer_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
             ids, column = batch.column(0), batch.column(1)
             offsets, values = column.offsets.to_numpy(), column.values
             known = np.asarray(values.is_valid())
-            x = np.nan_to_num(values.to_numpy(zero_copy_only=False).astype(np.float64), nan=np.nan) if len(values) else np.zeros(0)
+            x = values.to_numpy(zero_copy_only=False).astype(np.float64) if len(values) else np.zeros(0)
             fine = known & np.isfinite(x)
             whole = np.floor(SCALE * np.where(fine, x, 0)).astype("<i8")
             valid = np.asarray(column.is_valid()) & np.asarray(ids.is_valid())

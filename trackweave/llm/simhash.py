@@ -145,18 +145,18 @@ def near_pairs(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes:
     pairs = met.select(F.explode(F.array("least", "before")).alias("a"), F.col("id").alias("b")).distinct()
     pairs = materialize(pairs, "near-candidates")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "t0", "t1"), "id")
-    sides = sides.select(F.col("id").alias("_i"), F.col("t0").alias("_t0"), F.col("t1").alias("_t1"))
-    wanted = docs.select(F.col(ident).alias("_i"), F.col(text).alias("_x"), *_content(text)).join(sides.hint("shuffle_hash"), ["_i", "_t0", "_t1"], "left_semi")
-    sets = materialize(_shingle_sets(wanted, "_i", "_x").dropDuplicates(["id"]), "near-shingles")
+    sides = sides.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
+    wanted = docs.select(F.col(ident).alias("__tw_i"), F.col(text).alias("__tw_x"), *_content(text)).join(sides.hint("shuffle_hash"), ["__tw_i", "__tw_t0", "__tw_t1"], "left_semi")
+    sets = materialize(_shingle_sets(wanted, "__tw_i", "__tw_x").dropDuplicates(["id"]), "near-shingles")
     left = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), ["a"], by=F.col("b"), salts=4)
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
 
 def _content(text: str) -> list[Column]:
-    """_t0 and _t1: 96 bits of hash that stand for a text; null counts as empty."""
+    """__tw_t0 and __tw_t1: 96 bits of hash that stand for a text; null counts as empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(whole).alias("_t0"), F.hash(whole).alias("_t1")]
+    return [F.xxhash64(whole).alias("__tw_t0"), F.hash(whole).alias("__tw_t1")]
 
 
 def _shingle_sets(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -208,8 +208,8 @@ def near_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", simil
     gone = labels.where("label != node").join(nodes.select(F.col("id").alias("node"), "t0", "t1"), "node").select("t0", "t1")
     kept = texts.join(gone, ["t0", "t1"], "left_anti")
     name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
-    keys = ["_t0", "_t1", "_i"]
-    kept = materialize(kept.select(F.col("t0").alias("_t0"), F.col("t1").alias("_t1"), name(F.col("id")).alias("_i"), "n"), "near-kept")
+    keys = ["__tw_t0", "__tw_t1", "__tw_i"]
+    kept = materialize(kept.select(F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"), name(F.col("id")).alias("__tw_i"), "n"), "near-kept")
     stays = docs.withColumns(dict(zip(keys, (*_content(text), name(F.col(ident))), strict=True))).join(kept.drop("n").hint("shuffle_hash"), keys, "left_semi")
     if not kept.where("n > 1").isEmpty():
         stays = stays.dropDuplicates(keys)
