@@ -42,3 +42,55 @@ def test_edge_store(spark, tmp_path):
     assert store.get(StoreMeta(20.0, True, strides=[4]), compute).count() == 0 and 4 in store.meta().strides
     plan = store.scan([1], 20.0, False)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "PartitionFilters" in plan
+
+
+def test_layout():
+    from trackweave.sources import layout
+
+    assert layout.sequences(["01", "01_GT", "02_GT", "03"], "ctc") == ["01", "03"]
+    assert layout.sequences(["a_masks.tif", "a.tif", "b_masks.tiff", "c_mask.tif"], "flat") == ["a", "b"]
+    assert layout.sequences([], "dirs", "masks", {"s1": ["masks.tif"], "s2": ["img"], "s3": ["masks"]}) == ["s1", "s3"]
+    assert layout.mask_folder(["01_GT/SEG", "01_GT/TRA"], "01") == "01_GT/TRA" and layout.mask_folder([], "01") == "01"
+    assert layout.find_lineage(["d/states.txt", "d/e/man_track.txt"], "d/e/f") == "d/e/man_track.txt"
+    assert layout.choose_checkpoint(["epoch=3.ckpt", "epoch=12.ckpt"]) == "epoch=12.ckpt" and layout.choose_checkpoint(["last.ckpt", "best.ckpt"]) == "best.ckpt"
+    assert layout.shared_id("exp1_images.tif", "exp1_masks.tif") == "exp1" and layout.shared_id("a.tif", "b.tif") == "b"
+    assert layout.results_exist(["s_tracks.csv", "s_tracks.tif"], "s", "flat") and not layout.results_exist(["s_tracks.csv"], "s", "flat") and layout.results_exist(["s_RES/x"], "s", "ctc")
+    assert layout.spacing([1, 2, 3, 4])["x"] == 4.0 and layout.spacing({"z": 2})["t"] == 1.0
+    with pytest.raises(ValueError):
+        layout.spacing([1, 2])
+
+
+def test_tiff(spark, tmp_path):
+    import numpy as np
+
+    from trackweave.sources import tiff
+
+    rng = np.random.default_rng(1)
+    stack = [rng.integers(0, 4, (7, 9)).astype(np.uint16) for _ in range(3)]
+    for deflate in (True, False):
+        assert all((a == b).all() for a, b in zip(stack, tiff.decode(tiff.encode(stack, deflate)), strict=True))
+    (tmp_path / "seq").mkdir()
+    for t, page in enumerate(stack):
+        (tmp_path / "seq" / f"t{t:03d}.tif").write_bytes(tiff.encode([page]))
+    pixels = tiff.read_pixels(spark, f"file://{tmp_path}/seq/*.tif")
+    got = {(r.t, r.y, r.x): r.label for r in pixels.collect()}
+    assert got == {(t, y, x): int(v) for t, page in enumerate(stack) for (y, x), v in np.ndenumerate(page) if v}
+    files = tiff.frame_files(pixels, spark.createDataFrame([("seq", 7, 9)], "sequence_id string, height int, width int")).collect()
+    assert all((tiff.decode(bytes(r.content))[0] == stack[r.t]).all() for r in files) and len(files) == 3
+    with pytest.raises(ValueError):
+        tiff.decode(b"PNG")
+
+
+def test_node_cache(spark, tmp_path):
+    from trackweave.sources import sinks
+
+    nodes = spark.createDataFrame([("s", 0, 1.0), ("s", 1, 3.0)], "sequence_id string, index long, area double")
+    path = f"file://{tmp_path}/cache"
+    assert sinks.read_nodes(spark, path, ["area"], {"t": 1.0}, "x") is None
+    sinks.write_nodes(nodes, path, {"t": 1.0}, "x")
+    assert sinks.read_nodes(spark, path, ["area"], {"t": 1.0}, "x").count() == 2
+    assert sinks.read_nodes(spark, path, ["solidity"], {"t": 1.0}, "x") is None and sinks.read_nodes(spark, path, ["area"], {"t": 2.0}, "x") is None
+    p = spark.createDataFrame([(float(k),) for k in range(101)], "intensity double")
+    assert sinks.cached_percentiles(spark, f"{path}/p", p, 0.1, 0.9) == [10.0, 90.0] == sinks.cached_percentiles(spark, f"{path}/p", p.where("false"), 0.1, 0.9)
+    shown = sinks.display_rows(spark.createDataFrame([(1, 0), (2, 1)], "label long, t int"), spark.createDataFrame([(2, 1)], "label long, parent long"))
+    assert {(r.label, r.parent) for r in shown.collect()} == {(1, 0), (2, 1)}
