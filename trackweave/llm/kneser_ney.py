@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import materialize, salted_join
 
 #: Characters of an n-gram, characters of a block of texts.
-ORDER, BLOCK_CHARS = 4, 8_000_000
+ORDER, BLOCK_CHARS = 4, 4_000_000
 #: One trusted text in HELD_OUT sets thresholds instead of training; the quantile of their perplexities, and by what
 #: factor a text may exceed it.
 HELD_OUT, QUANTILE, MARGIN = 10, 0.995, 1.25
@@ -39,7 +39,7 @@ SENT = 1_000_000
 
 def _dense(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order, and each value's place among them; by counting where the range allows."""
-    if len(codes) and codes.max() < 50_000_000 and codes.max() < 64 * len(codes) + 1_000_000:
+    if len(codes) and codes.max() < 4 * len(codes) + 1_000_000:
         seen = np.zeros(int(codes.max()) + 1, np.bool_)
         seen[codes] = True
         values = np.flatnonzero(seen)
@@ -58,21 +58,27 @@ class Grams:
 
     def __init__(self, texts: list[str], order: int) -> None:
         pad = BEGIN * (order - 1)
-        joined = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        joined = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le"), "<i4")
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths + order - 1)
         self.lengths = lengths
         self.real = np.ones(len(joined), bool)
         for k in range(order - 1):
             self.real[ends - lengths - 1 - k] = False
-        alphabet, at = _dense(joined.astype(np.int64))
-        self.alphabet = alphabet
+        alphabet, at = _dense(joined)
+        del joined
         self.number = [at]  # by order - 1: the gram that ends at each character
         self.shorter: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(len(alphabet), np.int32), np.zeros(len(alphabet), np.int32))]  # of each gram: its context, its suffix
         self.text: list[np.ndarray] = [alphabet[:, None]]  # code points of each gram
         for n in range(2, order + 1):
-            before = np.concatenate((np.zeros(1, np.int64), self.number[-1][:-1].astype(np.int64)))
-            values, place = _dense(before * len(alphabet) + at)
+            # Half the width where the numbers allow it; they are what a block's memory goes to.
+            before = self.number[-1] if len(self.text[-1]) * len(alphabet) < 1 << 31 else self.number[-1].astype(np.int64)
+            codes = np.empty_like(before)
+            codes[:1], codes[1:] = 0, before[:-1]
+            codes *= len(alphabet)
+            codes += at
+            values, place = _dense(codes)
+            del codes
             context, last = values // len(alphabet), values % len(alphabet)
             suffix = np.zeros(len(values), np.int32)
             suffix[place] = self.number[-1]
@@ -90,17 +96,17 @@ class Grams:
         return [flat[i : i + n] for i in range(0, len(flat), n)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Whole texts in order, some BLOCK_CHARS characters together; a block's name tells its ids and lengths."""
     import xxhash
 
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def block() -> tuple[str, pa.Table]:
+    def block() -> tuple[int, pa.Table]:
         table = pa.Table.from_batches(held)
         lengths = pa.compute.utf8_length(table["text"]).to_pylist()
-        return xxhash.xxh3_128_hexdigest(repr(list(zip(table["id"].to_pylist(), lengths, strict=True)))), table
+        return xxhash.xxh3_64_intdigest(repr(list(zip(table["id"].to_pylist(), lengths, strict=True)))) - (1 << 63), table
 
     for batch in batches:
         lengths = np.cumsum(pa.compute.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -129,9 +135,9 @@ def packed_blocks(texts: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([zstandard.ZstdCompressor(3).compress(sink.getvalue())], pa.binary())], names=["block", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([zstandard.ZstdCompressor(8).compress(sink.getvalue())], pa.binary())], names=["block", "docs"])
 
-    return texts.mapInArrow(run, "block string, docs binary")
+    return texts.mapInArrow(run, "block long, docs binary")
 
 
 def _unpacked(data: bytes) -> pa.Table:
@@ -147,14 +153,14 @@ def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "gram", "n"]
         for name, table in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([""]), pa.array([0], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([""]), pa.array([0], pa.int64())], names=names)
             grams = Grams(table["text"].to_pylist(), order)
             chosen = np.array([bool(t) for t in table["trusted"].to_pylist()], bool)
             for n, counted in enumerate(grams.counts(chosen), 1):
                 strings = grams.strings(n, np.arange(len(counted)))
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), len(strings)), pa.array(strings, pa.string()), pa.array(counted, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.int64()), len(strings)), pa.array(strings, pa.string()), pa.array(counted, pa.int64())], names=names)
 
-    return texts.mapInArrow(run, "block string, gram string, n long")
+    return texts.mapInArrow(run, "block long, gram string, n long")
 
 
 def train(counted: DataFrame, order: int) -> DataFrame:
@@ -181,7 +187,8 @@ def train(counted: DataFrame, order: int) -> DataFrame:
     contexts = materialize(contexts.select("gram", "total", (F.col("left") / F.col("total")).alias("gamma")), "kn-contexts")
     alpha = given.withColumn("context", head(F.col("gram"))).join(contexts.select(F.col("gram").alias("context"), "total"), "context")
     alpha = alpha.select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"))
-    return alpha.join(contexts.select("gram", "gamma"), "gram", "full").select("gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
+    # Single precision halves what travels to the blocks.
+    return alpha.join(contexts.select("gram", "gamma"), "gram", "full").select("gram", F.coalesce("alpha", F.lit(0.0)).cast("float").alias("alpha"), F.coalesce("gamma", F.lit(1.0)).cast("float").alias("gamma"))
 
 
 def _scores(order: int):
@@ -218,7 +225,7 @@ def scores(texts: DataFrame, counted: DataFrame, model: DataFrame, order: int) -
     asked = counted.select("gram", "block")
     answers = asked.where("gram != ''").join(model, "gram").select("block", "gram", "alpha", "gamma")
     empty = model.where("gram = ''").agg(F.max("gamma")).first()[0]
-    answers = answers.unionByName(asked.where("gram = ''").select("block", "gram", F.lit(0.0).alias("alpha"), F.lit(1.0 if empty is None else empty).alias("gamma")))
+    answers = answers.unionByName(asked.where("gram = ''").select("block", "gram", F.lit(0.0).cast("float").alias("alpha"), F.lit(1.0 if empty is None else empty).cast("float").alias("gamma")))
     kind = texts.schema["id"].dataType.simpleString()
     return packed_blocks(texts).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(order), f"id {kind}, lang string, trusted boolean, chars long, cost double")
 
