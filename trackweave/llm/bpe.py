@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 #: The vocabulary of the registered query; another file of ranks can be named.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Bounds of a task's memory: characters of a block, words merged together, words kept from block to block.
-BLOCK_CHARS, BATCH_WORDS, KEPT_WORDS = 8_000_000, 100_000, 300_000
+#: Bounds of a task's memory: characters of a block, words merged together, words kept from block to block, and
+#: bytes of text whose results are handed on together.
+BLOCK_CHARS, BATCH_WORDS, KEPT_WORDS, OUT_BYTES = 4_000_000, 60_000, 250_000, 2_000_000
 #: Two ids make a key of one integer.
 SHIFT = 20
 
@@ -123,23 +124,26 @@ def _learn(words: set[str], v: Vocabulary) -> None:
             v.words[word] = ",".join(map(str, ids)), b"".join(map(v.spelled.__getitem__, ids))
 
 
-def encoded(texts: list[str], find, v: Vocabulary) -> Iterator[tuple[str, bytes]]:
+def encoded(texts: Iterator[str], find, v: Vocabulary) -> Iterator[tuple[str, bytes]]:
     """The ids of each text, joined by commas, and the bytes they decode to; block by block of BLOCK_CHARS."""
-    at = 0
-    while at < len(texts):
-        end, size, block = at, 0, []
-        words: set[str] = set()
-        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_CHARS):
-            block.append(find(texts[end]))
-            words.update(block[-1])
-            size += len(texts[end])
-            end += 1
+    block: list[list[str]] = []
+    words: set[str] = set()
+    size = 0
+
+    def answers() -> Iterator[tuple[str, bytes]]:
         _learn(words, v)
-        known = v.words
         for found in block:
-            pairs = [known[w] for w in found]
+            pairs = [v.words[w] for w in found]
             yield ",".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])
-        at = end
+
+    for text in texts:
+        block.append(find(text))
+        words.update(block[-1])
+        size += len(text)
+        if size >= BLOCK_CHARS:
+            yield from answers()
+            block, words, size = [], set(), 0
+    yield from answers()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -155,17 +159,26 @@ def encode(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text
 
         v, find = vocabulary(path), regex.compile(pattern).findall
         for batch in batches:
-            counts, first, second = [], [], []
-            for ids, data in encoded([t or "" for t in batch.column(1).to_pylist()], find, v):
-                counts.append(ids.count(",") + 1 if ids else 0)
+            at, held, size = 0, [], 0
+            for ids, data in encoded((t.as_py() or "" for t in batch.column(1)), find, v):
                 if digest:
-                    first.append(hashlib.sha256(ids.encode()).hexdigest())
-                    second.append(hashlib.sha256(data).hexdigest())
+                    held.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
                 else:
-                    first.append([int(i) for i in ids.split(",")] if ids else [])
-                    second.append(data)
-            kinds = (pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], names=names)
+                    held.append((ids.count(",") + 1 if ids else 0, np.fromstring(ids, np.int32, sep=","), data))
+                size += len(data)
+                if size >= OUT_BYTES:
+                    yield rows(batch.column(0).slice(at, len(held)), held)
+                    at, held, size = at + len(held), [], 0
+            yield rows(batch.column(0).slice(at, len(held)), held)
+
+    def rows(own: pa.Array, held: list) -> pa.RecordBatch:
+        counts, first, second = zip(*held, strict=True) if held else ((), (), ())
+        if digest:
+            columns = pa.array(first, pa.string()), pa.array(second, pa.string())
+        else:
+            ends = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            columns = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *first]))), pa.array(second, pa.binary())
+        return pa.RecordBatch.from_arrays([own, pa.array(counts, pa.int64()), *columns], names=names)
 
     names = [ident, "n_tokens", *(("ids_sha256", "decoded_sha256") if digest else ("ids", "decoded"))]
     kinds = [docs.schema[ident].dataType.simpleString(), "long", *(("string", "string") if digest else ("array<int>", "binary"))]
