@@ -134,15 +134,14 @@ def near_pairs(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes:
 
     marked: a row for each text, with unique id. Its fingerprint has 64 * lanes bits, in blocks of 32; each block emits
     its ball of half the radius. Texts at the least similarity differ in about a tenth of the bits, so one of the
-    blocks is nearly always within RADIUS. Those that meet are linked to the least id among them and to the one before.
+    blocks is nearly always within RADIUS. Those that meet are compared with the least id among them, block by block.
     """
     low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     blocks = [part(F.col(f"f{k}")) for k in range(lanes) for part in (low, high)]
     keyed = F.array(*(b.bitwiseOR(F.lit(i << 32).cast("long")) for i, b in enumerate(blocks)))
     emitted = marked.select("id", F.explode(keyed).alias("block")).select("id", F.explode(ball(F.col("block"), 32)).alias("variant"))
-    group = Window.partitionBy("variant").orderBy("id")
-    met = emitted.select("id", F.first("id").over(group).alias("least"), F.lag("id").over(group).alias("before")).where("before is not null")
-    pairs = met.select(F.explode(F.array("least", "before")).alias("a"), F.col("id").alias("b")).distinct()
+    met = emitted.withColumn("least", F.min("id").over(Window.partitionBy("variant"))).where("id != least")
+    pairs = met.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
     pairs = materialize(pairs, "near-candidates")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "t0", "t1"), "id")
     sides = sides.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
@@ -160,13 +159,13 @@ def _content(text: str) -> list[Column]:
 
 
 def _shingle_sets(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(id, shingles): the distinct hashes of each text's shingles, sorted, as little-endian bytes."""
+    """(id, shingles): the upper halves of the distinct hashes of each text's shingles, sorted, as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            sets = [np.unique(shingle_hashes(v.as_py() or b"", SHINGLE)).tobytes() for v in batch.column(1).cast(pa.large_binary())]
+            sets = [np.unique((shingle_hashes(v.as_py() or b"", SHINGLE) >> np.uint64(32)).astype(np.uint32)).tobytes() for v in batch.column(1).cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {docs.schema[ident].dataType.simpleString()}, shingles binary")
@@ -178,7 +177,7 @@ def _jaccard(a: Column, b: Column) -> Column:
         import numpy as np
 
         def one(x: bytes, y: bytes) -> float:
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             shared = len(np.intersect1d(p, q, assume_unique=True))
             return shared / max(1, len(p) + len(q) - shared)
 
