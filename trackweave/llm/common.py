@@ -25,7 +25,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/trackweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

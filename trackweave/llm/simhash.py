@@ -129,19 +129,36 @@ def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
 BLOCK_SHINGLE, SHINGLE, LANES, SIMILARITY = 3, 5, 4, 0.8
 
 
-def near_pairs(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes: int = LANES, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): ids of different texts whose sets of SHINGLE-word shingles have a Jaccard similarity of ``similarity``.
+def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes: int = LANES, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label): ids of different texts that links join, and the least id each reaches. A link joins texts whose
+    sets of SHINGLE-word shingles have a Jaccard similarity of ``similarity``.
 
-    marked: a row for each text, with unique id. Its fingerprint has 64 * lanes bits, in blocks of 32; each block emits
-    its ball of half the radius. Texts at the least similarity differ in about a tenth of the bits, so one of the
-    blocks is nearly always within RADIUS. Those that meet are compared with the least id among them, block by block.
+    marked: a row for each text, with unique id. Its fingerprint has 64 * lanes bits, in blocks of 32. Texts at the
+    least similarity differ in about a tenth of the bits, so one of the blocks is nearly always within RADIUS.
+
+    First every text is compared with the least id among those that have a block in common with it. Then each block
+    value emits its ball of half the radius, with one text for each group that the first links make; those that meet
+    and are not in one group yet are compared with the least id among them. So a large group of copies is counted up
+    before it is shuffled, and a variant meets few rows: 33 values, by as many groups as have them.
     """
     low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     blocks = [part(F.col(f"f{k}")) for k in range(lanes) for part in (low, high)]
     keyed = F.array(*(b.bitwiseOR(F.lit(i << 32).cast("long")) for i, b in enumerate(blocks)))
-    emitted = marked.select("id", F.explode(keyed).alias("block")).select("id", F.explode(ball(F.col("block"), 32)).alias("variant"))
-    met = emitted.withColumn("least", F.min("id").over(Window.partitionBy("variant"))).where("id != least")
-    pairs = met.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    given = marked.select("id", F.explode(keyed).alias("block"))
+    first = given.groupBy("block").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "least")
+    equal = salted_join(given, first, ["block"], by=F.col("id")).where("id != least").groupBy("id").agg(F.min("least").alias("a"))
+    equal = materialize(_alike(equal.select("a", F.col("id").alias("b")), docs, marked, ident, text, similarity), "near-equal-blocks")
+    labels = components(equal).withColumnRenamed("node", "id")
+    own = given.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = own.groupBy("block", "label").agg(F.min("id").alias("id"))
+    emitted = own.select("id", "label", F.explode(ball(F.col("block"), 32)).alias("variant"))
+    met = emitted.withColumn("least", F.min(F.struct("id", "label")).over(Window.partitionBy("variant"))).where("label != least.label")
+    balls = _alike(met.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct(), docs, marked, ident, text, similarity)
+    return components(equal.union(balls))
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, ident: str, text: str, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose texts are similar enough."""
     pairs = materialize(pairs, "near-candidates")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "t0", "t1"), "id")
     sides = sides.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
@@ -189,7 +206,7 @@ def _jaccard(a: Column, b: Column) -> Column:
 def near_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of equal or near texts: that with the least ident.
 
-    Equal texts (null as empty) are one group. Different texts belong together if links of near_pairs join them.
+    Equal texts (null as empty) are one group. Different texts belong together if links of near_groups join them.
     Texts without words are near to their equals alone. Of rows that repeat both ident and text one stays. A text all
     of whose idents are null is compared with its equals alone, and so are the further texts of an ident that has
     several. Empty table: no rows. Columns pass as they are.
@@ -203,7 +220,7 @@ def near_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", simil
     # Texts without words have the fingerprint zero in every lane; nothing else practically has.
     nodes = texts.where("id is not null and not (" + " and ".join(f"{c} = 0" for c in lanes) + ")")
     nodes = nodes.groupBy("id").agg(F.min(F.struct("t0", "t1", *lanes)).alias("x")).select("id", "x.*")
-    labels = components(near_pairs(docs, nodes, ident, text, similarity=similarity))
+    labels = near_groups(docs, nodes, ident, text, similarity=similarity)
     gone = labels.where("label != node").join(nodes.select(F.col("id").alias("node"), "t0", "t1"), "node").select("t0", "t1")
     kept = texts.join(gone, ["t0", "t1"], "left_anti")
     name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
