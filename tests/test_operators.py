@@ -210,3 +210,15 @@ def test_empty_inputs(spark):
     for f in (correction.fill_gaps, correction.split_at_gaps, correction.violations, correction.division_gaps, lineage.spans, lbep):
         assert f(none).count() == 0
     assert none.where(F.lit(True)).count() == 0
+
+
+def test_centremost_and_channels(spark):
+    from trackweave.operators.nodes import centremost
+    from trackweave.operators.pixels import normalised_channels
+
+    rows = [("s", 1, 7, 5, 4.0, 5.0), ("s", 1, 3, 9, 6.0, 5.0), ("s", 1, 1, 2, 0.0, 0.0), ("s", 2, 4, 4, None, 5.0)]
+    nodes = spark.createDataFrame(rows, "sequence_id string, t int, index int, label int, center_0 double, center_1 double")
+    assert [tuple(r) for r in centremost(nodes, 10, 10).collect()] == [("s", 1, 3, 9)]
+    px = spark.createDataFrame([(0.485,), (None,)], "intensity double")
+    got = [tuple(r) for r in normalised_channels(px).select("channel_0", "channel_1").collect()]
+    assert got[0][0] == 0.0 and abs(got[0][1] - 0.029 / 0.224) < 1e-12 and got[1] == (None, None)

@@ -153,3 +153,12 @@ def percentile_scale(df: DataFrame, value: str = "intensity", low: float = 0.000
 
 def initial_scale(columns: list[str]) -> Column:
     return F.col("len_init") if "len_init" in columns else F.lit(1.0)
+
+
+def centremost(nodes: DataFrame, height: float, width: float) -> DataFrame:
+    """The node of each frame that is nearest to the frame's middle; ties go to the smaller index. P4.
+
+    Nodes without a position take no part, so a frame that has no others gives no row."""
+    d = F.pow(F.col("center_0") - height / 2, 2) + F.pow(F.col("center_1") - width / 2, 2)
+    near = nodes.where("center_0 is not null and center_1 is not null").groupBy(SEQ, "t").agg(F.min(F.struct(d.alias("d"), "index", "label")).alias("x"))
+    return near.select(SEQ, "t", "x.index", "x.label")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import chain
 from trackweave.operators.correction import violations
-from trackweave.plans.ddb import sql
+from trackweave.operators.pixels import normalised_channels
+from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
 
@@ -59,3 +60,6 @@ def _a23(spark, d):
     return chain.detection_quality(s.pixels, s.pixels.where("(y + x) % 3 > 0"))
 
 
+@plan("n4_normalised_channels", sql(f"SELECT sequence_id, t, y, x, {r('(intensity - 0.485) / 0.229', 'channel_0')}, {r('(intensity - 0.456) / 0.224', 'channel_1')}, {r('(intensity - 0.406) / 0.225', 'channel_2')} FROM pixels", "pixels"))
+def _n4(spark, d):
+    return normalised_channels(a.pixels(spark, d)).drop("label", "intensity")

@@ -88,6 +88,11 @@ def _f42(spark, d):
     return n.frame_centres(a.nodes(spark, d), 100).select("sequence_id", "index", F.element_at("centre", 1).alias("center_0"), F.element_at("centre", 2).alias("center_1"))
 
 
+@plan("p4_centremost_cell", sql("SELECT sequence_id, t, index, label FROM nodes WHERE center_0 IS NOT NULL AND center_1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sequence_id, t ORDER BY pow(center_0 - 50.0, 2) + pow(center_1 - 50.0, 2), index) = 1", "nodes"))
+def _p4(spark, d):
+    return n.centremost(a.nodes(spark, d), 100, 100)
+
+
 def _box(c, most):
     return f"CAST(greatest(0, least(floor({c} - 16), {most} - 32)) AS INTEGER)"
 
