@@ -173,6 +173,21 @@ def test_near_dedup(spark, rows):
     assert len({r.text or "" for r in got}) == len(got)
 
 
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.near_dedup(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+
+
+def test_near_dedup_in_a_crowd(spark):
+    """Families of two near copies that share a passage with all others; the least id of a block is a stranger mostly."""
+    rng = random.Random(21)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = new(350), []
+    for _ in range(400):
+        own = new(75)
+        texts += [" ".join(passage + own), " ".join(passage + own[:57] + new(18))]
+    assert kept_of(spark, texts) == set(range(0, 800, 2))
+
+
 def brute_mix(rows, cap=3):
     size = [len(WORD.findall(t or "")) for _, t, *_ in rows]
     by = {}

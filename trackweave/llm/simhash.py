@@ -136,10 +136,10 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     marked: a row for each text, with unique id. Its fingerprint has 64 * lanes bits, in blocks of 32. Texts at the
     least similarity differ in about a tenth of the bits, so one of the blocks is nearly always within RADIUS.
 
-    First every text is compared with the least id among those that have a block in common with it. Then each block
-    value emits its ball of half the radius, with one text for each group that the first links make; those that meet
-    and are not in one group yet are compared with the least id among them. So a large group of copies is counted up
-    before it is shuffled, and a variant meets few rows: 33 values, by as many groups as have them.
+    First every text is compared with the least id among those that have a block in common with it; so a large group
+    of copies is joined by one comparison for each. What that leaves is found exactly: texts that are similar enough
+    share a shingle among the rarest of both (``rare_shingles``). Of the texts that share one, those in different
+    groups are compared, first with the least id among them, then, once these links are joined, all with all.
     """
     low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     blocks = [part(F.col(f"f{k}")) for k in range(lanes) for part in (low, high)]
@@ -147,14 +147,157 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     given = marked.select("id", F.explode(keyed).alias("block"))
     first = given.groupBy("block").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "least")
     equal = salted_join(given, first, ["block"], by=F.col("id")).where("id != least").groupBy("id").agg(F.min("least").alias("a"))
-    equal = materialize(_alike(equal.select("a", F.col("id").alias("b")), docs, marked, ident, text, similarity), "near-equal-blocks")
-    labels = components(equal).withColumnRenamed("node", "id")
-    own = given.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own = own.groupBy("block", "label").agg(F.min("id").alias("id"))
-    emitted = own.select("id", "label", F.explode(ball(F.col("block"), 32)).alias("variant"))
-    met = emitted.withColumn("least", F.min(F.struct("id", "label")).over(Window.partitionBy("variant"))).where("label != least.label")
-    balls = _alike(met.select(F.col("least.id").alias("a"), F.col("id").alias("b")).distinct(), docs, marked, ident, text, similarity)
-    return components(equal.union(balls))
+    found = materialize(_alike(equal.select("a", F.col("id").alias("b")), docs, marked, ident, text, similarity), "near-equal-blocks")
+    rare = rare_shingles(docs, marked, ident, text, similarity)
+    shared = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    rare = materialize(salted_join(rare, shared, ["gram"], "left_semi", by=F.col("id")), "near-shared")
+    for last in (False, True):
+        own = _in_several_groups(rare, components(found))
+        least = own.groupBy("gram").agg(F.min(F.struct("id", "label", "size", "at")).alias("x")).select("gram", *(F.col(f"x.{c}").alias(f"_{c}") for c in ("id", "label", "size", "at")))
+        if last:
+            # The least of each shingle has been compared with all others that have it.
+            rest = salted_join(own, least.select("gram", "_id"), ["gram"], by=F.col("id")).where("id != _id").drop("_id")
+            rest = materialize(rest, "near-rest")
+            other = rest.select("gram", *(F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "at")))
+            salts = F.sequence(F.lit(0), F.lit(15))
+            left = rest.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+            right = other.withColumn("_salt", F.explode(salts))
+            met = left.join(right, (left["gram"] == right["gram"]) & (left["_salt"] == right["_salt"]) & (F.col("_id") < F.col("id")) & _may_reach(similarity))
+        else:
+            met = salted_join(own, least, ["gram"], by=F.col("id")).where(_may_reach(similarity))
+        more = _alike(met.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), docs, marked, ident, text, similarity)
+        found = materialize(found.union(more), "near-links")
+    return components(found)
+
+
+def _in_several_groups(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of rare shingles with the label of their text, where a shingle is in texts of several labels."""
+    own = rare.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own = materialize(own, "near-labelled")
+    several = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
+    return materialize(salted_join(own, several, ["gram"], "left_semi", by=F.col("id")), "near-several")
+
+
+def _may_reach(similarity: float) -> Column:
+    """Texts of different groups that can be similar enough if this is the first shingle, in order, that they share."""
+    most = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+    return (F.col("label") != F.col("_label")) & (most * (1 + similarity) >= similarity * (F.col("size") + F.col("_size")) - 1e-6)
+
+
+#: Shingles of a block of texts, texts of it at most, shingles that are counted together, and the most such parts.
+BLOCK_SHINGLES, BLOCK_TEXTS, PART_SHINGLES, PARTS = 2_000_000, 65_535, 1_000_000, 65_536
+
+
+def rare_shingles(docs: DataFrame, marked: DataFrame, ident: str, text: str, similarity: float) -> DataFrame:
+    """(id, gram, size, at): of each text of ``marked`` the shingles of its prefix that other texts have as well.
+
+    A text's distinct shingles are ordered by how many texts have them, then by hash; size is their number, at a
+    shingle's place. Two texts with a Jaccard similarity of ``similarity`` share a shingle among the first
+    size - ceil(similarity * size) + 1 of each. Shingles are 40 bits of hash; those of one text alone go out.
+
+    Blocks of texts deal their shingles by hash into parts, parts count, and what several texts have goes back to its
+    block; a shingle takes seven bytes on the way. A block's name is a hash of its texts in order.
+    """
+    kind = marked.schema["id"].dataType.simpleString()
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = int(min(PARTS, max(16, chars // (6 * PART_SHINGLES))))
+    keys = marked.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
+    wanted = docs.select(F.col(ident).alias("__tw_i"), *_content(text), F.col(text).alias("__tw_x")).join(keys.hint("shuffle_hash"), ["__tw_i", "__tw_t0", "__tw_t1"], "left_semi")
+    names = ["part", "block", "grams", "which", "ids", "sizes"]
+    schema = f"part int, block long, grams binary, which binary, ids array<{kind}>, sizes array<int>"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        sets: list = []
+        ids: list[pa.Array] = []
+        content = xxhash.xxh3_64()
+        held = 0
+
+        def block() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(s) for s in sets], np.int32)
+            grams, which = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            part = (grams % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            grams, which, part = grams[order], which[order], part[order]
+            has, begins = np.unique(part, return_index=True)
+            stops = np.append(begins[1:], len(part))
+            name = content.intdigest() - (1 << 63)
+            five = np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            n = len(has)
+            flat = pa.concat_arrays(ids)
+            one = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+            counted = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes))
+            yield pa.RecordBatch.from_arrays([pa.array([name % parts], pa.int32()), pa.array([name], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), one, counted], names=names)
+            for i in range(0, n, 1000):
+                j = min(n, i + 1000)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(has[i:j], pa.int32()), pa.array([name] * (j - i), pa.int64()),
+                    pa.array([five[begins[k]:stops[k]].tobytes() for k in range(i, j)], pa.binary()), pa.array([which[begins[k]:stops[k]].tobytes() for k in range(i, j)], pa.binary()),
+                    pa.nulls(j - i, one.type), pa.nulls(j - i, counted.type),
+                ], names=names)
+
+        for batch in batches:
+            for k, v in enumerate(batch.column(3).cast(pa.large_binary())):
+                sets.append(np.unique(shingle_hashes(v.as_py() or b"", SHINGLE) >> np.uint64(24)))
+                ids.append(batch.column(0).slice(k, 1))
+                content.update(f"{batch.column(1)[k]} {batch.column(2)[k]} ".encode())
+                held += len(sets[-1])
+                if held >= BLOCK_SHINGLES or len(sets) == BLOCK_TEXTS:
+                    yield from block()
+                    sets, ids, content, held = [], [], xxhash.xxh3_64(), 0
+        if sets:
+            yield from block()
+
+    def count(key, rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        counted = rows[rows["grams"].notna()]
+        out = [rows[rows["grams"].isna()].assign(counts=None)[["block", "grams", "which", "counts", "ids", "sizes"]]]
+        if len(counted):
+            five = np.frombuffer(b"".join(counted["grams"]), np.uint8).reshape(-1, 5)
+            grams = np.zeros((len(five), 8), np.uint8)
+            grams[:, :5] = five
+            grams = grams.view("<u8").ravel()
+            which = np.frombuffer(b"".join(counted["which"]), np.uint16)
+            _, at, n = np.unique(grams, return_inverse=True, return_counts=True)
+            n = n[at].astype(np.uint32)
+            ends = np.cumsum([len(w) // 2 for w in counted["which"]])
+            several = n > 1
+            for i, name in enumerate(counted["block"]):
+                mine = slice(ends[i - 1] if i else 0, ends[i])
+                if several[mine].any():
+                    m = several[mine]
+                    out.append(pd.DataFrame({"block": [name], "grams": [grams[mine][m].tobytes()], "which": [which[mine][m].tobytes()], "counts": [n[mine][m].tobytes()], "ids": [None], "sizes": [None]}))
+        return pd.concat(out)
+
+    def prefixes(key, rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        texts, found = rows[rows["ids"].notna()], rows[rows["grams"].notna()]
+        none = pd.DataFrame({"id": [], "gram": [], "size": [], "at": []})
+        if not len(found):
+            return none
+        if not len(texts):
+            raise ValueError("the texts have come in another order than before; write them to a table first")
+        ids, sizes = list(texts["ids"].iloc[0]), np.asarray(texts["sizes"].iloc[0], np.int64)
+        grams, which, counts = (np.frombuffer(b"".join(found[c]), t) for c, t in (("grams", np.int64), ("which", np.uint16), ("counts", np.uint32)))
+        order = np.lexsort((grams, counts, which))
+        grams, which = grams[order], which[order].astype(np.int64)
+        if len(texts) > 1:  # equal blocks
+            new = np.append(True, (grams[1:] != grams[:-1]) | (which[1:] != which[:-1]))
+            grams, which = grams[new], which[new]
+        shared = np.bincount(which, minlength=len(sizes))
+        # Behind the shingles that the text has alone.
+        at = sizes[which] - shared[which] + np.arange(len(which)) - (np.cumsum(shared) - shared)[which]
+        keep = at <= sizes[which] - np.ceil(similarity * sizes[which] - 1e-9)
+        return pd.DataFrame({"id": pd.Series([ids[i] for i in which[keep]], dtype=object), "gram": grams[keep], "size": sizes[which[keep]], "at": at[keep]})
+
+    dealt = wanted.mapInArrow(deal, schema)
+    counted = dealt.groupBy("part").applyInPandas(count, f"block long, grams binary, which binary, counts binary, ids array<{kind}>, sizes array<int>")
+    out = counted.groupBy("block").applyInPandas(prefixes, f"id {kind}, gram long, size int, at int")
+    return materialize(out.dropDuplicates(["id", "gram"]), "near-rare")
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, ident: str, text: str, similarity: float) -> DataFrame:
