@@ -188,6 +188,17 @@ def test_near_dedup_in_a_crowd(spark):
     assert kept_of(spark, texts) == set(range(0, 800, 2))
 
 
+def test_near_dedup_with_a_paragraph_added(spark):
+    rng = random.Random(22)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for k in range(120):
+        one, more = new(304), new(74 if k % 2 else 52)  # similarity 300/374 and 300/352
+        texts += [" ".join(one), " ".join(one + more)]
+    texts += [" ".join(one := new(304)), " ".join(one + new(76))]  # 300/376 is below
+    assert kept_of(spark, texts) == {*range(0, 240, 2), 240, 241}
+
+
 def brute_mix(rows, cap=3):
     size = [len(WORD.findall(t or "")) for _, t, *_ in rows]
     by = {}
