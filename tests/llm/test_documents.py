@@ -386,6 +386,23 @@ def test_quality_classifier(spark, rows):
     assert sum(got[i].keep for i in range(5, 45)) >= 38
 
 
+def test_quality_thresholds(spark):
+    """Few held-out texts, one of them short: thresholds are of texts as they are judged, and pooled."""
+    rng = random.Random(31)
+    texts = [(i, words(rng, rng.randrange(20, 60)), "en" if i % 4 else "de", "a") for i in range(400)]
+    out = {r[0] for r in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(kneser_ney.HELD_OUT)) == 0).collect()}
+    odd = next(i for i in sorted(out) if i % 4)
+    texts[odd] = (odd, "mus", "en", "a")
+    mixed = [(1000 + i, "".join(rng.choice("zqxj kvw#%") if rng.random() < 0.5 else c for c in words(rng, 40)), "en", "a") for i in range(50)]
+    got = {r.doc_id: r for r in kneser_ney.quality(table(spark, texts + mixed), spark.createDataFrame([(i,) for i in range(400)], "doc_id long")).collect()}
+    held = {g: sorted(np.log(got[i].perplexity) - kneser_ney.ALLOWANCE / len(texts[i][1]) for i in out if texts[i][2] == g) for g in ("en", "de")}
+    median = {g: v[(len(v) + 1) // 2 - 1] for g, v in held.items()}
+    excess = max(x - median[g] for g, v in held.items() for x in v)
+    for g, i in (("en", 1), ("de", 0)):
+        assert abs(np.log(got[i].threshold) - median[g] - excess - np.log(kneser_ney.MARGIN)) < 0.003
+    assert not any(got[1000 + i].keep for i in range(50)) and sum(got[i].keep for i in range(400)) >= 390
+
+
 def test_quality_without_trusted_texts(spark, rows):
     got = kneser_ney.quality(table(spark, rows), spark.createDataFrame([], "doc_id long")).collect()
     assert len(got) == len(rows) and all(r.keep == (r.perplexity is not None) and r.threshold is None for r in got)

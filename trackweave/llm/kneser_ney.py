@@ -25,7 +25,7 @@ from trackweave.llm.common import materialize, salted_join
 #: Characters of an n-gram, characters of a block of texts.
 ORDER, BLOCK_CHARS = 4, 4_000_000
 #: One trusted text in HELD_OUT sets thresholds instead of training; the quantile of their perplexities, and by what
-#: factor a text may exceed it.
+#: factor a text may exceed it where all of them together are too few for the quantile, which then is the worst of them.
 HELD_OUT, QUANTILE, MARGIN = 10, 0.995, 1.25
 #: So much cost any text may have besides; it counts only for short ones, whose perplexity says little.
 ALLOWANCE = 6.0
@@ -248,8 +248,10 @@ def quality(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: st
     """ident, lang, perplexity, threshold and keep for each row of ``docs``.
 
     trusted: a column of ids whose texts are trusted. Nine in ten of them (by the hash of the id) train; the others
-    set the threshold of their language: the quantile of their perplexities times margin. A language without such
-    texts, and the null language, has the quantile over all languages.
+    set the threshold of their language: the quantile of their perplexities, judged as texts are, with ALLOWANCE off
+    their cost; times margin if all languages together have too few of them for the quantile. A language with too few of them for the quantile has the median of its own times the
+    quantile of what those of all languages exceed the medians of theirs by. A language without such texts, and the
+    null language, has the quantile over all languages.
 
     perplexity: of a character, e to the mean cost. A text is kept up to the threshold, with ALLOWANCE off its cost.
     Null or empty text: null, and it is rejected. No trusted texts at
@@ -262,15 +264,21 @@ def quality(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: st
     model = materialize(train(counted, order), "kn-model")
     scored = materialize(scores(texts, counted, model, order), "kn-scores")
     log = F.col("cost") / F.col("chars")
-    bins = scored.where("trusted = false and chars > 0").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(log * BINS).alias("bin"))
+    least = (F.col("cost") - ALLOWANCE) / F.col("chars")
+    bins = scored.where("trusted = false and chars > 0").select(F.coalesce("lang", F.lit("")).alias("l"), F.floor(least * BINS).alias("bin"))
     n = bins.groupBy("l", "bin").agg(F.count(F.lit(1)).alias("n"))
     both = materialize(n.unionByName(n.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("l"), "bin", "n")), "kn-bins")
-    w = Window.partitionBy("l")
-    run = both.select("l", "bin", F.sum("n").over(w.orderBy("bin")).alias("up_to"), F.sum("n").over(w).alias("all"))
-    cut = run.where(F.col("up_to") >= F.lit(quantile) * F.col("all")).groupBy("l").agg(F.exp((F.min("bin") + 1) / BINS).alias("q"))
-    overall = cut.where("l is null").agg(F.max("q")).first()[0]
-    named = cut.where("l is not null and l != ''").select(F.col("l").alias("_l"), (F.col("q") * margin).alias("threshold"))
-    rows = scored.select("id", "lang", F.coalesce("lang", F.lit("")).alias("_l"), F.when(F.col("chars") > 0, F.exp(log)).alias("perplexity"), F.when(F.col("chars") > 0, F.exp((F.col("cost") - ALLOWANCE) / F.col("chars"))).alias("_least"))
+    reached = lambda part: F.min(F.when(F.col("up_to") >= F.lit(part) * F.col("all"), F.col("bin")))
+    up_to = lambda counted: counted.withColumns({"up_to": F.sum("n").over(Window.partitionBy("l").orderBy("bin")), "all": F.sum("n").over(Window.partitionBy("l"))})
+    cut = materialize(up_to(both).groupBy("l").agg(reached(quantile).alias("own"), reached(0.5).alias("median"), F.max("all").alias("n")), "kn-cuts")
+    overall, total = cut.where("l is null").agg(F.max(F.exp((F.col("own") + 1) / BINS)), F.max("n")).first()
+    if (total or 0) * (1 - quantile) >= 1 - 1e-9:
+        margin = 1.0
+    over = both.join(cut.select("l", "median"), "l").groupBy((F.col("bin") - F.col("median")).alias("bin")).agg(F.sum("n").alias("n"))
+    excess = up_to(over.withColumn("l", F.lit(""))).agg(reached(quantile)).first()[0] or 0
+    bin = F.when(F.col("n") * (1 - quantile) >= 1 - 1e-9, F.col("own")).otherwise(F.col("median") + excess)
+    named = cut.where("l is not null and l != ''").select(F.col("l").alias("_l"), (F.exp((bin + 1) / BINS) * margin).alias("threshold"))
+    rows = scored.select("id", "lang", F.coalesce("lang", F.lit("")).alias("_l"), F.when(F.col("chars") > 0, F.exp(log)).alias("perplexity"), F.when(F.col("chars") > 0, F.exp(least)).alias("_least"))
     out = salted_join(rows, named, ["_l"], "left", by=F.col("id"))
     threshold = F.coalesce("threshold", F.lit(None if overall is None else overall * margin).cast("double"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("_least") <= threshold, F.lit(True))
