@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -61,8 +62,19 @@ def test_empty_tables(spark, rows):
     assert simhash.near_dedup(none).count() == 0
 
 
-def brute_spans(ls, need):
-    full = [(k, len(WORD.findall(x)), x) for k, x in enumerate(ls)]
+def brute_units(text):
+    """Cut after line feeds, after a sentence mark and a space, and before a capital that follows a space."""
+    out = [""]
+    for k, ch in enumerate(text):
+        before = text[max(0, k - 2) : k]
+        if k and (before[-1] == "\n" or before[-1] == " " and (before[:-1] in tuple(".!?") or unicodedata.category(ch) == "Lu")):
+            out.append("")
+        out[-1] += ch
+    return out
+
+
+def brute_spans(units, need):
+    full = [(k, len(WORD.findall(x)), x.strip(" \t\n\v\f\r")) for k, x in enumerate(units)]
     full = [x for x in full if x[1]]
     found = set()
     for step in (1, -1):
@@ -77,15 +89,29 @@ def brute_spans(ls, need):
     return full, found
 
 
-def test_line_dedup(spark, rows):
-    texts = {}
-    for i, t, *_ in rows:
-        texts.setdefault((i is None, i or 0, t), t)
+def without(units, gone):
+    """The units but those in gone; a run that began inside a line and ended it leaves the line feed."""
+    if not gone:
+        return "".join(units)
+    out = ""
+    for k, u in enumerate(units):
+        if k not in gone:
+            out += u
+        elif k + 1 not in gone and u.endswith("\n"):
+            start = k
+            while start - 1 in gone:
+                start -= 1
+            if start and not units[start - 1].endswith("\n"):
+                out = out.rstrip(" ") + "\n"
+    return out.rstrip(" \t\n\v\f\r")
+
+
+def brute_line_dedup(texts, need):
+    """texts: by (id is null, id, text). (text, units removed) of each."""
     first, spans = {}, {}
     order = sorted((k for k in texts if k[2] is not None), key=lambda k: (k[0], k[1]))
     for k in order:
-        full, found = brute_spans(texts[k].split("\n"), lines.MIN_WORDS)
-        spans[k] = (full, found)
+        full, found = spans[k] = brute_spans(brute_units(k[2]), need)
         for a, b in found:
             key = tuple(x[2] for x in full[a : b + 1])
             place = (k[0], k[1], full[a][0])
@@ -97,16 +123,34 @@ def test_line_dedup(spark, rows):
         for a, b in found:
             if (k[0], k[1], full[a][0]) > first[tuple(x[2] for x in full[a : b + 1])]:
                 gone |= set(range(full[a][0], full[b][0] + 1))
-        want[k] = ("\n".join(x for n, x in enumerate(texts[k].split("\n")) if n not in gone), len(gone))
-    df = lines.line_dedup(table(spark, rows).withColumn("original", F.col("text")))
+        want[k] = without(brute_units(k[2]), gone), len(gone)
+    return want
+
+
+def test_line_dedup(spark, rows):
+    rng = random.Random(14)
+    passage = " ".join(f"{words(rng, n).capitalize().rstrip('.,')}." for n in (9, 30, 3, 12))
+    inside = [(100, f"Some text before {passage} and more.", "en", "a"), (101, f"other words {passage}\nNext line {passage} again", "fr", "b"), (102, f"x {passage[:150]}", "fr", "b")]
+    inside += [(103 + k, "\n".join(words(rng, rng.randrange(1, 30)) for _ in range(9)) + passage[: rng.randrange(400)] + passage, None, "b") for k in range(10)]
+    every = [*rows, *inside]
+    want = brute_line_dedup({(i is None, i or 0, t) for i, t, *_ in every}, lines.MIN_WORDS)
+    df = lines.line_dedup(table(spark, every).withColumn("original", F.col("text")))
     got = df.collect()
-    assert len(got) == len(rows) and df.columns[: len(table(spark, []).columns)] == table(spark, []).columns
+    assert len(got) == len(every) and df.columns[: len(table(spark, []).columns)] == table(spark, []).columns
     for r in got:
         if r.original is None:
             assert r.text is None and r.n_removed == 0
         else:
             assert (r.text, r.n_removed) == want[r.doc_id is None, r.doc_id or 0, r.original]
     assert sum(r.n_removed for r in got) > 5
+    assert {r.doc_id: r.text for r in got if r.doc_id in (100, 101)} == {100: inside[0][1], 101: "other words\nNext line again"}
+
+
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    rng = random.Random(3)
+    body = "\n".join(f"line {rng.randrange(10**9)} of it" for _ in range(100_000))
+    got = {r.doc_id: r for r in lines.line_dedup(table(spark, [(1, body, "en", "a"), (2, f"a start\n{body}\nan end", "en", "a")])).collect()}
+    assert got[1].text == body and got[2].text == "a start\nan end" and got[2].n_removed == 100_000
 
 
 def brute_fingerprint(text, k=3):

@@ -1,96 +1,116 @@
 """Line dedup by winnowing: DataFrame functions only.
 
-A *span* is a shortest stretch of consecutive lines with at least MIN_WORDS words, reaching on from its first line or
-back from its last. A line goes if it lies in a span whose lines occur, as a whole, at an earlier place of the corpus
-(by doc_id, then line). Every run of lines that repeats with MIN_WORDS words or more is a union of such spans, so it
-goes whole except where it stands first; shorter repeats stay.
-
-Fingerprints: the lines of a text are hashed; a *gram* is a shortest stretch with MIN_WORDS // 2 words; of the grams
-inside a span the one with the least hash is its fingerprint (window minimum). Equal spans have equal fingerprints, so
-only spans whose fingerprint occurs at two places are compared at all.
+A *unit* is a line, or a part of a long one: lines are cut after sentence marks and before capitals, so a passage that
+stands inside unlike lines gives the same units in each. A *span* is a shortest stretch of consecutive units with at
+least MIN_WORDS words, reaching on from its first unit or back from its last. A unit goes if it lies in a span whose
+units occur, as a whole, at an earlier place of the corpus (by doc_id, then place in the text). Every run of units that
+repeats with MIN_WORDS words or more is a union of such spans, so it goes whole except where it stands first; shorter
+repeats stay.
+
+How they are found: units are hashed, a *gram* is a shortest stretch with half of MIN_WORDS, and of the grams that
+start within half of MIN_WORDS words of each other the one with the least hash is kept (window minimum). Every span has
+a kept gram inside, equal spans the same one. Positions are joined at equal grams; only texts that share one are looked
+at further, where spans around the shared grams, both ways, are compared by 64 and 32 bits of hash of each unit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import WORD, materialize, salted_join
 
 MIN_WORDS = 50
+#: Between which characters a text is cut: after a line feed, after a sentence mark and a space, before a capital.
+BOUNDARY = r"(?<=\n)|(?<=[.!?]\x20)|(?<=\x20)(?=\p{Lu})"
+SPACE = " \t\n\x0b\x0c\r"
 
 
-def _reach(words: str, start: str, need: int) -> str:
-    """SQL: how many items of the array ``words`` (each 1 or more), from the 0-based ``start`` on, have ``need`` words; 0 if too few.
+def text_units(text: Column) -> Column:
+    """The units of a text, with the white space that follows each; joined they are the text."""
+    return F.split(F.coalesce(text, F.lit("")), BOUNDARY, -1)
 
-    At most ``need`` items can be wanted, so the slice is bounded. The sum and the count share one long.
-    """
-    many = f"aggregate(slice({words}, {start} + 1, {need}), 0L, (a, x) -> if(a >= {need}000000L, a, a + x * 1000000L + 1L), a -> if(a >= {need}000000L, cast(a % 1000000L as int), 0))"
-    return f"if(element_at({words}, {start} + 1) >= {need}, 1, {many})"
-
-
-def _numbered_lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def _let(name: str, value: str, body: str) -> str:
-    """SQL: body with name bound to value, evaluated once. (The optimizer puts a column's expression in the place of
-    its name, even inside a lambda, where it would be evaluated for each element.)"""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-
-def spans(docs: DataFrame, ident: str, text: str, min_words: int) -> DataFrame:
-    """(fp, key, id, th, first, last): every span with its fingerprint, first and last being places of lines.
-
-    Lines without words are left out; a line's words count up to min_words, which is all that matters here.
-    """
+def winnowed_units(docs: DataFrame, ident: str, text: str, min_words: int) -> DataFrame:
+    """A row for each unit with words: row, id, th (the text's hash), i (its place among all units), at and stop (words
+    before it and up to its end), h and g (hashes), gram: the hash of its gram if that is kept."""
     half = max(1, min_words // 2)
-    m = f"filter(transform(l, (x, i) -> struct(i as at, cast(least(regexp_count(x, '{WORD}'), {min_words}) as long) as w, xxhash64(x) as h)), x -> x.w > 0)".replace("\\", "\\\\")
-    columns = "struct(m.at as at, m.w as w, m.h as h, reverse(m.w) as rw, size(m) as n)"
-    # The gram that starts at each line (null if too few words follow), then the span from and the span to each line.
-    grams = f"transform(transform(sequence(0, t.n - 1), i -> struct(i as i, {_reach('t.w', 'i', half)} as k)), x -> if(x.k > 0, struct(xxhash64(slice(t.h, x.i + 1, x.k)) as gh, x.i + x.k as stop), null))"
-    on = f"transform(sequence(0, t.n - 1), i -> struct(i as a, i + {_reach('t.w', 'i', min_words)} as b))"
-    back = f"transform(sequence(0, t.n - 1), j -> struct(t.n - j - {_reach('t.rw', 'j', min_words)} as a, t.n - j as b))"
-    minimum = "array_min(transform(filter(slice(g, s.a + 1, s.b - s.a), x -> x.stop <= s.b), x -> x.gh))"
-    each = f"transform(array_distinct(filter(concat({on}, {back}), s -> s.b > s.a)), s -> struct({minimum} as fp, xxhash64(slice(t.h, s.a + 1, s.b - s.a)) as key, element_at(t.at, s.a + 1) as first, element_at(t.at, s.b) as last))"
-    none = "cast(array() as array<struct<fp:bigint,key:bigint,first:int,last:int>>)"
-    found = _let("m", m, _let("t", columns, f"if(t.n = 0 or aggregate(t.w, 0L, (a, x) -> a + x) < {min_words}, {none}, {_let('g', grams, each)})"))
-    lines = docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("th"), _numbered_lines(F.col(text)).alias("l"))
-    return lines.select("id", "th", F.explode(F.expr(found)).alias("e")).select("e.fp", "e.key", "id", "th", "e.first", "e.last")
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
+    given = given.select("row", "id", F.xxhash64("text").alias("th"), F.posexplode(text_units(F.col("text"))).alias("i", "u"))
+    own = F.btrim("u", F.lit(SPACE))
+    rows = given.select("row", "id", "th", "i", F.regexp_count("u", F.lit(WORD)).cast("long").alias("w"), F.xxhash64(own).alias("h"), F.hash(own).alias("g")).where("w > 0")
+    by_place, by_word = Window.partitionBy("row").orderBy("i"), Window.partitionBy("row").orderBy("at")
+    rows = rows.withColumn("stop", F.sum("w").over(by_place)).withColumn("at", F.col("stop") - F.col("w")).drop("w")
+    # A gram has the units that start less than half of min_words on; at the text's end there are too few.
+    within = by_word.rangeBetween(0, half - 1)
+    rows = rows.withColumns({"_hs": F.collect_list("h").over(within), "_end": F.max("stop").over(within)})
+    rows = rows.withColumn("_gram", F.when(F.col("_end") - F.col("at") >= half, F.xxhash64("_hs"))).drop("_hs", "_end")
+    # A gram is kept if it is the least of one of the windows that it is in.
+    reach = min_words - half
+    rows = rows.withColumn("_least", F.min("_gram").over(by_word.rangeBetween(0, reach)))
+    rows = rows.withColumn("_most", F.max("_least").over(by_word.rangeBetween(-reach, 0)))
+    return rows.withColumn("gram", F.when(F.col("_gram") == F.col("_most"), F.col("_gram"))).drop("_gram", "_least", "_most")
+
+
+def _place(at: str) -> Column:
+    return F.struct(F.col("id").isNull(), "id", "th", at)
 
 
 def repeated_runs(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first, last): the spans that repeat an earlier one; th is the hash of the text they are in."""
-    found = materialize(spans(docs, ident, text, min_words), "line-spans")
-    place = F.struct(F.col("id").isNull(), "id", "th", "first")
-    # Fingerprints at two places or more; sums by key are formed before the shuffle, so a hot line costs a row a task.
-    twice = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("fp")
-    kept = materialize(salted_join(found, twice, ["fp"], "left_semi", by=F.col("id")), "line-matches")
-    first = kept.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("key", "lo")
-    later = salted_join(kept, first, ["key"], by=F.col("id")).where(place > F.col("lo"))
-    return later.select("id", "th", "first", "last")
+    """(id, th, first, last): runs of units, apart from each other, that repeat earlier ones; th: the hash of their text."""
+    rows = materialize(winnowed_units(docs, ident, text, min_words), "line-units")
+    grams = rows.where("gram is not null").select("row", "id", "th", "at", "gram")
+    # Grams at two places or more; sums by gram are formed before the shuffle, so a hot passage costs a row a task.
+    twice = grams.groupBy("gram").agg(F.min(_place("at")).alias("lo"), F.max(_place("at")).alias("hi")).where("lo != hi").select("gram")
+    shared = materialize(salted_join(grams, twice, ["gram"], "left_semi", by=F.col("row")).select("row", "at"), "line-shared")
+    near = rows.drop("gram").join(shared.select("row").distinct().hint("shuffle_hash"), "row", "left_semi")
+    near = near.join(shared.withColumn("hit", F.lit(1)).hint("shuffle_hash"), ["row", "at"], "left")
+    # Spans on from each unit and back from each, near a shared gram.
+    half = max(1, min_words // 2)
+    start = Window.partitionBy("row").orderBy("at")
+    on, back = start.rangeBetween(0, min_words - 1), Window.partitionBy("row").orderBy("stop").rangeBetween(1 - min_words, 0)
+    key = [F.collect_list("h"), F.collect_list("g")]
+    onward = near.select("id", "th", F.col("i").alias("first"), F.max("i").over(on).alias("last"), (F.max("stop").over(on) - F.col("at")).alias("words"), *(k.over(on).alias(n) for k, n in zip(key, "hg", strict=True)), F.max("hit").over(start.rangeBetween(0, min_words - half)).alias("hit"))
+    backward = near.select("id", "th", F.min("i").over(back).alias("first"), F.col("i").alias("last"), (F.col("stop") - F.min("at").over(back)).alias("words"), *(k.over(back).alias(n) for k, n in zip(key, "hg", strict=True)), F.max("hit").over(back).alias("hit"))
+    spans = onward.union(backward).where(F.col("hit").isNotNull() & (F.col("words") >= min_words))
+    spans = materialize(spans.select(F.xxhash64("h").alias("k0"), F.xxhash64(F.lit(1), "g").alias("k1"), "id", "th", "first", "last"), "line-spans")
+    first = spans.groupBy("k0", "k1").agg(F.min(_place("first")).alias("lo"), F.max(_place("first")).alias("hi")).where("lo != hi").select("k0", "k1", "lo")
+    later = salted_join(spans, first, ["k0", "k1"], by=F.xxhash64("id", "first")).where(_place("first") > F.col("lo")).select("id", "th", "first", "last").distinct()
+    ordered = Window.partitionBy("id", "th").orderBy("first", "last")
+    before = F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("apart", F.coalesce((F.col("first") > before + 1).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(ordered))
+    return later.groupBy("id", "th", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later repeats of runs of lines taken out of ``text``; other columns pass, n_removed (int) is added.
-
-    Lines are what stands between two \\n. Blank lines don't count in a run; those inside a removed run go with it.
-    A text with no repeat stays as it is, byte for byte; one that is all repeat becomes the empty text. Null text
-    stays null and repeats nothing. Rows that repeat both id and text count as one row and get the same result; rows
-    with the same id and other text are ordered by the text's hash; rows with a null id come last. Equal texts under
-    different ids: all but the first lose their runs. Empty table: no rows.
+    """``docs`` with the later repeats of runs of units taken out of ``text``; other columns pass, n_removed (int, the
+    units that went) is added; a column of that name is replaced.
+
+    Units without words don't count in a run; those inside a removed run go with it. Where a run goes that began
+    inside a line and ended with it, the line feed stays; white space at the end of a text that has lost something
+    goes. A text with no repeat stays as it is, byte for byte; one that is all repeat becomes the empty text. Null
+    text stays null and repeats nothing. Rows that repeat both id and text count as one row and get the same result;
+    rows with the same id and other text are ordered by the text's hash; rows with a null id come last. Equal texts
+    under different ids: all but the first lose their runs. Texts may be of any length: work is in proportion to
+    units. A line without sentence marks and capitals is one unit: what it shares with unlike lines stays. Empty
+    table: no rows.
     """
-    gone = repeated_runs(docs, ident, text, min_words).distinct()
-    gone = gone.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("__tw_gone"))
-    gone = gone.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__tw_k"), F.col("th").alias("__tw_th"), "__tw_gone").hint("shuffle_hash")
-    keyed = docs.withColumn("__tw_k", F.coalesce(F.col(ident).cast("string"), F.lit(""))).withColumn("__tw_th", F.xxhash64(text))
+    gone = repeated_runs(docs, ident, text, min_words)
+    gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__tw_gone"))
+    name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
+    gone = gone.select(name(F.col("id")).alias("__tw_k"), F.col("th").alias("__tw_th"), "__tw_gone").hint("shuffle_hash")
+    keyed = docs.withColumn("__tw_k", name(F.col(ident))).withColumn("__tw_th", F.xxhash64(text))
     out = keyed.join(gone, ["__tw_k", "__tw_th"], "left")
-    # Merge the stretches in order, then keep what lies between them.
-    merged = "aggregate(array_sort(__tw_gone), array(struct(-2 as first, -2 as last)), (a, x) -> if(x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first as first, greatest(element_at(a, -1).last, x.last) as last))), concat(a, array(x))))"
-    out = out.withColumn("__tw_cut", F.when(F.col("__tw_gone").isNotNull(), F.expr(merged)))
-    out = out.withColumn("__tw_l", F.when(F.col("__tw_gone").isNotNull(), _numbered_lines(F.col(text))))
-    kept = "flatten(transform(sequence(1, size(__tw_cut)), c -> slice(__tw_l, element_at(__tw_cut, c).last + 2 + if(c = 1, 1, 0), greatest(0, if(c = size(__tw_cut), size(__tw_l), element_at(__tw_cut, c + 1).first) - element_at(__tw_cut, c).last - 1 - if(c = 1, 1, 0)))))"
-    cleaned = F.when(F.col("__tw_cut").isNull(), F.col(text)).otherwise(F.expr(f"array_join({kept}, '\\n')"))
-    removed = F.coalesce(F.expr("aggregate(slice(__tw_cut, 2, greatest(size(__tw_cut) - 1, 0)), 0, (a, x) -> a + x.last - x.first + 1)"), F.lit(0))
+    has = F.col("__tw_gone").isNotNull()
+    out = out.withColumn("__tw_u", F.when(has, text_units(F.col(text))))
+    # What lies before each run and behind the last; a run that ends its line leaves the line feed to a line it only ended.
+    begins = "if(k = 1, 0, element_at(__tw_gone, k - 1).last + 1)"
+    ends = "if(k > size(__tw_gone), size(__tw_u), element_at(__tw_gone, k).first)"
+    piece = f"array_join(slice(__tw_u, {begins} + 1, greatest(0, {ends} - {begins})), '')"
+    feed = "k <= size(__tw_gone) and endswith(element_at(__tw_u, element_at(__tw_gone, k).last + 1), '\\n')"
+    pieces = f"transform(sequence(1, size(__tw_gone) + 1), k -> struct({piece} as p, {feed} as f))"
+    text_of = f"array_join(transform({pieces}, x -> if(x.f and x.p != '' and not endswith(x.p, '\\n'), concat(rtrim(x.p), '\\n'), x.p)), '')"
+    cleaned = F.when(has, F.rtrim(F.expr(text_of), F.lit(SPACE))).otherwise(F.col(text))
+    removed = F.coalesce(F.expr("aggregate(__tw_gone, 0, (a, x) -> a + x.last - x.first + 1)"), F.lit(0))
     names = [c for c in docs.columns if c != "n_removed"]
     return out.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], removed.alias("n_removed"))

@@ -34,32 +34,42 @@ FROM base d JOIN budgets b ON b.source IS NOT DISTINCT FROM d.source LEFT JOIN c
 """
 
 LINE_DEDUP = r"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
-), full_lines AS (
-  SELECT doc_id, pos, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k,
-    sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto
-  FROM (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines) WHERE words > 0
+WITH cut AS (
+  SELECT doc_id, text, string_split(replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?]\x20)', '\1' || chr(30), 'g'), '\x20(\p{Lu})', ' ' || chr(30) || '\1', 'g'), chr(10), chr(10) || chr(30)), chr(30)) AS us FROM documents
+), units AS (
+  SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS pos FROM cut
+), full_units AS (
+  SELECT doc_id, pos, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto
+  FROM (SELECT doc_id, pos, regexp_replace(u, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) AS words FROM units) WHERE words > 0
 ), onward AS (
-  SELECT a.doc_id, a.k AS first_k, min(b.k) AS last_k FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50
+  SELECT a.doc_id, a.k AS first_k, min(b.k) AS last_k FROM full_units a JOIN full_units b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50
     AND b.upto - a.upto + a.words >= 50 GROUP BY a.doc_id, a.k
 ), backward AS (
-  SELECT b.doc_id, max(a.k) AS first_k, b.k AS last_k FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50
+  SELECT b.doc_id, max(a.k) AS first_k, b.k AS last_k FROM full_units a JOIN full_units b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.k < a.k + 50
     AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.k
 ), spans AS (
   SELECT * FROM onward UNION SELECT * FROM backward
 ), keyed AS (
   SELECT s.doc_id, first_k, min(l.pos) AS first_at, max(l.pos) AS last_at, string_agg(line, chr(10) ORDER BY l.k) AS body
-  FROM spans s JOIN full_lines l ON l.doc_id = s.doc_id AND l.k BETWEEN first_k AND last_k GROUP BY s.doc_id, first_k, last_k
+  FROM spans s JOIN full_units l ON l.doc_id = s.doc_id AND l.k BETWEEN first_k AND last_k GROUP BY s.doc_id, first_k, last_k
 ), ranked AS (
   SELECT *, rank() OVER (PARTITION BY body ORDER BY doc_id, first_at) AS r FROM keyed
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN lines l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first_at AND r.last_at WHERE r.r > 1
-), rest AS (
-  SELECT l.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
-  FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+  SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN units l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first_at AND r.last_at WHERE r.r > 1
+), marked AS (
+  SELECT u.*, g.pos IS NOT NULL AS gone, count(g.pos) OVER (PARTITION BY u.doc_id ORDER BY u.pos) AS part FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos
+), pieces AS (
+  SELECT doc_id, part, string_agg(u, '' ORDER BY pos) AS p, min(pos) AS lo, max(pos) AS hi FROM marked WHERE NOT gone GROUP BY doc_id, part
+), sized AS (
+  SELECT doc_id, max(pos) AS last_pos, count(*) FILTER (WHERE gone) AS n_removed FROM marked GROUP BY doc_id
+), followed AS (
+  SELECT p.*, n_removed, coalesce(lead(lo) OVER (PARTITION BY p.doc_id ORDER BY part) - 1, last_pos) AS until FROM pieces p JOIN sized s ON s.doc_id = p.doc_id
+), joined AS (
+  SELECT f.doc_id, string_agg(CASE WHEN until > hi AND u.u LIKE '%' || chr(10) AND f.p NOT LIKE '%' || chr(10) THEN rtrim(f.p, ' ') || chr(10) ELSE f.p END, '' ORDER BY part) AS text
+  FROM followed f JOIN units u ON u.doc_id = f.doc_id AND u.pos = until GROUP BY f.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE r.text END AS text, r.n_removed::INTEGER AS n_removed FROM documents d JOIN rest r ON r.doc_id = d.doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR s.n_removed = 0 THEN d.text ELSE coalesce(regexp_replace(j.text, '[\x20\x09-\x0D]+$', ''), '') END AS text, s.n_removed::INTEGER AS n_removed
+FROM documents d JOIN sized s ON s.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id
 """
 
 TOP_K = """
