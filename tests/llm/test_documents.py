@@ -294,6 +294,13 @@ def test_secrets(spark, rows):
     assert all(r.base_sha256 in want[r.doc_id] for r in got)
     by = {r.doc_id: r for r in got}
     assert by[90].n_assign == 1 and by[91].spans == "owned:5:26" and by[92].spans == "" and by[93].spans == ""
+    late = "z" * 80 + "Q1w2E3r4T5y6"
+    copied = [(95 + k, "key Cc1Dd2Ee3Ff4Gg5Hh6Ii7", g, "solo") for k, g in enumerate(("en", "de", "fr", "es"))]
+    many = "\n".join(f"{'%040x' % (k * 7919**5)} api_key: value{k:09d}x" for k in range(20_000))
+    more = {r.doc_id: r for r in secrets.secret_scan(table(spark, [(94, f"{late} x", "en", "solo"), *copied, (99, many, "en", "solo")])).collect()}
+    assert more[94].spans == "owned:0:92"  # the only digits stand late
+    assert [more[95 + k].spans for k in range(4)] == [""] * 4  # one owner, in too many repositories
+    assert (more[99].n_hex, more[99].n_assign) == (20_000, 20_000) and more[99].base_sha256 == hashlib.sha256(listed(base(many)).encode()).hexdigest()
     assert by[9].n_example > 0 and by[9].n_assign == 1 and by[9].n_access == 1 and by[9].n_hex == 2
 
 

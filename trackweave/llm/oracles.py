@@ -89,8 +89,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 def _secrets() -> str:
     from trackweave.llm import secrets as own
 
-    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
-    patterns = (quoted(own.ASSIGN), quoted(own.ACCESS), quoted(own.HEX), "'[A-Za-z0-9+/_-]{20,}'")
+    # The contract's patterns in RE2's syntax, written here anew so that a wrong one in the operator shows.
+    keys = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+    patterns = (f"""'({keys})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'""", "'AKIA[A-Z0-9]{14,}'", "'[0-9a-f]{16,}'", "'[A-Za-z0-9+/_-]{20,}'")
+    least = "(kind = 0 AND length(value) >= 12 OR kind = 1 AND length(value) >= 18 OR kind = 2 AND length(value) >= 16 OR kind = 3 AND regexp_matches(value, '[0-9]'))"
     found = " UNION ALL ".join(
         f"SELECT doc_id, owner, repo, {k} AS kind, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {2 if k == 0 else 0}) AS v, regexp_split_to_array(text, {p}) AS g FROM texts" for k, p in enumerate(patterns)
     )
@@ -105,14 +107,14 @@ WITH texts AS (
   SELECT doc_id, owner, repo, kind, v[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start, length(m[i]) AS len FROM numbered
 ), spans AS (
   SELECT *, start + len AS stop FROM placed
-  WHERE (kind > 0 OR length(value) >= {own.ASSIGN_LEAST}) AND (kind < 3 OR regexp_matches(substr(value, 1, 64), '[0-9]'))
+  WHERE {least}
 ), clear AS (
   SELECT * FROM spans WHERE kind < 3 UNION ALL
   SELECT s.* FROM spans s WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.kind < 3 AND b.doc_id = s.doc_id AND b.start < s.stop AND s.start < b.stop)
 ), held AS (
-  SELECT value, count(DISTINCT owner) AS n_owners FROM clear GROUP BY value
+  SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repo)) AS n_repos FROM clear GROUP BY value
 ), judged AS (
-  SELECT c.*, n_owners = 1 AND regexp_matches(c.value, '[0-9]') AND regexp_matches(c.value, '[A-Za-z]') AND len(list_distinct(string_split(c.value, ''))) >= {own.LIVE_CHARACTERS} AS live, n_owners >= {own.EXAMPLE_OWNERS} AS example
+  SELECT c.*, n_owners = 1 AND n_repos < {own.EXAMPLE_REPOS} AND regexp_matches(c.value, '[0-9]') AND regexp_matches(c.value, '[A-Za-z]') AND len(list_distinct(string_split(c.value, ''))) >= {own.LIVE_CHARACTERS} AS live, n_owners >= {own.EXAMPLE_OWNERS} OR n_repos >= {own.EXAMPLE_REPOS} AS example
   FROM clear c JOIN held h ON h.value = c.value
 ), summed AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
