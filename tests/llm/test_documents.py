@@ -275,6 +275,22 @@ def test_mixing(spark, rows):
     assert again == {(r.doc_id, r.source, r.taken) for r in got}
 
 
+def test_mixing_rows_without_id_and_rows_that_repeat(spark):
+    """A source of equal rows only, and one whose rows have no id: both come near their targets, reruns alike."""
+    rows = [(7, "a b c d", "en", "s1")] * 90 + [(None, f"w{k} x y z", "en", "s2") for k in range(100)] + [(None, "one two", "en", "s3")] * 30
+    size, by, target = brute_mix(rows)
+    runs = []
+    for given in (rows, rows[::-1]):
+        taken = {}
+        got = mixing.mix(table(spark, given).repartition(5), carry=["source", "text"]).collect()
+        for r in got:
+            assert r.taken <= 3 * r.size
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert len(got) == len(rows) and all(abs(t - target[s]) <= 4 for s, t in taken.items())
+        runs.append(sorted((r.source, r.text, r.taken) for r in got))
+    assert runs[0] == runs[1]
+
+
 def test_secrets(spark, rows):
     def base(text):
         out = []

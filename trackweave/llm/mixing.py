@@ -21,10 +21,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(ident: Column) -> Column:
-    """Uniform in [0, 2**52), from the row's id alone, so that reruns and other engines agree."""
-    hexed = F.substring(F.md5(F.coalesce(ident.cast("string"), F.lit(""))), 1, HASH_BITS // 4)
-    return F.conv(hexed, 16, 10).cast("long")
+def row_hash(ident: Column, text: Column) -> Column:
+    """Uniform in [0, 2**52), from the row's id and text alone, so that reruns and other engines agree."""
+    whole = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(text), F.lit(""))))
+    return F.conv(F.substring(whole, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def ranked_sources(slim: DataFrame) -> DataFrame:
@@ -60,23 +60,34 @@ def water_level(sources: DataFrame, share: float, cap: int) -> float:
 
 
 def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(key, cut): rows of the source with a hash below cut add up to the budget as nearly as one more value allows."""
+    """(key, cut, n, m): rows of the source with a hash below cut, and m of the n that have it, add up to the budget as
+    nearly as one more row allows."""
     left = HASH_BITS
     edge = budgets.select("key", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("rest"))
     for bits in (*LEVEL_BITS, left - sum(LEVEL_BITS)):
         last = left - bits == 0
         held = slim.select("key", "size", F.shiftright("h", left).alias("prefix"), F.shiftright("h", left - bits).alias("bucket"))
-        sums = salted_join(held, edge, ["key", "prefix"], by=F.col("bucket")).groupBy("key", "bucket").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
+        sums = salted_join(held, edge, ["key", "prefix"], by=F.col("bucket")).groupBy("key", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
         up_to = F.sum("size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         run = sums.withColumn("after", up_to).withColumn("before", F.col("after") - F.col("size"))
         crossing = run.where((F.col("before") <= F.col("rest")) & (F.col("after") > F.col("rest")))
-        if last:  # the value that crosses the budget is taken if that comes nearer to it
-            nearer = F.col("after") - F.col("rest") < F.col("rest") - F.col("before")
-            return crossing.groupBy("key").agg(F.min(F.col("bucket") + nearer.cast("long")).alias("cut"))
-        edge = crossing.groupBy("key").agg(F.min(F.struct("bucket", (F.col("rest") - F.col("before")).alias("rest"))).alias("x")).select("key", F.col("x.bucket").alias("prefix"), F.col("x.rest").alias("rest"))
+        rest = F.col("rest") - F.col("before")
+        if last:  # a further row that crosses the budget is taken if that comes nearer to it
+            m = F.ceil(rest * F.col("n") / F.col("size") - 0.5)
+            return crossing.groupBy("key").agg(F.min(F.struct(F.col("bucket").alias("cut"), "n", m.alias("m"))).alias("x")).select("key", "x.*")
+        edge = crossing.groupBy("key").agg(F.min(F.struct("bucket", rest.alias("rest"))).alias("x")).select("key", F.col("x.bucket").alias("prefix"), F.col("x.rest").alias("rest"))
         left -= bits
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with rank, from 1 in each key: by file parts, whose counts give the offsets."""
+    parts = materialize(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mix-tied")
+    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("_n")).select("key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("key", "_part").orderBy("_at"))
+    return parts.withColumn("rank", within).join(offsets, ["key", "_part"]).withColumn("rank", F.col("rank") + F.col("_offset")).drop("_part", "_at", "_offset")
+
+
 def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, cap: int = 3, carry: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` with how often the mix takes each of them.
 
@@ -84,14 +95,14 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     Sources by code point, null last, have the weights in turn. A source below its target is repeated whole as often
     as fits and once more up to a hash threshold; one above it is cut at a hash threshold.
 
-    Null text: size 0, copies as its hash says. Null source: a source of its own, the last. Null id: one hash for
-    all such rows. Rows that repeat an id share their fate; all of them count. Empty table: no rows. Other columns of
-    ``docs`` play no part.
+    Null text: size 0, copies as its hash says. Null source: a source of its own, the last. Null id: the hash is the
+    text's. Rows that repeat both id and text have one hash; where it is the threshold, as many of them are taken as
+    come nearest to the target. Empty table: no rows. Other columns of ``docs`` play no part.
     """
     carry = [c for c in carry or [] if c != ident]
     base = docs.select(
         F.col(ident), *[F.col(c).alias(f"carry_{c}") for c in carry], F.col(source).alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("key"), word_count(F.col(text)).alias("size"), row_hash(F.col(ident)).alias("h"),
+        F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("key"), word_count(F.col(text)).alias("size"), row_hash(F.col(ident), F.col(text)).alias("h"),
     )
     base = materialize(base, "mix-rows")
     slim = base.select("key", "source", "size", "h")
@@ -105,6 +116,12 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     plan = materialize(plan, "mix-plan")
     cuts = thresholds(slim, plan.where("budget > 0").select("key", "budget"))
     plan = materialize(plan.join(cuts, "key", "left").drop("budget"), "mix-cuts")
-    out = salted_join(base, plan, ["key"], "left", by=F.col("h"))
-    copies = (F.col("whole") + F.coalesce((F.col("h") < F.col("cut")).cast("int"), F.lit(0))).cast("int")
+    out = salted_join(base, plan, ["key"], "left", by=F.xxhash64("h", ident))
+    if plan.where("n > 1").isEmpty():
+        out = out.withColumn("rank", F.lit(1).cast("long"))
+    else:  # rows that repeat stand at a threshold: they are numbered
+        tied = F.coalesce((F.col("h") == F.col("cut")) & (F.col("n") > 1), F.lit(False))
+        out = out.where(~tied).withColumn("rank", F.lit(1).cast("long")).unionByName(_numbered(out.where(tied)))
+    more = (F.col("h") < F.col("cut")) | (F.col("h") == F.col("cut")) & (F.col("rank") <= F.col("m"))
+    copies = (F.col("whole") + F.coalesce(more.cast("int"), F.lit(0))).cast("int")
     return out.select(ident, *[F.col(f"carry_{c}").alias(c) for c in carry], "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))

@@ -4,7 +4,7 @@ _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 MIXING = rf"""
 WITH RECURSIVE base AS (
-  SELECT doc_id, source, {_SIZE}::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h FROM documents
+  SELECT doc_id, source, {_SIZE}::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 13))::BIGINT AS h FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source
 ), weighted AS (
@@ -21,16 +21,16 @@ WITH RECURSIVE base AS (
 ), budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTEGER ELSE 0 END AS whole FROM plan
 ), sums AS (
-  SELECT source, h, sum(size) AS size FROM base GROUP BY source, h
+  SELECT source, h, sum(size) AS size, count(*) AS n FROM base GROUP BY source, h
 ), run AS (
-  SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h) AS after FROM sums
+  SELECT source, h, size, n, sum(size) OVER (PARTITION BY source ORDER BY h) AS after FROM sums
 ), cuts AS (
-  SELECT b.source, min(h + CASE WHEN after - rest < rest - (after - size) THEN 1 ELSE 0 END) AS cut
+  SELECT b.source, min(h) AS cut, arg_min(ceil((rest - (after - size)) * n / size - 0.5), h) AS m
   FROM (SELECT *, target - whole * source_size AS rest FROM budgets) b JOIN run r ON r.source IS NOT DISTINCT FROM b.source
   WHERE rest > 0 AND after - size <= rest AND after > rest GROUP BY b.source
 )
-SELECT doc_id, d.size, source_size, target, (d.size * (whole + CASE WHEN h < cut THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM base d JOIN budgets b ON b.source IS NOT DISTINCT FROM d.source LEFT JOIN cuts c ON c.source IS NOT DISTINCT FROM d.source
+SELECT doc_id, d.size, source_size, target, (d.size * (whole + CASE WHEN h < cut OR h = cut AND place <= m THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, h) AS place FROM base) d JOIN budgets b ON b.source IS NOT DISTINCT FROM d.source LEFT JOIN cuts c ON c.source IS NOT DISTINCT FROM d.source
 """
 
 LINE_DEDUP = r"""
