@@ -21,10 +21,14 @@ from pyspark.sql import functions as F
 
 from trackweave.llm.common import materialize, salted_join
 
-#: Vectors to route by (the sample the index is fitted on: those with the least hashes), vectors of a tree, entries
-#: of a page, routing objects of an inner page, and queries that a task takes through a tree.
-PIVOTS, TREE, PAGE, FANOUT, BLOCK = 64, 8192, 256, 16, 2048
+#: Vectors of a tree, entries of a page, routing objects of an inner page, queries that a task takes through a tree.
+TREE, PAGE, FANOUT, BLOCK = 8192, 256, 16, 2048
+#: Vectors to route by, the sample the index is fitted on: those with the least hashes, four for each tree but within
+#: these bounds (at most 4,096 vectors reach the driver and the tasks). Beyond them a pivot has several trees.
+PIVOTS, MOST_PIVOTS = 64, 4096
 SCALE = 256
+#: Sums of products are exact in floating point below this.
+EXACT = 1 << 53
 #: Distances are floating-point: bounds are loosened by this part before anything is left out.
 SLACK = 1e-9
 
@@ -32,7 +36,8 @@ SLACK = 1e-9
 def integer_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
     """(id, v, norm): floor(256 * x) of each component as little-endian int64, and the sum of squares.
 
-    Left out: null vectors or ids, vectors with null or non-finite components, empty vectors."""
+    Left out: null vectors or ids, vectors with null or non-finite components, empty vectors. A sum of squares of EXACT
+    or more fails: scores would not be exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,7 +46,8 @@ def integer_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
             known = np.asarray(values.is_valid())
             x = values.to_numpy(zero_copy_only=False).astype(np.float64) if len(values) else np.zeros(0)
             fine = known & np.isfinite(x)
-            whole = np.floor(SCALE * np.where(fine, x, 0)).astype("<i8")
+            whole = np.floor(SCALE * np.where(fine, x, 0))
+            whole = np.where(np.abs(whole) < EXACT, whole, EXACT).astype("<i8")
             valid = np.asarray(column.is_valid()) & np.asarray(ids.is_valid())
             keep, vs, norms = [], [], []
             for i in np.flatnonzero(valid).tolist():
@@ -49,8 +55,10 @@ def integer_vectors(rows: DataFrame, ident: str, vector: str) -> DataFrame:
                 if b > a and fine[a:b].all():
                     keep.append(i)
                     vs.append(whole[a:b].tobytes())
-                    norms.append(int(whole[a:b] @ whole[a:b]))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(vs, pa.binary()), pa.array(norms, pa.int64())], names=["id", "v", "norm"])
+                    norms.append(float(whole[a:b].astype(np.float64) @ whole[a:b].astype(np.float64)))
+                    if norms[-1] >= EXACT:
+                        raise ValueError(f"components too large for exact scores: {ids[i]}")
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(vs, pa.binary()), pa.array([int(n) for n in norms], pa.int64())], names=["id", "v", "norm"])
 
     kind = rows.schema[ident].dataType.simpleString()
     return rows.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, v binary, norm long")
@@ -183,8 +191,9 @@ def index(vectors: DataFrame, largest: float, pivots: np.ndarray) -> tuple[DataF
     return materialize(pages, "mtree-pages"), {r["pivot"]: r["far"] for r in held}, trees
 
 
-def _walk(pages: DataFrame, asked: DataFrame, blocks: int, k: int, largest: float) -> DataFrame:
-    """(v, score, ids): what each asked (v, least, tree) finds in its tree; pages go to every block of queries."""
+def _walk(pages: DataFrame, asked: DataFrame, k: int, largest: float) -> DataFrame:
+    """(v, score, ids): what each asked (v, least, tree) finds in its tree. A tree's queries are dealt to as many
+    blocks as they need, and its pages go to these alone."""
     kind = pages.schema["ids"].dataType.elementType.elementType.simpleString()
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -204,37 +213,40 @@ def _walk(pages: DataFrame, asked: DataFrame, blocks: int, k: int, largest: floa
                 out.extend((v, int(round(s)), list(ids[row])) for s, row in found)
         return pd.DataFrame(out, columns=["v", "score", "ids"])
 
-    block = F.pmod(F.xxhash64("v", F.lit(7)), F.lit(blocks)).cast("int")
-    left = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", block)
+    asked = materialize(asked, "mtree-asked")
+    blocks = asked.groupBy("tree").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    left = salted_join(pages, blocks, ["tree"], by=F.col("page")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = salted_join(asked, blocks, ["tree"], by=F.col("v")).withColumn("block", F.pmod(F.xxhash64("v", F.lit(7)), F.col("blocks")).cast("int")).drop("blocks")
     return left.groupBy("tree", "block").cogroup(right.groupBy("tree", "block")).applyInPandas(run, f"v binary, score long, ids array<{kind}>")
 
 
 def top_k(rows: DataFrame, queries, k: int = 5, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner product for each query row.
 
-    queries: a condition on ident that says which rows ask. A query's own id is no answer; ties go to the smaller id;
-    fewer than k others: all of them. Vectors (null, empty, with null or non-finite components) and rows (null id)
-    that can't be compared take no part. All vectors must have one length. Rows that repeat id and vector count once.
-    Empty table: no rows.
+    queries: a condition on ident that says which rows ask. Candidates are all rows but the query's own; ties go to the
+    smaller id; fewer than k others: all of them. Vectors (null, empty, with null or non-finite components) and rows
+    (null id) that can't be compared take no part, nor do vectors of another length than most have (of equally common
+    ones the shorter). Rows that repeat are candidates each and ask each. Components so large that scores can't be
+    exact (sums of squares of 2**53) fail the job. Empty table: no rows. Other columns play no part.
     """
     spark = rows.sparkSession
     kind = rows.schema[ident].dataType.simpleString()
-    every = materialize(integer_vectors(rows, ident, vector), "integer-vectors").dropDuplicates(["id", "v"])
+    every = materialize(integer_vectors(rows, ident, vector), "integer-vectors")
+    usual = every.groupBy(F.length("v").alias("n")).agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("many"), "n").first()
+    if usual is None:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
+    every = every.where(F.length("v") == usual["n"])
     # Of equal vectors only the k + 1 least ids can be among k answers, one of them being the query's own.
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    vectors = every.select("v", "id", rank.alias("r")).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    largest = every.agg(F.max("norm")).first()[0]
-    if largest is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
-    largest = float(largest)
-    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).select("v").collect()]
+    vectors = materialize(every.select("v", "id", rank.alias("r")).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mtree-vectors")
+    largest = float(every.agg(F.max("norm")).first()[0])
+    most = min(MOST_PIVOTS, max(PIVOTS, 4 * vectors.count() // TREE))
+    sample = [r["v"] for r in vectors.orderBy(F.xxhash64("v"), "v").limit(most).select("v").collect()]
     pivots = matrix(sample, largest)
     pages, far, trees = index(vectors, largest, pivots)
-    asking = every.withColumnRenamed("id", ident).where(queries).select(F.col(ident).alias("id"), "v")
+    asking = every.withColumnRenamed("id", ident).where(queries).select(F.col(ident).alias("id"), "v", "norm")
     asking = materialize(asking, "queries")
     distinct = asking.select("v").distinct()
-    blocks = max(1, -(-distinct.count() // BLOCK))
 
     def ask(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,17 +272,19 @@ def top_k(rows: DataFrame, queries, k: int = 5, ident: str = "vec_id", vector: s
         return run
 
     shape = "v binary, least double, tree string"
-    # The nearest pivot's tree tells how good the k-th answer is at least; then all trees that can have a better one.
-    first = _walk(pages, distinct.mapInArrow(ask(True), shape), blocks, k + 1, largest)
+    # One tree of the nearest pivot tells how good the k-th answer is at least; then all trees that can have a better one.
+    first = _walk(pages, distinct.mapInArrow(ask(True), shape), k + 1, largest)
     listed = first.select("v", "score", F.explode("ids").alias("id"))
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "id"))
     bound = listed.select("v", "score", place.alias("r")).where(F.col("r") == k + 1).select("v", F.col("score").cast("double").alias("least"))
     asked = distinct.join(bound, "v", "left")
-    found = _walk(pages, asked.mapInArrow(ask(False), shape), blocks, k + 1, largest)
+    found = _walk(pages, asked.mapInArrow(ask(False), shape), k + 1, largest)
     answers = found.select("v", "score", F.explode("ids").alias("vec_id"))
     place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "vec_id"))
     answers = materialize(answers.select("v", "score", "vec_id", place.alias("r")).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("a")), "answers")
     each = salted_join(asking, answers, ["v"], by=F.col("id"))
-    own = F.slice(F.filter("a", lambda a: a["vec_id"] != F.col("id")), 1, k)
+    # The query's own row is one of those with its id and with its vector's score; rows that repeat tie in both.
+    mine = F.array_position(F.transform("a", lambda a: (a["vec_id"] == F.col("id")) & (a["score"] == F.col("norm"))), True)
+    own = F.slice(F.filter("a", lambda a, i: i + 1 != mine), 1, k)
     out = each.select(F.col("id").alias("query_id"), F.posexplode(own).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
