@@ -1,6 +1,7 @@
 """WebP features against a writer of their own, HTML extraction and exact search."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -304,6 +305,85 @@ def test_html_blocks():
     assert [t for _, t in html.Page("<article><p>cut<a href=\"x").blocks] == ["cut"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>before</p><svg/><p>after</p><math xmlns='x'/>tail</article>", ["before", "after", "tail"]),
+    ("<article><p>a</p><svg><text>no</text></svg><p>b</p><svg>open<p>c</p></article>", ["a", "b", "open", "c"]),
+    ("<p title=it's>Don't</p><p title=it's>Hello</p><p title='a>b' x>c</p><p data-x=\"d>e\">f</p>", ["Don't", "Hello", "c", "f"]),
+    ("<p>Press <button>OK</button> and <label>tick</label> it</p><div><button>Menu</button>text</div>", ["Press OK and tick it", "text"]),
+    ('<article><div class="notice-board story"><p>one</p></div><div id="content-menu"><p>two</p></div><div class="share-buttons">x</div></article>', ["one", "two"]),
+    ('<div class="layout has-sidebar"><div class="sidebar"><p>links</p></div><p>A text that is long enough</p></div>', ["A text that is long enough"]),
+    ('<div class="widget"><p>All that the page has</p></div><p>rest</p>', ["All that the page has", "rest"]),
+    ('<div class="overlay"><article><p>shown</p></article></div>', ["shown"]),
+    ("<main><h1>Title</h1><article><p>body</p></article><p>after</p></main>", ["Title", "body"]),
+    ("<p>a<select><option>x</select>b</p><p>c<i hidden>d</i>e</p>", ["ab", "ce"]),
+    ('<p class="a" data-class="ad">kept</p><p data-hidden>too</p>', ["kept", "too"]),
+])
+def test_html_loses_nothing_else(page, want):
+    assert [t for _, t in html.Page(page).blocks] == want
+
+
+def brute_matching(tree, other, a=0, b=0):
+    """Size of the largest matching that keeps parents and order, by trying all."""
+    if tree[a][1] != other[b][1]:
+        return 0
+    left, right = ([k for k, (p, _) in enumerate(t) if p == n] for t, n in ((tree, a), (other, b)))
+
+    def best(i, j):
+        if i == len(left) or j == len(right):
+            return 0
+        w = brute_matching(tree, other, left[i], right[j])
+        return max(best(i + 1, j), best(i, j + 1), w + best(i + 1, j + 1) if w else 0)
+
+    return 1 + best(0, 0)
+
+
+def test_alignment_is_a_largest_matching():
+    rng = np.random.default_rng(8)
+
+    def random_tree():
+        tree = [(-1, "page")]
+        for _ in range(rng.integers(1, 9)):
+            tree.append((int(rng.integers(0, len(tree))), "ab"[rng.integers(0, 2)]))
+        kids = lambda n: [k for k, (p, _) in enumerate(tree) if p == n]
+        order = []
+        waiting = [0]
+        while waiting:  # in the order of beginnings
+            order.append(n := waiting.pop())
+            waiting.extend(reversed(kids(n)))
+        place = {n: k for k, n in enumerate(order)}
+        return [(place.get(tree[n][0], -1), tree[n][1]) for n in order]
+
+    for _ in range(300):
+        a, b = random_tree(), random_tree()
+        matched = html.align(a, b)
+        assert len(matched) == brute_matching(a, b)
+        assert all(a[x][1] == b[y][1] and (x == 0 or matched[a[x][0]] == b[y][0]) for x, y in matched.items())
+        assert [matched[x] for x in sorted(matched)] == sorted(matched.values())
+
+
+def test_alignment_of_long_lists():
+    page = lambda n, odd: html.Page("<body><p>top</p>" + "".join(f"<p>item {k if k % 3 else f'{odd}{k}'}</p>" for k in range(n)) + "<p>end</p></body>")
+    one, two = page(12_000, "x"), page(9_000, "y")
+    texts = [{n: hash(t) for n, t in p.blocks} for p in (one, two)]
+    began = time.time()
+    matched = html.align(one.tree, two.tree, tuple(texts))
+    assert time.time() - began < 20
+    assert matched[one.blocks[0][0]] == two.blocks[0][0] and matched[one.blocks[-1][0]] == two.blocks[-1][0]
+    assert sum(texts[0][n] == texts[1].get(m) for n, m in matched.items() if n in texts[0]) == 6_002
+
+
+def test_pages_without_an_article_change_nothing(spark):
+    body = lambda k: f"<body><p>Read our rules</p><p>Story {k} tells {'more ' * k}</p>{'<p>further</p>' * (k % 3)}<p>Posted by staff</p></body>"
+    rows = [(k, f"http://a.example/{k}", body(k)) for k in range(1, 11)]
+    odd = [(100, "http://a.example/e", None), (101, "http://a.example/f", ""), (102, "http://a.example/g", "<p>404</p>"), (103, "http://a.example/h", "<body><h1>Error 500</h1></body>"), (104, "http://a.example/i", "<article></article>")]
+    few = [(200 + k, "http://b.example/x", body(k)) for k in range(1, 4)]
+    read = lambda given: {r.page_id: r.text for r in html.main_text(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
+    plain, more = read(rows), read(rows + odd + few)
+    assert {k: more[k] for k in plain} == plain and all("rules" not in t and "staff" not in t and "Story" in t for t in plain.values())
+    assert [more[k] for k in range(100, 105)] == ["", "", "404", "Error 500", ""]
+    assert all("rules" not in more[200 + k] and f"Story {k}" in more[200 + k] for k in range(1, 4))
+
+
 def test_simple_tree_matching():
     tree = lambda *nodes: [(-1, "page"), *nodes]
     a = tree((0, "div"), (1, "#"), (0, "p"), (3, "#"), (0, "ul"), (5, "li"), (6, "#"), (5, "li"), (8, "#"))
