@@ -232,6 +232,44 @@ def test_near_dedup_in_a_crowd(spark):
     assert kept_of(spark, texts) == set(range(0, 800, 2))
 
 
+def test_near_dedup_of_stars(spark):
+    """A text that many are near to, which are too far from each other: none of its links may be lost."""
+    rng = random.Random(31)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, stars = [], []
+    for size in [*[20] * 6, 200]:
+        centre = new(300)
+        around = []
+        for _ in range(size):
+            at = rng.randrange(0, 270)
+            around.append(" ".join(centre[:at] + new(26) + centre[at + 26 :]))  # 0.81 to the centre, 0.67 to most others
+        place = rng.randrange(1, size)
+        stars.append(len(texts))
+        texts += [*around[:place], " ".join(centre), *around[place:]]
+    assert kept_of(spark, texts) == set(stars)
+
+
+def test_near_dedup_without_ids_and_with_repeated_ones(spark):
+    rng = random.Random(32)
+    new = lambda: [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    one, two, three = new(), new(), new()
+    near = lambda ws: " ".join([*ws[:100], "changed", *ws[101:]])
+    rows = [(None, " ".join(one)), (None, near(one)), (None, near(one)), (5, " ".join(two)), (5, near(two)), (5, "another text"), (5, "another text"), (None, " ".join(three)), (9, near(three))]
+    got = simhash.near_dedup(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert len(got) == 4 and sorted(str(r.doc_id) for r in got) == ["5", "5", "9", "None"]
+    assert {r.text for r in got} >= {"another text", near(three)}
+
+
+def test_quality_stage_judges_rows_not_ids(spark, rows, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, 0) for i in range(5, 45)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(None, "zqxj9 vvkw7 #### qqqqq zzzzz xkcd1 %%%%% jjjjj" * 9, "en", "a"), (50, "QZX7 %%%% ~~~~ jjjq zzxv 0000 kkkk" * 9, "en", "a")]
+    docs = table(spark, [*rows, *odd])
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).collect()}
+    assert not {o[:2] for o in odd} & got and next(r[:2] for r in rows if r[0] == 50) in got and any(i is None for i, _ in got)
+
+
 def test_near_dedup_with_a_paragraph_added(spark):
     rng = random.Random(22)
     new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]

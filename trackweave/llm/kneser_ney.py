@@ -209,16 +209,16 @@ def _scores(order: int):
                 gamma = own[:, 1]
             cost = np.where(grams.real, -np.log(np.maximum(p, 1e-300))[grams.number[-1]], 0.0)
             ends = np.cumsum(grams.lengths + order - 1)
-            frame = table.select(["id", "lang", "trusted"]).to_pandas()
+            frame = table.select(["id", "lang", "th", "trusted"]).to_pandas()
             frame["chars"], frame["cost"] = grams.lengths, np.add.reduceat(cost, ends - grams.lengths - order + 1)
             parts.append(frame)
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("id", "lang", "trusted", "chars", "cost")})
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("id", "lang", "th", "trusted", "chars", "cost")})
 
     return run
 
 
 def scores(texts: DataFrame, counted: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """(id, lang, trusted, chars, cost): each text's characters and its negative log-likelihood.
+    """(id, lang, th, trusted, chars, cost): each text's characters and its negative log-likelihood.
 
     What the blocks ask for is joined with the model gram by gram; a block's answers are bounded by its characters.
     The empty gram, which every block asks for, is in the answers even if there is no model."""
@@ -227,25 +227,25 @@ def scores(texts: DataFrame, counted: DataFrame, model: DataFrame, order: int) -
     empty = model.where("gram = ''").agg(F.max("gamma")).first()[0]
     answers = answers.unionByName(asked.where("gram = ''").select("block", "gram", F.lit(0.0).cast("float").alias("alpha"), F.lit(1.0 if empty is None else empty).cast("float").alias("gamma")))
     kind = texts.schema["id"].dataType.simpleString()
-    return packed_blocks(texts).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(order), f"id {kind}, lang string, trusted boolean, chars long, cost double")
+    return packed_blocks(texts).groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scores(order), f"id {kind}, lang string, th long, trusted boolean, chars long, cost double")
 
 
 def flagged(docs: DataFrame, trusted: DataFrame, ident: str, text: str, lang: str) -> DataFrame:
-    """(id, text, lang, trusted): trusted is true for training, false for held out, else null.
+    """(id, text, lang, th, trusted): th is the text's hash; trusted is true for training, false for held out, else null.
 
     Few trusted ids go to every task; beyond SENT of them texts and ids are shuffled, and written so that later scans
     see one order."""
     known = trusted.select(F.col(trusted.columns[0]).alias("_t")).where("_t is not null").distinct().withColumn("_trusted", F.lit(True))
     few = known.count() <= SENT
-    joined = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang"))
+    joined = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("th"))
     joined = joined.join(F.broadcast(known) if few else known, F.col("id") == F.col("_t"), "left")
     state = F.when(F.col("_trusted"), F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) != 0)
-    joined = joined.select("id", "text", "lang", state.alias("trusted"))
+    joined = joined.select("id", "text", "lang", "th", state.alias("trusted"))
     return joined if few else materialize(joined, "kn-texts")
 
 
 def quality(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """ident, lang, perplexity, threshold and keep for each row of ``docs``.
+    """ident, lang, perplexity, threshold, keep and text_hash (xxhash64) for each row of ``docs``.
 
     trusted: a column of ids whose texts are trusted. Nine in ten of them (by the hash of the id) train; the others
     set the threshold of their language: the quantile of their perplexities, judged as texts are, with ALLOWANCE off
@@ -278,8 +278,8 @@ def quality(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: st
     excess = up_to(over.withColumn("l", F.lit(""))).agg(reached(quantile)).first()[0] or 0
     bin = F.when(F.col("n") * (1 - quantile) >= 1 - 1e-9, F.col("own")).otherwise(F.col("median") + excess)
     named = cut.where("l is not null and l != ''").select(F.col("l").alias("_l"), (F.exp((bin + 1) / BINS) * margin).alias("threshold"))
-    rows = scored.select("id", "lang", F.coalesce("lang", F.lit("")).alias("_l"), F.when(F.col("chars") > 0, F.exp(log)).alias("perplexity"), F.when(F.col("chars") > 0, F.exp(least)).alias("_least"))
+    rows = scored.select("id", "lang", "th", F.coalesce("lang", F.lit("")).alias("_l"), F.when(F.col("chars") > 0, F.exp(log)).alias("perplexity"), F.when(F.col("chars") > 0, F.exp(least)).alias("_least"))
     out = salted_join(rows, named, ["_l"], "left", by=F.col("id"))
     threshold = F.coalesce("threshold", F.lit(None if overall is None else overall * margin).cast("double"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("_least") <= threshold, F.lit(True))
-    return out.select(F.col("id").alias(ident), "lang", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
+    return out.select(F.col("id").alias(ident), F.col("lang").alias(lang), "perplexity", threshold.alias("threshold"), keep.alias("keep"), F.col("th").alias("text_hash"))

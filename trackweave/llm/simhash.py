@@ -133,8 +133,8 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     """(node, label): ids of different texts that links join, and the least id each reaches. A link joins texts whose
     sets of SHINGLE-word shingles have a Jaccard similarity of ``similarity``.
 
-    marked: a row for each text, with unique id. Its fingerprint has 64 * lanes bits, in blocks of 32. Texts at the
-    least similarity differ in about a tenth of the bits, so one of the blocks is nearly always within RADIUS.
+    marked: a row for each text, (id, k, t0, t1, n) as _rows_of wants them and its fingerprint, which has 64 * lanes
+    bits, in blocks of 32.
 
     First every text is compared with the least id among those that have a block in common with it; so a large group
     of copies is joined by one comparison for each. What that leaves is found exactly: texts that are similar enough
@@ -198,11 +198,11 @@ def rare_shingles(docs: DataFrame, marked: DataFrame, ident: str, text: str, sim
     Blocks of texts deal their shingles by hash into parts, parts count, and what several texts have goes back to its
     block; a shingle takes seven bytes on the way. A block's name is a hash of its texts in order.
     """
-    kind = marked.schema["id"].dataType.simpleString()
+    kind = "bigint"
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     parts = int(min(PARTS, max(16, chars // (6 * PART_SHINGLES))))
-    keys = marked.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
-    wanted = docs.select(F.col(ident).alias("__tw_i"), *_content(text), F.col(text).alias("__tw_x")).join(keys.hint("shuffle_hash"), ["__tw_i", "__tw_t0", "__tw_t1"], "left_semi")
+    # In one order, so that a task that is repeated gives its blocks the same names.
+    wanted = _rows_of(docs, marked, ident, text).sortWithinPartitions("id")
     names = ["part", "block", "grams", "which", "ids", "sizes"]
     schema = f"part int, block long, grams binary, which binary, ids array<{kind}>, sizes array<int>"
 
@@ -292,21 +292,19 @@ def rare_shingles(docs: DataFrame, marked: DataFrame, ident: str, text: str, sim
         # Behind the shingles that the text has alone.
         at = sizes[which] - shared[which] + np.arange(len(which)) - (np.cumsum(shared) - shared)[which]
         keep = at <= sizes[which] - np.ceil(similarity * sizes[which] - 1e-9)
-        return pd.DataFrame({"id": pd.Series([ids[i] for i in which[keep]], dtype=object), "gram": grams[keep], "size": sizes[which[keep]], "at": at[keep]})
+        return pd.DataFrame({"id": np.array(ids, np.int64)[which[keep]], "gram": grams[keep], "size": sizes[which[keep]], "at": at[keep]})
 
     dealt = wanted.mapInArrow(deal, schema)
     counted = dealt.groupBy("part").applyInPandas(count, f"block long, grams binary, which binary, counts binary, ids array<{kind}>, sizes array<int>")
     out = counted.groupBy("block").applyInPandas(prefixes, f"id {kind}, gram long, size int, at int")
-    return materialize(out.dropDuplicates(["id", "gram"]), "near-rare")
+    return materialize(out, "near-rare")
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, ident: str, text: str, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of ids whose texts are similar enough."""
     pairs = materialize(pairs, "near-candidates")
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "t0", "t1"), "id")
-    sides = sides.select(F.col("id").alias("__tw_i"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"))
-    wanted = docs.select(F.col(ident).alias("__tw_i"), F.col(text).alias("__tw_x"), *_content(text)).join(sides.hint("shuffle_hash"), ["__tw_i", "__tw_t0", "__tw_t1"], "left_semi")
-    sets = materialize(_shingle_sets(wanted, "__tw_i", "__tw_x").dropDuplicates(["id"]), "near-shingles")
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "k", "t0", "t1", "n"), "id")
+    sets = materialize(_shingle_sets(_rows_of(docs, sides, ident, text), "id", "text"), "near-shingles")
     left = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), ["a"], by=F.col("b"), salts=4)
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     return both.where(_jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
@@ -318,6 +316,21 @@ def _content(text: str) -> list[Column]:
     return [F.xxhash64(whole).alias("__tw_t0"), F.hash(whole).alias("__tw_t1")]
 
 
+def _name(ident: Column) -> Column:
+    """An id as text, null as well."""
+    return F.coalesce(F.concat(F.lit("i"), ident.cast("string")), F.lit("n"))
+
+
+def _rows_of(docs: DataFrame, nodes: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, t0, t1, text): for each of nodes (id, k, t0, t1, n) its text, from the row of ``docs`` that has its ident
+    (k, by name) and hashes; of the n rows that have them, one."""
+    keys = ["__tw_k", "__tw_t0", "__tw_t1"]
+    given = docs.select(_name(F.col(ident)).alias("__tw_k"), *_content(text), F.col(text).alias("text"))
+    own = nodes.select(F.col("k").alias("__tw_k"), F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"), "id", "n")
+    found = given.join(own.hint("shuffle_hash"), keys).select("id", F.col("__tw_t0").alias("t0"), F.col("__tw_t1").alias("t1"), "text")
+    return found if nodes.where("n > 1").isEmpty() else found.dropDuplicates(["id"])
+
+
 def _shingle_sets(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, shingles): the upper halves of the distinct hashes of each text's shingles, sorted, as little-endian bytes."""
 
@@ -350,26 +363,29 @@ def near_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", simil
     """``docs`` with one row of each group of equal or near texts: that with the least ident.
 
     Equal texts (null as empty) are one group. Different texts belong together if links of near_groups join them.
-    Texts without words are near to their equals alone. Of rows that repeat both ident and text one stays. A text all
-    of whose idents are null is compared with its equals alone, and so are the further texts of an ident that has
-    several. Empty table: no rows. Columns pass as they are.
+    Texts without words are near to their equals alone. Texts are told apart by 96 bits of hash and compared whatever
+    their idents are: null ones come last, of texts with one ident that with the least hash comes first. Of rows that
+    repeat both ident and text one stays. Empty table: no rows. Columns pass as they are.
     """
     t0, t1 = _content(text)
     marked = materialize(fingerprints(docs, ident, text, BLOCK_SHINGLE, LANES, t0=t0, t1=t1), "near-fingerprints")
     lanes = [f"f{k}" for k in range(LANES)]
     rows = marked.groupBy("t0", "t1", "id").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in lanes))
     texts = rows.groupBy("t0", "t1").agg(F.min(F.struct(F.col("id").isNull(), "id", "n", *lanes)).alias("x"))
-    texts = materialize(texts.select("t0", "t1", "x.id", "x.n", *(f"x.{c}" for c in lanes)), "near-texts")
-    # Texts without words have the fingerprint zero in every lane; nothing else practically has.
-    nodes = texts.where("id is not null and not (" + " and ".join(f"{c} = 0" for c in lanes) + ")")
-    nodes = nodes.groupBy("id").agg(F.min(F.struct("t0", "t1", *lanes)).alias("x")).select("id", "x.*")
+    texts = materialize(texts.select("t0", "t1", "x.id", _name(F.col("x.id")).alias("k"), "x.n", *(f"x.{c}" for c in lanes)), "near-texts")
+    # Texts without words have the fingerprint zero in every lane; nothing else practically has. A text's number is
+    # the first part of its hash; of texts that have one number, less than one pair in 10**9 texts, one is compared.
+    nodes = texts.where("not (" + " and ".join(f"{c} = 0" for c in lanes) + ")")
+    nodes = materialize(nodes.groupBy("t0").agg(F.min(F.struct("t1", "k", "n", *lanes, F.col("id").alias("own"))).alias("x")).select(F.col("t0").alias("id"), "t0", "x.*"), "near-nodes")
     labels = near_groups(docs, nodes, ident, text, similarity=similarity)
-    gone = labels.where("label != node").join(nodes.select(F.col("id").alias("node"), "t0", "t1"), "node").select("t0", "t1")
+    members = materialize(labels.join(nodes.select(F.col("id").alias("node"), "t0", "t1", "own"), "node"), "near-members")
+    order = F.struct(F.col("own").isNull(), "own", "node")
+    first = members.groupBy("label").agg(F.min(order).alias("_first"))
+    gone = salted_join(members, first, ["label"], by=F.col("node")).where(F.col("node") != F.col("_first.node")).select("t0", "t1")
     kept = texts.join(gone, ["t0", "t1"], "left_anti")
-    name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
-    keys = ["__tw_t0", "__tw_t1", "__tw_i"]
-    kept = materialize(kept.select(F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"), name(F.col("id")).alias("__tw_i"), "n"), "near-kept")
-    stays = docs.withColumns(dict(zip(keys, (*_content(text), name(F.col(ident))), strict=True))).join(kept.drop("n").hint("shuffle_hash"), keys, "left_semi")
+    keys = ["__tw_t0", "__tw_t1", "__tw_k"]
+    kept = materialize(kept.select(F.col("t0").alias("__tw_t0"), F.col("t1").alias("__tw_t1"), F.col("k").alias("__tw_k"), "n"), "near-kept")
+    stays = docs.withColumns(dict(zip(keys, (*_content(text), _name(F.col(ident))), strict=True))).join(kept.drop("n").hint("shuffle_hash"), keys, "left_semi")
     if not kept.where("n > 1").isEmpty():
         stays = stays.dropDuplicates(keys)
     return stays.select(*docs.columns)
