@@ -75,14 +75,63 @@ def split_leftover_gaps(state: State) -> State:
     return replace(state, tracks=cut, pixels=pixels)
 
 
+def merge_early_divisions(most: int = 5, threshold: float = 0.5) -> Stage:
+    """Daughters that become one cell again go back into their parent, with that cell; pixels follow. C4."""
+
+    def run(state: State) -> State:
+        found = _written(c.early_divisions(state.tracks, state.pixels, state.preds, most, threshold), "early")
+        names = c._resolved(found.select(SEQ, F.explode(F.array("label", "sibling", "successor")).alias("old"), F.col("parent").alias("new")))
+        named = names.select(SEQ, F.col("old").alias("label"), F.col("new").alias("_new"))
+        pixels = state.pixels.join(named, [SEQ, "label"], "left").withColumn("label", F.coalesce("_new", "label")).select(*state.pixels.columns)
+        return replace(state, tracks=c._renamed(state.tracks, names), pixels=pixels)
+
+    return run
+
+
+def remove_merges(threshold: float = 0.5, least_coverage: float = 0.5) -> Stage:
+    """Merged masks inside the gaps of the cells they cover go, rows and pixels. C6."""
+
+    def run(state: State) -> State:
+        gone = _written(c.removable_merges(state.tracks, state.preds, threshold, state.pixels, least_coverage), "merges")
+        rows = state.tracks.join(gone, [SEQ, "label_track"], "left_semi").select(SEQ, "t", "label_track")
+        erased = rows.select(SEQ, "t", F.col("label_track").alias("label"), F.lit(True).alias("_gone")).distinct()
+        pixels = state.pixels.join(erased, [SEQ, "t", "label"], "left").withColumn("label", F.when(F.col("_gone"), F.lit(0)).otherwise(F.col("label"))).select(*state.pixels.columns)
+        return replace(state, tracks=c.remove_rows(state.tracks, rows, True), pixels=pixels)
+
+    return run
+
+
+class InvalidLineage(ValueError):
+    """What the chain of repairs has left breaks the rules of a lineage."""
+
+
+def validated(state: State) -> State:
+    """The state, if no rule is broken; else an error that names rules and labels. C12."""
+    left = c.violations(state.tracks, state.pixels).orderBy(SEQ, "rule", "label").limit(20).collect()
+    if left:
+        raise InvalidLineage("; ".join(f"{r[SEQ]}: {r['rule']} ({r['label']})" for r in left))
+    return state
+
+
+def default_stages() -> list[Stage]:
+    """Close gaps that nothing contends for, merge early divisions, remove merges, close what that opened, drop rows
+    without a mask, cut what is still open."""
+    return [close_gaps(), merge_early_divisions(), remove_merges(), close_gaps(), drop_orphans, split_leftover_gaps]
+
+
 def correct(state: State, stages: list[Stage] | None = None) -> State:
-    """All stages in order; each result is written before the next. A stage that fails leaves what was before it. C1, C15."""
-    for stage in stages if stages is not None else [close_gaps(), drop_orphans, split_leftover_gaps]:
+    """All stages in order; each result is written before the next. If one fails, the whole state is what it was before
+    the first, and none of the later ones runs. C1, C15. An error of the cluster itself is not caught."""
+    from pyspark.errors import PySparkException
+
+    given = state
+    for stage in stages if stages is not None else default_stages():
         try:
             made = stage(state)
             state = replace(made, tracks=_written(made.tracks, "tracks"), pixels=_written(made.pixels, "pixels"))
-        except Exception:
-            log.exception("a repair failed; the tracks stay as they were")
+        except (PySparkException, ValueError, TypeError, ArithmeticError, LookupError, RuntimeError, AssertionError) as why:
+            log.warning("the repair %s failed, the tracks stay uncorrected: %s", getattr(stage, "__qualname__", stage), why)
+            return given
     return state
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.numbering import numbered
+
 SEQ = "sequence_id"
 
 
@@ -25,8 +27,8 @@ def fill_gaps(tracks: DataFrame, most: int | None = None) -> DataFrame:
     last = tracks.groupBy(SEQ).agg(F.max("index").alias("_last"))
     parents = tracks.groupBy(SEQ, "label_track").agg(F.max("parent_track").alias("parent_track"))
     made = rows.select(SEQ, "label_track", (F.col("t") + F.col("step")).cast("int").alias("t"), between(0).alias("center_0"), between(1).alias("center_1"), F.lit("interpolated").alias("cell_source"))
-    made = made.join(F.broadcast(last), SEQ).join(parents, [SEQ, "label_track"])
-    made = made.withColumn("index", F.col("_last") + F.row_number().over(Window.partitionBy(SEQ).orderBy("label_track", "t"))).drop("_last")
+    made = numbered(made, "index", "label_track", "t").join(last, SEQ).join(parents, [SEQ, "label_track"])
+    made = made.withColumn("index", F.col("_last") + F.col("index")).drop("_last")
     return tracks.unionByName(made, allowMissingColumns=True)
 
 
@@ -58,7 +60,7 @@ def split_at_gaps(tracks: DataFrame) -> DataFrame:
     given = tracks.withColumn("_c", cut).withColumn("_piece", F.sum("_c").over(w))
     pieces = given.groupBy(SEQ, "label_track", "_piece").agg(F.min("t").alias("_b"), F.max("t").alias("_e"))
     largest = tracks.groupBy(SEQ).agg(F.max("label_track").alias("_top"))
-    new = pieces.where("_piece > 0").join(F.broadcast(largest), SEQ).withColumn("_new", F.col("_top") + F.row_number().over(Window.partitionBy(SEQ).orderBy("label_track", "_b"))).select(SEQ, "label_track", "_piece", "_new")
+    new = numbered(pieces.where("_piece > 0"), "_new", "label_track", "_b").join(largest, SEQ).select(SEQ, "label_track", "_piece", (F.col("_top") + F.col("_new")).alias("_new"))
     named = pieces.join(new, [SEQ, "label_track", "_piece"], "left").withColumn("_name", F.coalesce("_new", "label_track"))
     born = tracks.groupBy(SEQ, "label_track").agg(F.min("t").alias("_birth"), F.max("parent_track").alias("_parent"))
     alive = named.select(SEQ, F.col("label_track").alias("_parent"), F.col("_name").alias("_alive"), "_b", "_e")
@@ -102,13 +104,16 @@ def relabel_from(tracks: DataFrame, old: int, new: int, since: int) -> DataFrame
     return given.withColumns({"label_track": label, "parent_track": parent}).select(*tracks.columns)
 
 
-def short_tracks(tracks: DataFrame, most: int) -> DataFrame:
-    """Last rows of trajectories of at most so many frames that end well before the last of such rows. A13, W3."""
+def short_tracks(tracks: DataFrame, most: int, division_only: bool = False) -> DataFrame:
+    """Last rows of trajectories of at most so many frames, unless the sequence ends too soon after them to tell. A13, W3.
+
+    The sequence's end is the largest frame of all trajectories' last rows, short or not; division_only looks at
+    trajectories with a parent alone, for the end as well."""
     w = Window.partitionBy(SEQ, "label_track")
-    given = tracks.withColumn("lifetime", F.max("t").over(w) - F.min("t").over(w) + 1).where(F.col("lifetime") <= most)
+    given = tracks.where("parent_track > 0" if division_only else "parent_track >= 0").withColumn("lifetime", F.max("t").over(w) - F.min("t").over(w) + 1)
     last = given.withColumn("_k", F.row_number().over(w.orderBy(F.desc("t"), F.desc("index")))).where("_k = 1").drop("_k")
     ends = last.groupBy(SEQ).agg(F.max("t").alias("_end"))
-    return last.join(F.broadcast(ends), SEQ).where(F.col("t") + F.col("lifetime") <= F.col("_end")).drop("_end")
+    return last.where(F.col("lifetime") <= most).join(ends, SEQ).where(F.col("t") + F.col("lifetime") <= F.col("_end")).drop("_end")
 
 
 def division_statistics(tracks: DataFrame) -> DataFrame:
@@ -237,12 +242,140 @@ def violations(tracks: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def removable_merges(tracks: DataFrame, preds: DataFrame, threshold: float) -> DataFrame:
-    """Lineage-free trajectories inside a gap, without a strong link out, that a correspondence covers. C6."""
+def around(tracks: DataFrame) -> DataFrame:
+    """(sequence_id, inner, outer): trajectories that are there before and after another, but in none of its frames.
+
+    Each has a gap over the other's first frame, so pairs come from the frames of gaps."""
+    span = tracks.groupBy(SEQ, "label_track").agg(F.min("t").alias("b"), F.max("t").alias("e"))
+    holes = gaps(tracks).select(SEQ, F.col("label_track").alias("outer"), F.explode(F.sequence(F.col("t") + 1, F.col("next_t") - 1)).alias("b"))
+    met = holes.join(span.withColumnRenamed("label_track", "inner"), [SEQ, "b"]).where("inner != outer")
+    met = met.join(span.select(SEQ, F.col("label_track").alias("outer"), F.col("e").alias("_end")), [SEQ, "outer"]).where("_end > e").select(SEQ, "inner", "outer").distinct()
+    at = tracks.select(SEQ, "label_track", "t")
+    shared = met.join(at.withColumnRenamed("label_track", "inner"), [SEQ, "inner"]).join(at.withColumnRenamed("label_track", "outer"), [SEQ, "outer", "t"], "left_semi").select(SEQ, "inner", "outer").distinct()
+    return met.join(shared, [SEQ, "inner", "outer"], "left_anti")
+
+
+def removable_merges(tracks: DataFrame, preds: DataFrame, threshold: float, pixels: DataFrame | None = None, least_coverage: float = 0.5) -> DataFrame:
+    """(sequence_id, label_track): merged masks that go, as the cells they cover are there before and after. C6.
+
+    Such a trajectory lies inside a gap, has neither parent nor daughters, and no correspondence (p1) above the
+    threshold leaves it for another. Of the trajectories around it, each has a correspondence above the threshold from
+    its last row before to a first row after of one of them; or, where there are pixels, their masks in these rows
+    together cover more than least_coverage of it in each of its frames."""
     free = gap_only(tracks)
-    kin = tracks.where("parent_track > 0 and parent_track != label_track").select(SEQ, F.col("parent_track").alias("label_track")).union(tracks.where("parent_track > 0 and parent_track != label_track").select(SEQ, "label_track")).distinct()
+    linked = tracks.where("parent_track > 0 and parent_track != label_track")
+    kin = linked.select(SEQ, F.col("parent_track").alias("label_track")).union(linked.select(SEQ, "label_track")).distinct()
     free = free.join(kin, [SEQ, "label_track"], "left_anti")
-    rows = tracks.join(free, [SEQ, "label_track"], "left_semi").select(SEQ, "label_track", "index")
-    strong = rows.join(preds.where(F.greatest("p1", "p2") > threshold).select(SEQ, F.col("src").alias("index")), [SEQ, "index"], "left_semi").select(SEQ, "label_track").distinct()
-    covered = rows.join(preds.where(F.col("p1") > 0).select(SEQ, F.col("dst").alias("index")), [SEQ, "index"], "left_semi").select(SEQ, "label_track").distinct()
-    return free.join(strong, [SEQ, "label_track"], "left_anti").join(covered, [SEQ, "label_track"], "left_semi")
+    own = tracks.join(free, [SEQ, "label_track"], "left_semi").select(SEQ, "label_track", "index", "t")
+    leaving = own.select(SEQ, "label_track", F.col("index").alias("src")).join(preds.where(F.col("p1") > threshold).select(SEQ, "src", "dst"), [SEQ, "src"])
+    leaving = leaving.join(own.select(SEQ, "label_track", F.col("index").alias("dst")), [SEQ, "label_track", "dst"], "left_anti").select(SEQ, "label_track").distinct()
+    free = free.join(leaving, [SEQ, "label_track"], "left_anti")
+    span = own.groupBy(SEQ, "label_track").agg(F.min("t").alias("b"), F.max("t").alias("e"))
+    near = around(tracks).join(free.withColumnRenamed("label_track", "inner"), [SEQ, "inner"], "left_semi").join(span.withColumnRenamed("label_track", "inner"), [SEQ, "inner"])
+    rows = near.join(tracks.select(SEQ, F.col("label_track").alias("outer"), "index", "t"), [SEQ, "outer"])
+    ends = rows.groupBy(SEQ, "inner", "outer").agg(F.max(F.when(F.col("t") < F.col("b"), F.struct("t", "index"))).alias("before"), F.min(F.when(F.col("t") > F.col("e"), F.struct("t", "index"))).alias("after"))
+    links = ends.select(SEQ, "inner", "outer", F.col("before.index").alias("src")).join(preds.where(F.col("p1") > threshold).select(SEQ, "src", "dst"), [SEQ, "src"])
+    links = links.join(ends.select(SEQ, "inner", F.col("after.index").alias("dst")).distinct(), [SEQ, "inner", "dst"], "left_semi").select(SEQ, "inner", "outer").distinct()
+    have = lambda df, name: df.groupBy(SEQ, "inner").agg(F.count(F.lit(1)).alias(name))
+    found = have(ends, "_all").join(have(links, "_linked"), [SEQ, "inner"]).where("_all = _linked").select(SEQ, F.col("inner").alias("label_track"))
+    if pixels is None:
+        return found
+    masks = pixels.where("label != 0").select(SEQ, "t", F.col("label").alias("outer"), "y", "x")
+    sides = ends.select(SEQ, "inner", "outer", F.explode(F.array("before.t", "after.t")).alias("t"))
+    cover = sides.join(masks, [SEQ, "outer", "t"]).select(SEQ, F.col("inner").alias("label_track"), "y", "x").distinct().withColumn("_in", F.lit(1))
+    mine = own.select(SEQ, "label_track", "t").join(masks.withColumnRenamed("outer", "label_track"), [SEQ, "label_track", "t"])
+    share = mine.join(cover, [SEQ, "label_track", "y", "x"], "left").groupBy(SEQ, "label_track", "t").agg((F.count("_in") / F.count(F.lit(1))).alias("_share"))
+    covered = share.groupBy(SEQ, "label_track").agg(F.min("_share").alias("_least")).where(F.col("_least") > least_coverage).select(SEQ, "label_track")
+    return found.union(covered).distinct()
+
+
+def touching(tracks: DataFrame, pixels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (sequence_id, label_a, label_b) whose pixels are one 8-connected region in every frame that has any."""
+    from trackweave.operators.pixels import connected_parts
+
+    named = pairs.select(SEQ, "label_a", "label_b", F.explode(F.array("label_a", "label_b")).alias("label"))
+    named = named.withColumn("_pair", F.xxhash64("label_a", "label_b"))
+    frames = tracks.select(SEQ, F.col("label_track").alias("label"), "t").join(named, [SEQ, "label"]).select(SEQ, "_pair", "t").distinct()
+    own = named.join(pixels.where("label != 0"), [SEQ, "label"]).join(frames, [SEQ, "_pair", "t"], "left_semi")
+    parts = connected_parts(own.select(SEQ, "t", F.col("_pair").alias("label"), "y", "x"))
+    apart = parts.where("part > 0").select(SEQ, F.col("label").alias("_pair")).distinct()
+    return pairs.withColumn("_pair", F.xxhash64("label_a", "label_b")).join(apart, [SEQ, "_pair"], "left_anti").drop("_pair")
+
+
+def early_divisions(tracks: DataFrame, pixels: DataFrame, preds: DataFrame, most: int = 5, threshold: float = 0.5, least_frames: int = 3, least_coverage: float = 0.5) -> DataFrame:
+    """(sequence_id, parent, label, sibling, successor): divisions whose daughters become one cell again. C4.
+
+    The daughter lives at most ``most`` frames, its sibling at least ``least_frames`` and longer than until the
+    daughter's birth; neither divides again; they touch in every frame, and share none with their parent. The
+    successor has no parent, begins in the frame after both have ended, and their last masks cover at least
+    least_coverage of its first. If links lead to it from the last rows of parent or daughters, one must be above the
+    threshold (p1, or p2 where p1 is nowhere above 0). A successor is taken once, by the least parent."""
+    span = tracks.groupBy(SEQ, "label_track").agg(F.min("t").alias("b"), F.max("t").alias("e"), F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "index", "parent_track")).alias("f"), F.max(F.struct("t", "index")).alias("l"))
+    span = span.select(SEQ, "label_track", "b", "e", "n", F.col("f.parent_track").alias("parent"), F.col("f.index").alias("first"), F.col("l.index").alias("last"))
+    fertile = tracks.where("parent_track > 0").select(SEQ, F.col("parent_track").alias("label_track")).distinct()
+    short = span.join(short_tracks(tracks, most, True).select(SEQ, "label_track").distinct(), [SEQ, "label_track"], "left_semi").where("parent > 0").join(fertile, [SEQ, "label_track"], "left_anti")
+    other = span.where("parent > 0").select(SEQ, "parent", F.col("label_track").alias("sibling"), F.col("e").alias("s_e"), F.col("n").alias("s_n"), F.col("last").alias("s_last"))
+    met = short.select(SEQ, "parent", F.col("label_track").alias("label"), "b", "e", "last").join(other, [SEQ, "parent"]).where("label != sibling")
+    met = met.withColumn("_k", F.row_number().over(Window.partitionBy(SEQ, "label").orderBy("sibling"))).where("_k = 1").drop("_k")
+    met = met.join(fertile.withColumnRenamed("label_track", "sibling"), [SEQ, "sibling"], "left_anti").where((F.col("s_e") > F.col("b")) & (F.col("s_n") >= least_frames))
+    at = tracks.select(SEQ, "label_track", "t")
+    pair = met.select(SEQ, "parent", "label", "sibling")
+    theirs = pair.select(SEQ, "label", "sibling", "parent", F.explode(F.array("label", "sibling")).alias("label_track")).join(at, [SEQ, "label_track"]).select(SEQ, "label", "sibling", "parent", "t").distinct()
+    clash = theirs.join(at.withColumnRenamed("label_track", "parent"), [SEQ, "parent", "t"], "left_semi").select(SEQ, "label", "sibling").distinct()
+    met = met.join(clash, [SEQ, "label", "sibling"], "left_anti")
+    met = touching(tracks, pixels, met.withColumnsRenamed({"label": "label_a", "sibling": "label_b"})).withColumnsRenamed({"label_a": "label", "label_b": "sibling"})
+    # Covered first masks of cells that appear in the frame after both daughters have ended.
+    masks = pixels.where("label != 0").select(SEQ, "t", F.col("label").alias("label_track"), "y", "x")
+    sides = F.explode(F.array(F.struct(F.col("label").alias("label_track"), F.col("e").alias("t")), F.struct(F.col("sibling").alias("label_track"), F.col("s_e").alias("t")))).alias("m")
+    union = met.select(SEQ, "label", "sibling", (F.greatest("e", "s_e") + 1).alias("born"), sides).select(SEQ, "label", "sibling", "born", "m.*")
+    union = union.join(masks, [SEQ, "label_track", "t"]).select(SEQ, "label", "sibling", F.col("born").alias("t"), "y", "x").distinct()
+    fresh = span.where("parent = 0").select(SEQ, "label_track", F.col("b").alias("t"), "first")
+    first_masks = fresh.join(masks, [SEQ, "label_track", "t"])
+    area = first_masks.groupBy(SEQ, "label_track").agg(F.count(F.lit(1)).alias("_area"))
+    shared = union.join(first_masks, [SEQ, "t", "y", "x"]).where("label_track != label and label_track != sibling").groupBy(SEQ, "label", "sibling", F.col("label_track")).agg(F.count(F.lit(1)).alias("_n"))
+    shared = shared.join(area, [SEQ, "label_track"]).where(F.col("_n") >= least_coverage * F.col("_area"))
+    chosen = shared.groupBy(SEQ, "label", "sibling").agg(F.min("label_track").alias("successor"))
+    found = met.join(chosen, [SEQ, "label", "sibling"]).join(fresh.select(SEQ, F.col("label_track").alias("successor"), F.col("first").alias("dst")), [SEQ, "successor"])
+    found = found.join(span.select(SEQ, F.col("label_track").alias("parent"), F.col("last").alias("p_last")), [SEQ, "parent"], "left")
+    score = preds.groupBy(SEQ).agg(F.max("p1").alias("_most")).select(SEQ, (F.col("_most") == 0).alias("_plain"))
+    scored = preds.join(score, SEQ).select(SEQ, "src", "dst", F.when(F.col("_plain"), F.col("p2")).otherwise(F.col("p1")).alias("p"))
+    given = found.select(SEQ, "label", "sibling", "dst", F.explode(F.array("last", "s_last", "p_last")).alias("src")).join(scored, [SEQ, "src", "dst"]).groupBy(SEQ, "label", "sibling").agg(F.max("p").alias("_p"))
+    found = found.join(given, [SEQ, "label", "sibling"], "left").where(F.col("_p").isNull() | (F.col("_p") > threshold))
+    once = Window.partitionBy(SEQ, "successor").orderBy("parent", "label")
+    twin = Window.partitionBy(SEQ, "parent").orderBy("label")
+    found = found.withColumn("_k", F.row_number().over(twin)).where("_k = 1").withColumn("_k", F.row_number().over(once)).where("_k = 1")
+    return found.select(SEQ, "parent", "label", "sibling", "successor")
+
+
+def merge_into_parents(tracks: DataFrame, divisions: DataFrame) -> DataFrame:
+    """Daughters and successors of ``early_divisions`` become part of the parent's trajectory, with the parent's own
+    parent; what was born of them is born of it. Their rows have cell_source merged. C4."""
+    names = divisions.select(SEQ, F.explode(F.array("label", "sibling", "successor")).alias("old"), F.col("parent").alias("new"))
+    # A parent that is itself merged into another one leads on to that.
+    return _renamed(tracks, _resolved(names))
+
+
+def _resolved(names: DataFrame) -> DataFrame:
+    """(sequence_id, old, new) followed to its end."""
+    from trackweave.operators.lineage import _written
+
+    while True:
+        on = names.select(SEQ, F.col("old").alias("new"), F.col("new").alias("_next"))
+        stepped = _written(names.join(on, [SEQ, "new"], "left").select(SEQ, "old", "new", "_next"), "names")
+        if stepped.where("_next is not null").isEmpty():
+            return stepped.select(SEQ, "old", "new")
+        names = stepped.select(SEQ, "old", F.coalesce("_next", "new").alias("new"))
+
+
+def _renamed(tracks: DataFrame, names: DataFrame) -> DataFrame:
+    own = names.select(SEQ, F.col("old").alias("label_track"), F.col("new").alias("_l"))
+    up = names.select(SEQ, F.col("old").alias("parent_track"), F.col("new").alias("_p"))
+    heads = tracks.groupBy(SEQ, F.col("label_track").alias("_l")).agg(F.max(F.when(F.col("parent_track") != F.col("label_track"), F.col("parent_track"))).alias("_pp"))
+    heads = heads.join(names.select(SEQ, F.col("old").alias("_pp"), F.col("new").alias("_ppn")), [SEQ, "_pp"], "left").select(SEQ, "_l", F.coalesce("_ppn", "_pp", F.lit(0)).alias("_pp"))
+    given = tracks.join(own, [SEQ, "label_track"], "left").join(up, [SEQ, "parent_track"], "left").join(heads, [SEQ, "_l"], "left")
+    merged = F.col("_l").isNotNull()
+    out = given.withColumns({
+        "label_track": F.coalesce("_l", "label_track"), "parent_track": F.when(merged, F.col("_pp")).otherwise(F.coalesce("_p", "parent_track")),
+        "cell_source": F.when(merged, F.lit("merged")).otherwise(F.col("cell_source")),
+    })
+    return out.select(*tracks.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +15,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="trackweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
@@ -60,7 +58,9 @@ def trajectories(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def numbered_labels(tracks: DataFrame) -> DataFrame:
     """label_track 1..n in order of the first nodes, parent_track 0 where there is none. G11."""
-    heads = tracks.where("index = start").select(SEQ, "start", F.row_number().over(Window.partitionBy(SEQ).orderBy("start")).alias("label_track"))
+    from trackweave.operators.numbering import numbered
+
+    heads = numbered(tracks.where("index = start").select(SEQ, "start"), "label_track", "start")
     own = tracks.join(heads, [SEQ, "start"])
     return own.join(heads.withColumnsRenamed({"start": "parent", "label_track": "parent_track"}), [SEQ, "parent"], "left").select(SEQ, "index", "label_track", F.coalesce("parent_track", F.lit(0)).alias("parent_track"))
 

@@ -14,7 +14,11 @@ LENGTHS = ("axis", "thickness", "septum_width")
 
 def dense_index(df: DataFrame, *order: str) -> DataFrame:
     """index 0..n-1 in each sequence by the given total order; src < dst then means forward in time. W6."""
-    return df.withColumn("index", (F.row_number().over(Window.partitionBy(SEQ).orderBy(*order)) - 1).cast("long"))
+    from trackweave.operators.numbering import numbered
+
+    keys = [F.col(c).alias(f"_by{k}") for k, c in enumerate(order)]
+    out = numbered(df.select("*", *keys).drop("index"), "index", *(f"_by{k}" for k in range(len(order)))).withColumn("index", F.col("index") - 1)
+    return out.select(*df.columns if "index" in df.columns else [*df.columns, "index"])
 
 
 def area_filter(df: DataFrame, least: float, *order: str) -> DataFrame:
@@ -56,7 +60,7 @@ def size_normalisation(df: DataFrame, columns: list[str]) -> DataFrame:
     first = df.withColumn("_t0", F.min("t").over(Window.partitionBy(SEQ))).where("t = _t0")
     medians = first.groupBy(SEQ).agg(F.median("axis_major_length").alias("len_init"), F.median("area").alias("area_init"))
     safe = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, 1.0).otherwise(F.col(c))
-    given = df.join(F.broadcast(medians.select(SEQ, safe("len_init").alias("len_init"), safe("area_init").alias("area_init"))), SEQ, "left")
+    given = df.join(medians.select(SEQ, safe("len_init").alias("len_init"), safe("area_init").alias("area_init")), SEQ, "left")
     scale = lambda c: F.col("len_init") if any(k in c for k in LENGTHS) else F.col("area_init")
     normed = given.withColumns({f"{c}_norm": F.log((F.col(c) + EPS) / (scale(c) + EPS)) for c in columns})
     return normed.withColumns({c: F.col(c).cast("float") for c in ("len_init", "area_init")})
@@ -145,7 +149,7 @@ def crop_boxes(nodes: DataFrame, size: float, height: int, width: int) -> DataFr
 def percentile_scale(df: DataFrame, value: str = "intensity", low: float = 0.0005, high: float = 0.9995) -> DataFrame:
     """The value between two exact percentiles of its sequence, clipped to [0, 1]. S15, S17."""
     p = df.groupBy(SEQ).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
-    given = df.join(F.broadcast(p), SEQ)
+    given = df.join(p, SEQ)
     lo, hi = F.element_at("_p", 1), F.element_at("_p", 2)
     width = F.when(hi - lo == 0, 1.0).otherwise(hi - lo)
     return given.withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - lo) / width))).drop("_p")

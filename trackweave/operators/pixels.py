@@ -31,7 +31,7 @@ def instance_check(pixels: DataFrame, frames: int = 16) -> DataFrame:
     """Labels in evenly spaced frames, and whether each has a single one: then it is no instance mask. S6."""
     last = pixels.groupBy(SEQ).agg(F.max("t").alias("_last"))
     at = last.select(SEQ, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.floor(k * F.col("_last") / (frames - 1)).cast("int")))).alias("t"))
-    return pixels.join(F.broadcast(at), [SEQ, "t"], "left_semi").where("label != 0").groupBy(SEQ, "t").agg(F.countDistinct("label").alias("labels"))
+    return pixels.join(at, [SEQ, "t"], "left_semi").where("label != 0").groupBy(SEQ, "t").agg(F.countDistinct("label").alias("labels"))
 
 
 def thickness(pixels: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def merge_directions(df: DataFrame) -> DataFrame:
     sides = df.groupBy(SEQ).agg(F.count_if(F.col("src") < F.col("dst")).alias("_f"), F.count_if(F.col("src") > F.col("dst")).alias("_b"))
     reverse = backward.select(SEQ, "src", "dst", *(F.col(c).alias(f"_{c}") for c in scores))
     both = forward.join(reverse, [SEQ, "src", "dst"]).select(*[((F.col(c) + F.col(f"_{c}")) / 2).alias(c) if c in scores else F.col(c) for c in df.columns])
-    alone = forward.unionByName(backward.select(*df.columns)).join(F.broadcast(sides.where("_f = 0 or _b = 0").select(SEQ)), SEQ, "left_semi")
+    alone = forward.unionByName(backward.select(*df.columns)).join(sides.where("_f = 0 or _b = 0").select(SEQ), SEQ, "left_semi")
     return both.unionByName(alone.select(*df.columns))
 
 
@@ -66,7 +66,7 @@ def expand_binary(df: DataFrame) -> DataFrame:
     """One score a becomes (1 - a, 0, a); a is squashed unless all of a sequence's scores are in [0, 1] already. F24."""
     whole = df.groupBy(SEQ).agg((F.min("p0") >= 0).alias("_low"), (F.max("p0") <= 1).alias("_high"))
     rest = [c for c in df.columns if c != "p0"]
-    given = df.join(F.broadcast(whole), SEQ).withColumn("_a", F.when(F.col("_low") & F.col("_high"), F.col("p0")).otherwise(sigmoid(F.col("p0"))))
+    given = df.join(whole, SEQ).withColumn("_a", F.when(F.col("_low") & F.col("_high"), F.col("p0")).otherwise(sigmoid(F.col("p0"))))
     return given.select(*rest, (1 - F.col("_a")).alias("p0"), F.lit(0.0).alias("p1"), F.col("_a").alias("p2"))
 
 

@@ -27,7 +27,7 @@ def frame_pairs(frames: DataFrame, dts: list[int], connectivity: str = "star") -
 def boundary_pairs(pairs: DataFrame, bounds: DataFrame, bidirectional: bool = True) -> DataFrame:
     """Pairs past an end of the sequence are moved by their stride, if links go both ways; what is still outside, and
     stride 0, goes. bounds is (sequence_id, n_frames). J3."""
-    given = pairs.join(F.broadcast(bounds), SEQ).withColumn("_to", F.col("t") + F.col("dist_temp")).where("dist_temp != 0")
+    given = pairs.join(bounds, SEQ).withColumn("_to", F.col("t") + F.col("dist_temp")).where("dist_temp != 0")
     if bidirectional:
         n = F.abs("dist_temp")
         shift = F.when((F.col("t") >= F.col("n_frames")) | (F.col("_to") >= F.col("n_frames")), -n).when((F.col("t") < 0) | (F.col("_to") < 0), n).otherwise(0)
@@ -135,15 +135,30 @@ def hash_sample(df: DataFrame, fraction: float, seed: int, *key: str) -> DataFra
 
 
 def capped(df: DataFrame, most: int, seed: int, *key: str) -> DataFrame:
-    """At most so many rows of each sequence, those with the least hashes. L6."""
+    """At most so many rows of each sequence, those with the least hashes. L6. Ranks have a limit, so each task cuts its
+    rows to it before the shuffle."""
     w = Window.partitionBy(SEQ).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
 
 
+#: Steps of a draw's uniform number: 52 bits of hash.
+DRAW = 1 << 52
+
+
 def weighted_draws(weights: DataFrame, n: int, seed: int) -> DataFrame:
-    """(draw, sequence_id): n draws with replacement by mass, through the cumulated mass. L8."""
+    """(draw, sequence_id): n draws with replacement by mass. L8.
+
+    A draw's number comes from the hash of draw and seed, so reruns agree on any cluster. Each sequence stands in the
+    cells of a grid of as many cells as there are sequences that its part of the cumulated mass touches; a draw looks
+    into its own cell only."""
     order = Window.orderBy(SEQ)  # one row for each sequence
+    total = F.sum("mass").over(Window.partitionBy(F.lit(0)))
     upper = F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ladder = F.broadcast(weights.select(SEQ, (upper - F.col("mass")).alias("_low"), upper.alias("_high"), (F.lead(SEQ).over(order).isNull()).alias("_last")))
-    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("_u"))
-    return draws.join(ladder, (F.col("_u") >= F.col("_low")) & ((F.col("_u") < F.col("_high")) | F.col("_last"))).select("draw", SEQ)
+    ladder = weights.where("mass > 0").select(SEQ, ((upper - F.col("mass")) / total).alias("_low"), (upper / total).alias("_high"), F.lead(SEQ).over(order).isNull().alias("_last"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_cells"))
+    cell = lambda u: F.least(F.floor(u * F.col("_cells")), F.col("_cells") - 1)
+    ladder = ladder.withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
+    cells = weights.where("mass > 0").agg(F.count(F.lit(1)).alias("_cells"))
+    draws = weights.sparkSession.range(n).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(DRAW)) / DRAW).alias("_u"))
+    draws = draws.withColumn("_cells", F.lit(cells.first()[0])).withColumn("_cell", cell(F.col("_u"))).drop("_cells")
+    met = draws.join(ladder, "_cell")
+    return met.where((F.col("_u") >= F.col("_low")) & ((F.col("_u") < F.col("_high")) | F.col("_last"))).select("draw", SEQ)

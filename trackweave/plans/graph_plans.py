@@ -72,10 +72,10 @@ def _j14(spark, d):
     return n.join_lineage(df, df.where("index % 2 = 0").withColumn("state", F.col("index") % 3)).select("sequence_id", "index", "parent", "state")
 
 
-@plan("j15_unmatched_lineage", sql("+a AS (SELECT DISTINCT sequence_id, label FROM nodes WHERE t < 200), b AS (SELECT DISTINCT sequence_id, label FROM nodes WHERE t >= 300) SELECT *, 'lineage' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'nodes' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)", "nodes"))
+@plan("j15_unmatched_lineage", sql("+a AS (SELECT DISTINCT sequence_id, label FROM nodes WHERE index % 2 = 0), b AS (SELECT DISTINCT sequence_id, label FROM nodes WHERE index % 2 = 1 AND label % 3 > 0) SELECT *, 'lineage' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'nodes' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)", "nodes"))
 def _j15(spark, d):
     df = a.nodes(spark, d)
-    return n.unmatched_lineage(df.where("t < 200"), df.where("t >= 300"))
+    return n.unmatched_lineage(df.where("index % 2 = 0"), df.where("index % 2 = 1 and label % 3 > 0"))
 
 
 @plan("a7_valid_frames", sql("+last AS (SELECT sequence_id, max(t) AS m FROM nodes GROUP BY ALL) SELECT l.sequence_id, CAST(f.range AS INTEGER) AS t, EXISTS (SELECT 1 FROM nodes n WHERE n.sequence_id = l.sequence_id AND n.t = f.range) AS valid FROM last l, range(5000) f WHERE f.range <= l.m", "nodes"))
@@ -321,11 +321,11 @@ def _j5(spark, d):
     return w.window_pairs(_frames(spark, d), [1, 2, 3], 0.5)
 
 
-WINDOWS = f"{FRAMES}, {NEAR}, wp AS (SELECT DISTINCT sequence_id, t AS window_t, CAST(t AS INTEGER) AS t, CAST(s.col0 AS INTEGER) AS dist_temp FROM frames, (VALUES (1), (2)) s WHERE t % 10 = 0), we AS (SELECT e.*, wp.window_t FROM near e JOIN wp ON wp.sequence_id = e.sequence_id AND wp.t = e.t AND wp.dist_temp = e.dist_temp)"
+WINDOWS = f"{FRAMES}, {NEAR}, wp AS (SELECT DISTINCT sequence_id, t AS window_t, CAST(t AS INTEGER) AS t, CAST(s.col0 AS INTEGER) AS dist_temp FROM frames, (VALUES (1), (2)) s), we AS (SELECT e.*, wp.window_t FROM near e JOIN wp ON wp.sequence_id = e.sequence_id AND wp.t = e.t AND wp.dist_temp = e.dist_temp)"
 
 
 def _window_edges(spark, d):
-    return w.edges_of_pairs(_near(spark, d), w.window_pairs(_frames(spark, d).where("t % 10 = 0"), [1, 2], None, False))
+    return w.edges_of_pairs(_near(spark, d), w.window_pairs(_frames(spark, d), [1, 2], None, False))
 
 
 for _name in ("f18_frame_pair_filter", "g5_window_edges"):

@@ -101,7 +101,7 @@ def _c9(spark, d):
     return c.relabel_from(_early(spark, d), 30, 900, 5).select("sequence_id", "index", "label_track", "parent_track")
 
 
-@plan("a13_short_tracks", sql("+l AS (SELECT *, max(t) OVER w - min(t) OVER w + 1 AS lifetime FROM early WINDOW w AS (PARTITION BY sequence_id, label_track)), last AS (SELECT * FROM l WHERE lifetime <= 13 QUALIFY row_number() OVER (PARTITION BY sequence_id, label_track ORDER BY t DESC, index DESC) = 1) SELECT sequence_id, label_track, t, lifetime FROM last WHERE t + lifetime <= (SELECT max(t) FROM last)", "early"))
+@plan("a13_short_tracks", sql("+l AS (SELECT *, max(t) OVER w - min(t) OVER w + 1 AS lifetime FROM early WINDOW w AS (PARTITION BY sequence_id, label_track)), last AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY sequence_id, label_track ORDER BY t DESC, index DESC) = 1) SELECT sequence_id, label_track, t, lifetime FROM last WHERE lifetime <= 13 AND t + lifetime <= (SELECT max(t) FROM last)", "early"))
 def _a13(spark, d):
     return c.short_tracks(_early(spark, d), 13).select("sequence_id", "label_track", "t", "lifetime")
 
@@ -160,9 +160,22 @@ def _links_of(spark, d):
 LINKED = "preds AS (SELECT t.sequence_id, t.index AS src, n.index AS dst, (t.index * 3 + n.index * 7) % 100 / 100 AS p1, (t.index * 5 + n.index * 7) % 100 / 100 AS p2 FROM base n JOIN base t ON n.t - 1 = t.t AND n.label_track - 1 = t.label_track)"
 
 
-@plan("c6_removable_merges", sql(f"+{LINKED}, {COVER}, free AS (SELECT DISTINCT inner_track AS l FROM cover WHERE inner_track NOT IN (SELECT label_track FROM tracks WHERE parent_track > 0 AND parent_track <> label_track) AND inner_track NOT IN (SELECT parent_track FROM tracks WHERE parent_track > 0 AND parent_track <> label_track)) SELECT DISTINCT t.sequence_id, t.label_track FROM free JOIN tracks t ON t.label_track = l WHERE l NOT IN (SELECT label_track FROM tracks JOIN preds ON src = index WHERE greatest(p1, p2) > 0.98) AND l IN (SELECT label_track FROM tracks JOIN preds ON dst = index WHERE p1 > 0)", "base", "brief"))
+def _bridges(spark, d):
+    """Scores from each row of a trajectory to its next one, and to the row that is next by index."""
+    from pyspark.sql import Window
+
+    t = _brief(spark, d)
+    nxt = F.lead("index").over(Window.partitionBy("sequence_id", "label_track").orderBy("t", "index"))
+    own = t.select("sequence_id", F.col("index").alias("src"), nxt.alias("dst")).where("dst is not null").withColumn("p1", (F.col("src") * 3 + F.col("dst") * 7) % 10 / 10 + 0.4)
+    return own.union(t.select("sequence_id", F.col("index").alias("src"), (F.col("index") + 1).alias("dst"), (F.col("index") * 3 % 100 / 100).alias("p1"))).withColumn("p2", F.lit(0.0))
+
+
+BRIDGED = "bridged AS (SELECT index, lead(index) OVER (PARTITION BY label_track ORDER BY t, index) AS nxt FROM tracks), preds AS (SELECT index AS src, nxt AS dst, (index * 3 + nxt * 7) % 10 / 10 + 0.4 AS p1 FROM bridged WHERE nxt IS NOT NULL UNION ALL SELECT index, index + 1, index * 3 % 100 / 100 FROM tracks)"
+
+
+@plan("c6_removable_merges", sql(f"+{BRIDGED}, {COVER}, free AS (SELECT DISTINCT inner_track AS l FROM cover WHERE inner_track NOT IN (SELECT label_track FROM tracks WHERE parent_track > 0 AND parent_track <> label_track) AND inner_track NOT IN (SELECT parent_track FROM tracks WHERE parent_track > 0 AND parent_track <> label_track)), own AS (SELECT t.* FROM tracks t JOIN free ON l = t.label_track), leaving AS (SELECT DISTINCT o.label_track AS l FROM own o JOIN preds p ON p.src = o.index WHERE p.p1 > 0.5 AND NOT EXISTS (SELECT 1 FROM own z WHERE z.label_track = o.label_track AND z.index = p.dst)), left_over AS (SELECT l FROM free WHERE l NOT IN (SELECT l FROM leaving)), rim AS (SELECT i.label_track AS ins, o.label_track AS outs, i.b, i.e FROM span i JOIN left_over f ON f.l = i.label_track JOIN span o ON o.b < i.b AND o.e > i.e AND NOT EXISTS (SELECT 1 FROM tracks x JOIN tracks y ON y.t = x.t AND y.label_track = i.label_track WHERE x.label_track = o.label_track)), ends AS (SELECT ins, outs, arg_max(t.index, t.t) FILTER (WHERE t.t < rim.b) AS before, arg_min(t.index, t.t) FILTER (WHERE t.t > rim.e) AS after FROM rim JOIN tracks t ON t.label_track = rim.outs GROUP BY ALL), linked AS (SELECT DISTINCT e.ins, e.before FROM ends e JOIN preds p ON p.src = e.before AND p.p1 > 0.5 JOIN ends z ON z.ins = e.ins AND z.after = p.dst) SELECT 'events' AS sequence_id, e.ins AS label_track FROM ends e LEFT JOIN linked l ON l.ins = e.ins AND l.before = e.before GROUP BY e.ins HAVING count(*) = count(l.before)", "brief"))
 def _c6(spark, d):
-    return c.removable_merges(_brief(spark, d), _links_of(spark, d), 0.98)
+    return c.removable_merges(_brief(spark, d), _bridges(spark, d), 0.5)
 
 
 @plan("a19_best_correspondence", sql(f"+{LINKED} SELECT sequence_id, dst AS index, {r('max(p1)', 'best')} FROM preds GROUP BY ALL", "base"))
@@ -287,10 +300,11 @@ def _u4(spark, d):
     return c.shared_frames(a.tracks(spark, d))
 
 
-@plan("u3_lineage_difference", sql("SELECT sequence_id, label_track FROM tracks WHERE t < 10 EXCEPT SELECT sequence_id, label_track FROM tracks WHERE t >= 20", "tracks"))
+@plan("u3_lineage_difference", sql("SELECT sequence_id, label_track + t % 2 * 7 AS label_track FROM tracks WHERE index % 2 = 0 EXCEPT SELECT sequence_id, label_track FROM tracks WHERE index % 2 = 1", "tracks"))
 def _u3(spark, d):
     t = a.tracks(spark, d)
-    return t.where("t < 10").select("sequence_id", "label_track").distinct().exceptAll(t.where("t >= 20").select("sequence_id", "label_track").distinct())
+    one = t.where("index % 2 = 0").select("sequence_id", (F.col("label_track") + F.col("t") % 2 * 7).alias("label_track")).distinct()
+    return one.exceptAll(t.where("index % 2 = 1").select("sequence_id", "label_track").distinct())
 
 
 @plan("u2_distinct_subset", sql("SELECT DISTINCT sequence_id, src, dst FROM preds", "preds"))

@@ -44,11 +44,13 @@ class EdgeStore:
             return None
         return None if row is None else StoreMeta(**json.loads(row[0]))
 
-    def write(self, links: DataFrame, meta: StoreMeta) -> None:
-        """Replace the partitions of the links' strides; others stay. Forward links only: the rest is their mirror."""
+    def write(self, links: DataFrame, meta: StoreMeta, anew: bool = False) -> None:
+        """Replace the partitions of the links' strides; others stay, unless the store is made anew. Forward links only:
+        the rest is their mirror."""
         forward = links.where("dist_temp > 0").withColumn("dt", F.abs("dist_temp"))
-        spread = forward.repartition("dt", F.pmod(F.xxhash64("src"), F.lit(8))).sortWithinPartitions("dt", "src", "dst")
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(f"{self.path}/links")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = forward.repartition(parts, "dt", F.pmod(F.xxhash64("src"), F.lit(parts))).sortWithinPartitions("dt", "src", "dst")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "static" if anew else "dynamic").partitionBy("dt").parquet(f"{self.path}/links")
         self.spark.createDataFrame([(json.dumps(asdict(meta)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
 
     def strides(self) -> list[int]:
@@ -71,5 +73,5 @@ class EdgeStore:
             known, missing = have, sorted(set(want.strides) - set(have.strides))
         if missing:
             known.strides = sorted({*known.strides, *missing})
-            self.write(compute(missing, known.radius), known)
+            self.write(compute(missing, known.radius), known, anew=known is not have)
         return self.scan(want.strides, want.radius, want.bidirectional)

@@ -35,16 +35,18 @@ def mask_folder(names: list[str], sequence: str, kind: str | None = None) -> str
 
 
 def find_lineage(names: list[str], start: str) -> str | None:
-    """The lineage file nearest to a folder, searching outward; in one folder by the order of LINEAGE_NAMES. S7."""
-    folder = start.rstrip("/")
-    while True:
-        for name in LINEAGE_NAMES:
-            path = f"{folder}/{name}" if folder else name
-            if path in names:
-                return path
-        if not folder:
-            return None
-        folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
+    """The file of states nearest to a folder, searching outward; only without any, the nearest file of tracks, in one
+    folder by the order of LINEAGE_NAMES. S7."""
+    folders = [start.rstrip("/")]
+    while folders[-1]:
+        folders.append(folders[-1].rpartition("/")[0])
+    for kinds in (LINEAGE_NAMES[:1], LINEAGE_NAMES[1:]):
+        for folder in folders:
+            for name in kinds:
+                path = f"{folder}/{name}" if folder else name
+                if path in names:
+                    return path
+    return None
 
 
 def choose_checkpoint(names: list[str]) -> str | None:
@@ -65,15 +67,15 @@ def result_suffix(layout: str, given: str | None = None) -> str:
     return given if given is not None else {"ctc": "_RES", "flat": "_tracks"}[layout]
 
 
-def shared_id(images: str, masks: str) -> str:
+def shared_id(images: str, masks: str) -> str | None:
     """The common beginning of two file names without _, -, . and space at its end, if longer than one character; else
-    the masks' name. K11."""
+    none. K11."""
     a, b = (n.rsplit("/", 1)[-1].rsplit(".", 1)[0] for n in (images, masks))
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     common = a[:k].rstrip("_-. ")
-    return common if len(common) > 1 else b
+    return common if len(common) > 1 else None
 
 
 def results_exist(names: list[str], sequence: str, layout: str, suffix: str | None = None) -> bool:
