@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -63,14 +62,8 @@ def test_empty_tables(spark, rows):
 
 
 def brute_units(text):
-    """Cut after line feeds, after a sentence mark and a space, and before a capital that follows a space."""
-    out = [""]
-    for k, ch in enumerate(text):
-        before = text[max(0, k - 2) : k]
-        if k and (before[-1] == "\n" or before[-1] == " " and (before[:-1] in tuple(".!?") or unicodedata.category(ch) == "Lu")):
-            out.append("")
-        out[-1] += ch
-    return out
+    """Lines, each with its line feed."""
+    return [f"{x}\n" for x in text.split("\n")[:-1]] + [text.split("\n")[-1]]
 
 
 def brute_spans(units, need):
@@ -90,20 +83,8 @@ def brute_spans(units, need):
 
 
 def without(units, gone):
-    """The units but those in gone; a run that began inside a line and ended it leaves the line feed."""
-    if not gone:
-        return "".join(units)
-    out = ""
-    for k, u in enumerate(units):
-        if k not in gone:
-            out += u
-        elif k + 1 not in gone and u.endswith("\n"):
-            start = k
-            while start - 1 in gone:
-                start -= 1
-            if start and not units[start - 1].endswith("\n"):
-                out = out.rstrip(" ") + "\n"
-    return out.rstrip(" \t\n\v\f\r")
+    out = "".join(u for k, u in enumerate(units) if k not in gone)
+    return out.rstrip(" \t\n\v\f\r") if gone else out
 
 
 def brute_line_dedup(texts, need):
@@ -129,9 +110,9 @@ def brute_line_dedup(texts, need):
 
 def test_line_dedup(spark, rows):
     rng = random.Random(14)
-    passage = " ".join(f"{words(rng, n).capitalize().rstrip('.,')}." for n in (9, 30, 3, 12))
-    inside = [(100, f"Some text before {passage} and more.", "en", "a"), (101, f"other words {passage}\nNext line {passage} again", "fr", "b"), (102, f"x {passage[:150]}", "fr", "b")]
-    inside += [(103 + k, "\n".join(words(rng, rng.randrange(1, 30)) for _ in range(9)) + passage[: rng.randrange(400)] + passage, None, "b") for k in range(10)]
+    passage = "\n".join(words(rng, n) for n in (9, 30, 3, 12))
+    inside = [(100, f"a text\n{passage}\nand more", "en", "a"), (101, f"other words\n{passage} \n\nnext line\n{passage}\nagain", "fr", "b"), (102, f"x\n{passage[:150]}", "fr", "b")]
+    inside += [(103 + k, "\n".join(words(rng, rng.randrange(1, 30)) for _ in range(9)) + "\n" + passage[: rng.randrange(400)] + "\n" + passage, None, "b") for k in range(10)]
     every = [*rows, *inside]
     want = brute_line_dedup({(i is None, i or 0, t) for i, t, *_ in every}, lines.MIN_WORDS)
     df = lines.line_dedup(table(spark, every).withColumn("original", F.col("text")))
@@ -143,7 +124,7 @@ def test_line_dedup(spark, rows):
         else:
             assert (r.text, r.n_removed) == want[r.doc_id is None, r.doc_id or 0, r.original]
     assert sum(r.n_removed for r in got) > 5
-    assert {r.doc_id: r.text for r in got if r.doc_id in (100, 101)} == {100: inside[0][1], 101: "other words\nNext line again"}
+    assert {r.doc_id: r.text for r in got if r.doc_id in (100, 101)} == {100: inside[0][1], 101: "other words\n\nnext line\nagain"}
 
 
 def test_line_dedup_of_a_text_of_many_lines(spark):

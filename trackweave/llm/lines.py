@@ -1,17 +1,14 @@
 """Line dedup by winnowing: DataFrame functions only.
 
-A *unit* is a line, or a part of a long one: lines are cut after sentence marks and before capitals, so a passage that
-stands inside unlike lines gives the same units in each. A *span* is a shortest stretch of consecutive units with at
-least MIN_WORDS words, reaching on from its first unit or back from its last. A unit goes if it lies in a span whose
-units occur, as a whole, at an earlier place of the corpus (by doc_id, then place in the text). Every run of units that
-repeats with MIN_WORDS words or more is a union of such spans, so it goes whole except where it stands first; shorter
-repeats stay.
-
-How they are found: units are hashed, a *gram* is a shortest stretch with half of MIN_WORDS, and of the grams that
+A *span* is a shortest stretch of consecutive lines with at least MIN_WORDS words, reaching on from its first line or
+back from its last. A line goes if it lies in a span whose lines occur, as a whole, at an earlier place of the corpus
+(by doc_id, then place in the text). Every run of lines that repeats with MIN_WORDS words or more is a union of such
+spans, so it goes whole except where it stands first; shorter repeats stay.
+
+How they are found: lines are hashed, a *gram* is a shortest stretch with half of MIN_WORDS, and of the grams that
 start within half of MIN_WORDS words of each other the one with the least hash is kept (window minimum). Every span has
-a kept gram inside, equal spans the same one. This is done inside each row, by array functions; only the kept grams are
-shuffled. Texts that share one are looked at further: positions are joined at equal grams, and the spans around them,
-both ways, are compared by 64 and 32 bits of hash of each unit.
+a kept gram inside, equal spans the same one. Positions are joined at equal grams; only texts that share one are looked
+at further, where the spans around the shared grams, both ways, are compared by 64 and 32 bits of hash of each line.
 """
 
 from __future__ import annotations
@@ -22,69 +19,32 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import WORD, materialize, salted_join
 
 MIN_WORDS = 50
-#: Between which characters a text is cut: after a line feed, after a sentence mark and a space, before a capital.
-BOUNDARY = r"(?<=\n)|(?<=[.!?]\x20)|(?<=\x20)(?=\p{Lu})"
 SPACE = " \t\n\x0b\x0c\r"
 
 
-def text_units(text: Column) -> Column:
-    """The units of a text, with the white space that follows each; joined they are the text."""
-    return F.split(F.coalesce(text, F.lit("")), BOUNDARY, -1)
-
-
-def _let(name: str, value: str, body: str) -> str:
-    """SQL: body with name bound to value, evaluated once. (The optimizer puts a column's expression in the place of
-    its name, even inside a lambda, where it would be evaluated for each element.)"""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
+def text_lines(text: Column) -> Column:
+    """The lines of a text, each with its line feed; joined they are the text."""
+    return F.split(F.coalesce(text, F.lit("")), r"(?<=\n)", -1)
 
-#: Units that are looked at one by one for a gram's end; a longer one is added up.
-NEAR = 6
 
-
-def _keys(ident: str, text: str) -> list[Column]:
-    """96 bits of hash that stand for a row's id and text."""
-    return [F.xxhash64(ident, text).alias("k0"), F.hash(ident, text).alias("k1")]
-
-
-def kept_grams(docs: DataFrame, ident: str, text: str, min_words: int) -> DataFrame:
-    """(k0, k1, grams, repeats): of each text the different kept grams, and whether one of its grams occurs in it twice."""
-    half = max(1, min_words // 2)
-    word = WORD.replace("\\", "\\\\")
-    space = SPACE.encode("unicode_escape").decode()
-    units = f"filter(transform(u, x -> struct(least(regexp_count(x, '{word}'), {half}) as w, xxhash64(btrim(x, '{space}')) as h)), x -> x.w > 0)"
-    far = f"aggregate(slice(t.w, i + 1, {half}), 0L, (a, x) -> if(a >= {half}000000L, a, a + x * 1000000L + 1L), a -> if(a >= {half}000000L, cast(a % 1000000L as int), 0))"
-    reach = far
-    for k in range(NEAR, 0, -1):
-        reach = f"if({' + '.join(f't.w[i + {j}]' for j in range(k))} >= {half}, {k}, {reach})"
-    # How many units each gram has (0: too few follow), its hash, and the least of those that start inside it.
-    each = f"transform(sequence(0, t.n - 1), i -> {reach})"
-    hashes = "transform(r, (k, i) -> if(k > 0, xxhash64(slice(t.h, i + 1, k)), null))"
-    least = "array_distinct(filter(transform(r, (k, i) -> array_min(slice(g, i + 1, greatest(k, 1)))), x -> x is not null))"
-    found = _let("r", each, _let("g", hashes, f"struct({least} as grams, size(array_distinct(filter(g, x -> x is not null))) < size(filter(g, x -> x is not null)) as repeats)"))
-    none = "struct(cast(array() as array<bigint>) as grams, false as repeats)"
-    columns = f"struct(concat(m.w, array_repeat(0, {NEAR})) as w, m.h as h, size(m) as n)"
-    whole = _let("m", units, f"if(aggregate(m.w, 0L, (a, x) -> a + x) < {half}, {none}, {_let('t', columns, found)})")
-    given = docs.select(*_keys(ident, text), text_units(F.col(text)).alias("u"))
-    return given.select("k0", "k1", F.expr(whole).alias("f")).select("k0", "k1", "f.grams", "f.repeats")
-
-
-def winnowed_units(docs: DataFrame, min_words: int) -> DataFrame:
-    """For texts (k0, k1, id, text) a row for each unit with words: k0, k1, id, th (the text's hash), i (its place among
-    all units), at and stop (words before it and up to its end), h and g (hashes), gram: its gram's hash if kept."""
+def winnowed_lines(docs: DataFrame, ident: str, text: str, min_words: int) -> DataFrame:
+    """A line's row for each that has words: row, id, th (the text's hash), i (its place among all lines), at and stop
+    (words before it and up to its end), h and g (hashes), gram: the hash of its gram if that is kept."""
     half = max(1, min_words // 2)
-    given = docs.select("k0", "k1", "id", F.xxhash64("text").alias("th"), F.posexplode(text_units(F.col("text"))).alias("i", "u"))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
+    given = given.select("row", "id", F.xxhash64("text").alias("th"), F.posexplode(text_lines(F.col("text"))).alias("i", "u"))
     own = F.btrim("u", F.lit(SPACE))
-    rows = given.select("k0", "k1", "id", "th", "i", F.regexp_count("u", F.lit(WORD)).cast("long").alias("w"), F.xxhash64(own).alias("h"), F.hash(own).alias("g")).where("w > 0")
-    by_place, by_word = Window.partitionBy("k0", "k1").orderBy("i"), Window.partitionBy("k0", "k1").orderBy("at")
+    rows = given.select("row", "id", "th", "i", F.regexp_count("u", F.lit(WORD)).cast("long").alias("w"), F.xxhash64(own).alias("h"), F.hash(own).alias("g")).where("w > 0")
+    by_place, by_word = Window.partitionBy("row").orderBy("i"), Window.partitionBy("row").orderBy("at")
     rows = rows.withColumn("stop", F.sum("w").over(by_place)).withColumn("at", F.col("stop") - F.col("w")).drop("w")
-    # A gram has the units that start less than half of min_words on; at the text's end there are too few.
-    within, before = by_word.rangeBetween(0, half - 1), by_word.rangeBetween(1 - half, 0)
+    # A gram has the lines that start less than half of min_words on; at the text's end there are too few.
+    within = by_word.rangeBetween(0, half - 1)
     rows = rows.withColumns({"_hs": F.collect_list("h").over(within), "_end": F.max("stop").over(within)})
     rows = rows.withColumn("_gram", F.when(F.col("_end") - F.col("at") >= half, F.xxhash64("_hs"))).drop("_hs", "_end")
     # A gram is kept if it is the least of one of the windows that it is in.
-    rows = rows.withColumn("_least", F.min("_gram").over(within))
-    rows = rows.withColumn("_most", F.max("_least").over(before))
+    reach = min_words - half
+    rows = rows.withColumn("_least", F.min("_gram").over(by_word.rangeBetween(0, reach)))
+    rows = rows.withColumn("_most", F.max("_least").over(by_word.rangeBetween(-reach, 0)))
     return rows.withColumn("gram", F.when(F.col("_gram") == F.col("_most"), F.col("_gram"))).drop("_gram", "_least", "_most")
 
 
@@ -93,28 +53,20 @@ def _place(at: str) -> Column:
 
 
 def repeated_runs(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first, last): runs of units, apart from each other, that repeat earlier ones; th: the hash of their text."""
-    kept = materialize(kept_grams(docs, ident, text, min_words), "line-grams")
-    grams = kept.select("k0", "k1", F.explode("grams").alias("gram"))
-    # Grams that several texts have; counts are formed before the shuffle, so a hot passage costs a row a task.
-    several = materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "line-several")
-    found = salted_join(grams, several, ["gram"], "left_semi", by=F.col("k0")).select("k0", "k1")
-    found = materialize(found.union(kept.where("repeats").select("k0", "k1")).distinct(), "line-near")
-    near = docs.select(*_keys(ident, text), F.col(ident).alias("id"), F.col(text).alias("text")).join(found.hint("shuffle_hash"), ["k0", "k1"], "left_semi")
-    if not kept.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        near = near.dropDuplicates(["k0", "k1"])
-    near = materialize(winnowed_units(near, min_words), "line-units")
-    # Positions of grams that occur twice, in several texts or in one.
-    anchors = near.where("gram is not null").select("k0", "k1", "at", "gram")
-    twice = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    shared = salted_join(anchors, twice, ["gram"], "left_semi", by=F.col("k0")).select("k0", "k1", "at", F.lit(1).alias("hit"))
-    near = near.drop("gram").join(shared.hint("shuffle_hash"), ["k0", "k1", "at"], "left")
-    # Spans on from each unit and back from each, near a shared gram.
+    """(id, th, first, last): runs of lines, apart from each other, that repeat earlier ones; th: the hash of their text."""
+    rows = materialize(winnowed_lines(docs, ident, text, min_words), "line-rows")
+    grams = rows.where("gram is not null").select("row", "at", "gram")
+    # Grams at two places or more; counts are formed before the shuffle, so a hot passage costs a row a task.
+    twice = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared = materialize(salted_join(grams, twice, ["gram"], "left_semi", by=F.col("row")).select("row", "at"), "line-shared")
+    near = rows.drop("gram").join(shared.select("row").distinct().hint("shuffle_hash"), "row", "left_semi")
+    near = near.join(shared.withColumn("hit", F.lit(1)).hint("shuffle_hash"), ["row", "at"], "left")
+    # Spans on from each line and back from each, near a shared gram.
     half = max(1, min_words // 2)
-    start = Window.partitionBy("k0", "k1").orderBy("at")
-    on, back = start.rangeBetween(0, min_words - 1), Window.partitionBy("k0", "k1").orderBy("stop").rangeBetween(1 - min_words, 0)
+    start = Window.partitionBy("row").orderBy("at")
+    on, back = start.rangeBetween(0, min_words - 1), Window.partitionBy("row").orderBy("stop").rangeBetween(1 - min_words, 0)
     key = [F.collect_list("h"), F.collect_list("g")]
-    onward = near.select("id", "th", F.col("i").alias("first"), F.max("i").over(on).alias("last"), (F.max("stop").over(on) - F.col("at")).alias("words"), *(k.over(on).alias(n) for k, n in zip(key, "hg", strict=True)), F.max("hit").over(start.rangeBetween(0, half - 1)).alias("hit"))
+    onward = near.select("id", "th", F.col("i").alias("first"), F.max("i").over(on).alias("last"), (F.max("stop").over(on) - F.col("at")).alias("words"), *(k.over(on).alias(n) for k, n in zip(key, "hg", strict=True)), F.max("hit").over(start.rangeBetween(0, min_words - half)).alias("hit"))
     backward = near.select("id", "th", F.min("i").over(back).alias("first"), F.col("i").alias("last"), (F.col("stop") - F.min("at").over(back)).alias("words"), *(k.over(back).alias(n) for k, n in zip(key, "hg", strict=True)), F.max("hit").over(back).alias("hit"))
     spans = onward.union(backward).where(F.col("hit").isNotNull() & (F.col("words") >= min_words))
     spans = materialize(spans.select(F.xxhash64("h").alias("k0"), F.xxhash64(F.lit(1), "g").alias("k1"), "id", "th", "first", "last"), "line-spans")
@@ -127,17 +79,15 @@ def repeated_runs(docs: DataFrame, ident: str = "doc_id", text: str = "text", mi
 
 
 def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later repeats of runs of units taken out of ``text``; other columns pass, n_removed (int, the
-    units that went) is added; a column of that name is replaced.
-
-    Units without words don't count in a run; those inside a removed run go with it. Where a run goes that began
-    inside a line and ended with it, the line feed stays; white space at the end of a text that has lost something
-    goes. A text with no repeat stays as it is, byte for byte; one that is all repeat becomes the empty text. Null
-    text stays null and repeats nothing. Rows that repeat both id and text count as one row and get the same result;
-    rows with the same id and other text are ordered by the text's hash; rows with a null id come last. Equal texts
-    under different ids: all but the first lose their runs. Texts may be of any length: work is in proportion to
-    units. A line without sentence marks and capitals is one unit: what it shares with unlike lines stays. Empty
-    table: no rows.
+    """``docs`` with the later repeats of runs of lines taken out of ``text``; other columns pass, n_removed (int, the
+    lines that went) is added; a column of that name is replaced.
+
+    Lines are what line feeds end. Lines without words don't count in a run; those inside a removed run go with it.
+    White space at the end of a text that has lost something goes. A text with no repeat stays as it is, byte for byte;
+    one that is all repeat becomes the empty text. Null text stays null and repeats nothing. Rows that repeat both id
+    and text count as one row and get the same result; rows with the same id and other text are ordered by the text's
+    hash; rows with a null id come last. Equal texts under different ids: all but the first lose their runs. Texts may
+    be of any length: work is in proportion to lines. What a line shares with unlike lines stays. Empty table: no rows.
     """
     gone = repeated_runs(docs, ident, text, min_words)
     gone = gone.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("__tw_gone"))
@@ -146,15 +96,12 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", min_w
     keyed = docs.withColumn("__tw_k", name(F.col(ident))).withColumn("__tw_th", F.xxhash64(text))
     out = keyed.join(gone, ["__tw_k", "__tw_th"], "left")
     has = F.col("__tw_gone").isNotNull()
-    out = out.withColumn("__tw_u", F.when(has, text_units(F.col(text))))
-    # What lies before each run and behind the last; a run that ends its line leaves the line feed to a line it only ended.
+    out = out.withColumn("__tw_u", F.when(has, text_lines(F.col(text))))
+    # What lies before each run and behind the last.
     begins = "if(k = 1, 0, element_at(__tw_gone, k - 1).last + 1)"
     ends = "if(k > size(__tw_gone), size(__tw_u), element_at(__tw_gone, k).first)"
-    piece = f"array_join(slice(__tw_u, {begins} + 1, greatest(0, {ends} - {begins})), '')"
-    feed = "k <= size(__tw_gone) and endswith(element_at(__tw_u, element_at(__tw_gone, k).last + 1), '\\n')"
-    pieces = f"transform(sequence(1, size(__tw_gone) + 1), k -> struct({piece} as p, {feed} as f))"
-    text_of = f"array_join(transform({pieces}, x -> if(x.f and x.p != '' and not endswith(x.p, '\\n'), concat(rtrim(x.p), '\\n'), x.p)), '')"
-    cleaned = F.when(has, F.rtrim(F.expr(text_of), F.lit(SPACE))).otherwise(F.col(text))
+    pieces = f"transform(sequence(1, size(__tw_gone) + 1), k -> array_join(slice(__tw_u, {begins} + 1, greatest(0, {ends} - {begins})), ''))"
+    cleaned = F.when(has, F.rtrim(F.expr(f"array_join({pieces}, '')"), F.lit(SPACE))).otherwise(F.col(text))
     removed = F.coalesce(F.expr("aggregate(__tw_gone, 0, (a, x) -> a + x.last - x.first + 1)"), F.lit(0))
     names = [c for c in docs.columns if c != "n_removed"]
     return out.select(*[cleaned.alias(c) if c == text else F.col(c) for c in names], removed.alias("n_removed"))

@@ -35,7 +35,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source, h) AS place FROM base) d
 
 LINE_DEDUP = r"""
 WITH cut AS (
-  SELECT doc_id, text, string_split(replace(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?]\x20)', '\1' || chr(30), 'g'), '\x20(\p{Lu})', ' ' || chr(30) || '\1', 'g'), chr(10), chr(10) || chr(30)), chr(30)) AS us FROM documents
+  SELECT doc_id, text, string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(30)), chr(30)) AS us FROM documents
 ), units AS (
   SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS pos FROM cut
 ), full_units AS (
@@ -56,20 +56,12 @@ WITH cut AS (
   SELECT *, rank() OVER (PARTITION BY body ORDER BY doc_id, first_at) AS r FROM keyed
 ), gone AS (
   SELECT DISTINCT l.doc_id, l.pos FROM ranked r JOIN units l ON l.doc_id = r.doc_id AND l.pos BETWEEN r.first_at AND r.last_at WHERE r.r > 1
-), marked AS (
-  SELECT u.*, g.pos IS NOT NULL AS gone, count(g.pos) OVER (PARTITION BY u.doc_id ORDER BY u.pos) AS part FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos
-), pieces AS (
-  SELECT doc_id, part, string_agg(u, '' ORDER BY pos) AS p, min(pos) AS lo, max(pos) AS hi FROM marked WHERE NOT gone GROUP BY doc_id, part
-), sized AS (
-  SELECT doc_id, max(pos) AS last_pos, count(*) FILTER (WHERE gone) AS n_removed FROM marked GROUP BY doc_id
-), followed AS (
-  SELECT p.*, n_removed, coalesce(lead(lo) OVER (PARTITION BY p.doc_id ORDER BY part) - 1, last_pos) AS until FROM pieces p JOIN sized s ON s.doc_id = p.doc_id
-), joined AS (
-  SELECT f.doc_id, string_agg(CASE WHEN until > hi AND u.u LIKE '%' || chr(10) AND f.p NOT LIKE '%' || chr(10) THEN rtrim(f.p, ' ') || chr(10) ELSE f.p END, '' ORDER BY part) AS text
-  FROM followed f JOIN units u ON u.doc_id = f.doc_id AND u.pos = until GROUP BY f.doc_id
+), rest AS (
+  SELECT u.doc_id, count(g.pos) AS n_removed, string_agg(u.u, '' ORDER BY u.pos) FILTER (WHERE g.pos IS NULL) AS text
+  FROM units u LEFT JOIN gone g ON g.doc_id = u.doc_id AND g.pos = u.pos GROUP BY u.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL OR s.n_removed = 0 THEN d.text ELSE coalesce(regexp_replace(j.text, '[\x20\x09-\x0D]+$', ''), '') END AS text, s.n_removed::INTEGER AS n_removed
-FROM documents d JOIN sized s ON s.doc_id = d.doc_id LEFT JOIN joined j ON j.doc_id = d.doc_id
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR r.n_removed = 0 THEN d.text ELSE coalesce(regexp_replace(r.text, '[\x20\x09-\x0D]+$', ''), '') END AS text, r.n_removed::INTEGER AS n_removed
+FROM documents d JOIN rest r ON r.doc_id = d.doc_id
 """
 
 TOP_K = """
