@@ -43,15 +43,14 @@ def conflicts(state: State, most: int | None = None, threshold: float = 0.5) ->
     return under.select(SEQ, "t", F.col("owner").alias("label")).distinct()
 
 
-def close_gaps(most: int | None = None, threshold: float = 0.5) -> Stage:
-    """Missing frames get a row and the last mask, unless a conflict forbids any frame of the gap. C2."""
+def close_gaps(most: int | None = 2, threshold: float = 0.1) -> Stage:
+    """Missing frames of gaps that aren't wider than ``most`` get a row and the last mask before the gap, but for the
+    frames in which another label is in the way. C2."""
 
     def run(state: State) -> State:
-        against = conflicts(state, most, threshold)
-        holes = c.gaps(state.tracks, most).select(SEQ, F.col("label_track").alias("label"), "t", "next_t")
-        barred = holes.withColumn("at", F.explode(F.sequence(F.col("t") + 1, F.col("next_t") - 1))).join(against.withColumnRenamed("t", "at"), [SEQ, "label", "at"], "left_semi").select(SEQ, F.col("label").alias("label_track"), "t", "next_t").distinct()
-        every = holes.withColumn("at", F.explode(F.sequence(F.col("t") + 1, F.col("next_t") - 1))).select(SEQ, F.col("label").alias("label_track"), F.col("t").alias("from"), "next_t", F.col("at").alias("t"))
-        free = every.join(barred.withColumnRenamed("t", "from"), [SEQ, "label_track", "from", "next_t"], "left_anti").select(SEQ, "label_track", "t")
+        against = conflicts(state, most, threshold).withColumnRenamed("label", "label_track")
+        every = c.gaps(state.tracks, most).select(SEQ, "label_track", F.explode(F.sequence(F.col("t") + 1, F.col("next_t") - 1)).alias("t"))
+        free = every.join(against, [SEQ, "label_track", "t"], "left_anti").select(SEQ, "label_track", "t")
         filled = c.fill_gaps(state.tracks, most)
         added = filled.where("cell_source = 'interpolated'").join(free, [SEQ, "label_track", "t"], "left_semi").select(*filled.columns)
         tracks = state.tracks.unionByName(added.select(*state.tracks.columns))

@@ -114,9 +114,11 @@ def transform_features(df: DataFrame, mode: str = "cell_size", scale: Column | f
     if mode == "none":
         return df
     if mode == "min_max":
-        w = Window.partitionBy(SEQ)
-        unit = lambda c: F.when(F.max(c).over(w) == F.min(c).over(w), 0.0).otherwise((F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w)))
-        return df.withColumns({c: unit(c) for c in ("dist_spat", "dist_temp")})
+        names = ("dist_spat", "dist_temp")
+        ends = df.groupBy(SEQ).agg(*(f(c).alias(f"_{k}_{c}") for c in names for k, f in (("low", F.min), ("high", F.max))))
+        low, high = (lambda c: F.col(f"_low_{c}")), (lambda c: F.col(f"_high_{c}"))
+        unit = lambda c: F.when(high(c) == low(c), 0.0).otherwise((F.col(c) - low(c)) / (high(c) - low(c)))
+        return df.join(ends, SEQ).withColumns({c: unit(c) for c in names}).select(*df.columns)
     if mode != "cell_size":
         raise ValueError(f"unknown mode {mode!r}")
     s = scale if isinstance(scale, Column) else F.lit(float(scale or 1.0))

@@ -159,6 +159,11 @@ def initial_scale(columns: list[str]) -> Column:
     return F.col("len_init") if "len_init" in columns else F.lit(1.0)
 
 
+def uses_intensity(wanted: list[str], deep: bool = False) -> bool:
+    """Whether images are needed: for an image encoder, or a property made of intensities. Without, the column isn't read. F43."""
+    return deep or any("intensity" in name for name in wanted)
+
+
 def centremost(nodes: DataFrame, height: float, width: float) -> DataFrame:
     """The node of each frame that is nearest to the frame's middle; ties go to the smaller index. P4.
 

@@ -11,14 +11,15 @@ SEQ = "sequence_id"
 
 
 def region_properties(pixels: DataFrame) -> DataFrame:
-    """Area, half-open bounding box, centroid, axes, orientation, eccentricity and intensities of each label. A2.
+    """Area, half-open bounding box, centroid, axes, orientation, eccentricity and, with images, intensities of each label. A2.
 
     Axes are 4 sqrt(eigenvalue) of the pixels' population covariance; orientation is the angle of the major axis from
     the first axis, in (-pi/2, pi/2]."""
     own = pixels.where("label != 0")
+    light = [f("intensity").alias(f"intensity_{n}") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))] if "intensity" in pixels.columns else []
     moments = own.groupBy(SEQ, "t", "label").agg(
         F.count(F.lit(1)).alias("area"), F.min("y").alias("bbox_0"), F.min("x").alias("bbox_1"), (F.max("y") + 1).alias("bbox_2"), (F.max("x") + 1).alias("bbox_3"), F.avg("y").alias("centroid_0"), F.avg("x").alias("centroid_1"),
-        F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_yx"), F.min("intensity").alias("intensity_min"), F.avg("intensity").alias("intensity_mean"), F.max("intensity").alias("intensity_max"),
+        F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_yx"), *light,
     )
     half, root = (F.col("_yy") + F.col("_xx")) / 2, F.sqrt(F.pow((F.col("_yy") - F.col("_xx")) / 2, 2) + F.pow("_yx", 2))
     major, minor = half + root, F.greatest(half - root, F.lit(0.0))

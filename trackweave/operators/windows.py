@@ -105,23 +105,37 @@ def patches(nodes: DataFrame, size: float, overlap: float, centre: list[str]) ->
         starts = F.array_distinct(F.concat(F.sequence(low, last, F.lit(step)), F.array(last)))
         ends = ends.withColumn(f"low_{i}", F.explode(starts)).withColumn(f"high_{i}", F.col(f"low_{i}") + int(size))
     boxes = ends.select(SEQ, "t", *(f"{k}_{i}" for i in range(len(centre)) for k in ("low", "high")))
-    inside = [F.col(c).between(F.col(f"low_{i}"), F.col(f"high_{i}")) for i, c in enumerate(centre)]
-    met = boxes.join(nodes.select(SEQ, "t", *centre), [SEQ, "t"])
-    for test in inside:
-        met = met.where(test)
-    return met.select(*boxes.columns).distinct()
-
-
-def patch_edges(edges: DataFrame, boxes: DataFrame, centre: list[str]) -> DataFrame:
-    """Links of a box's frame with either end in the (closed) box; the links carry the ends' positions. F21."""
-    met = edges.join(boxes, [SEQ, "t"])
-    test = F.lit(False)
-    for end in ("src", "dst"):
-        own = F.lit(True)
-        for i, c in enumerate(centre):
-            own &= F.col(f"{c}_{end}").between(F.col(f"low_{i}"), F.col(f"high_{i}"))
-        test |= own
-    return met.where(test)
+    return _inside(nodes.select(SEQ, "t", *centre), boxes, centre, size).select(*boxes.columns).distinct()
+
+
+def _inside(points: DataFrame, boxes: DataFrame, centre: list[str], size: float) -> DataFrame:
+    """Points with the (closed) boxes of their frame that they lie in, by cells of a grid that a box touches few of."""
+    cells = [f"_cell_{i}" for i in range(len(centre))]
+    cell = lambda c: F.floor(F.col(c) / size)
+    for i, name in enumerate(cells):
+        boxes = boxes.withColumn(name, F.explode(F.sequence(cell(f"low_{i}"), cell(f"high_{i}"))))
+    met = boxes.join(points.withColumns({name: cell(c) for name, c in zip(cells, centre, strict=True)}), [SEQ, "t", *cells]).drop(*cells)
+    for i, c in enumerate(centre):
+        met = met.where(F.col(c).between(F.col(f"low_{i}"), F.col(f"high_{i}")))
+    return met
+
+
+def patch_edges(edges: DataFrame, boxes: DataFrame, centre: list[str], size: float) -> DataFrame:
+    """Links of a box's frame with either end in the (closed) box of the given side; the links carry the ends'
+    positions, and each is given once for a box. F21."""
+    names = [c for c in boxes.columns if c not in (SEQ, "t")]
+    sides = [_inside(edges, boxes, [f"{c}_{end}" for c in centre], size) for end in ("src", "dst")]
+    return sides[0].unionByName(sides[1]).dropDuplicates([SEQ, "t", "src", "dst", *names])
+
+
+def near_pairs(df: DataFrame, key: str, most: int, index: str = "index") -> DataFrame:
+    """(sequence_id, key, src, dst): rows of one key whose indices are 1 to ``most`` apart, the smaller first.
+
+    Rows meet by stretches of ``most`` indices, each with its own and the one before, so a hot key costs what it finds."""
+    at = F.floor(F.col(index) / most)
+    left = df.select(SEQ, key, F.col(index).alias("src"), at.alias("_at"))
+    right = df.select(SEQ, key, F.col(index).alias("dst"), F.explode(F.array(at, at - 1)).alias("_at"))
+    return left.join(right, [SEQ, key, "_at"]).where(F.col("dst").between(F.col("src") + 1, F.col("src") + most)).drop("_at")
 
 
 def every_nth(df: DataFrame, n: int) -> DataFrame:

@@ -287,7 +287,7 @@ DOT = "list_dot_product(s.embedding::DOUBLE[], d.embedding::DOUBLE[])"
 @plan("n6_cosine_similarity", sql("SELECT s.sequence_id, s.index AS src, d.index AS dst, round(list_dot_product(s.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(s.embedding::DOUBLE[], s.embedding::DOUBLE[]) * list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])), 5) + 0.0 AS cosine FROM vectors s JOIN vectors d ON d.label = s.label AND d.index - s.index BETWEEN 1 AND 40", "vectors"))
 def _n6(spark, d):
     v = a.vectors(spark, d)
-    pairs = v.select("sequence_id", "label", F.col("index").alias("src")).join(v.select("sequence_id", "label", F.col("index").alias("dst")), ["sequence_id", "label"]).where("dst - src between 1 and 40").select("sequence_id", "src", "dst")
+    pairs = w.near_pairs(v, "label", 40).select("sequence_id", "src", "dst")
     return e.with_cosine(pairs, v).withColumn("cosine", F.round("cosine", 5))
 
 
@@ -387,14 +387,14 @@ def _g4(spark, d):
 
 @plan("f21_patch_edges", sql(f"+{PATCHES}, {LINKS} SELECT e.sequence_id, e.t, low_0, low_1, src, dst FROM links e JOIN patches p ON p.sequence_id = e.sequence_id AND p.t = e.t WHERE (center_0_src BETWEEN low_0 AND high_0 AND center_1_src BETWEEN low_1 AND high_1) OR (center_0_dst BETWEEN low_0 AND high_0 AND center_1_dst BETWEEN low_1 AND high_1)", "nodes"))
 def _f21(spark, d):
-    return w.patch_edges(_links(spark, d), w.patches(a.nodes(spark, d), 64, 0.25, C), C).select("sequence_id", "t", "low_0", "low_1", "src", "dst")
+    return w.patch_edges(_links(spark, d), w.patches(a.nodes(spark, d), 64, 0.25, C), C, 64).select("sequence_id", "t", "low_0", "low_1", "src", "dst")
 
 
 @plan("l7_validation_stride", sql("SELECT sequence_id, index, t FROM (SELECT *, row_number() OVER (PARTITION BY sequence_id ORDER BY t, index) - 1 AS position FROM nodes) WHERE position % 32 = 0", "nodes"))
 def _l7(spark, d):
-    from pyspark.sql import Window
+    from trackweave.operators.numbering import numbered
 
-    df = a.nodes(spark, d).withColumn("position", F.row_number().over(Window.partitionBy("sequence_id").orderBy("t", "index")) - 1)
+    df = numbered(a.nodes(spark, d), "position", "t", "index").withColumn("position", F.col("position") - 1)
     return w.every_nth(df, 32).select("sequence_id", "index", "t")
 
 

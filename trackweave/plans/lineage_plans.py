@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import correction as c
 from trackweave.operators import lineage as ln
+from trackweave.operators.numbering import numbered
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
@@ -350,15 +351,10 @@ def _g12(spark, d):
 
 @plan("l1_sorted_links", sql("SELECT sequence_id, src, dst, rank() OVER (PARTITION BY sequence_id ORDER BY src, dst) AS place FROM (SELECT DISTINCT sequence_id, src, dst FROM preds)", "preds"))
 def _l1(spark, d):
-    from pyspark.sql import Window
-
-    df = a.preds(spark, d).select("sequence_id", "src", "dst").distinct()
-    return df.withColumn("place", F.rank().over(Window.partitionBy("sequence_id").orderBy("src", "dst")).cast("long"))
+    return numbered(a.preds(spark, d).select("sequence_id", "src", "dst").distinct(), "place", "src", "dst")
 
 
 @plan("l2_mixed_sort", sql("+u AS (SELECT sequence_id, src, dst, max(round(p2, 6)) AS p2 FROM dense_preds GROUP BY ALL) SELECT sequence_id, src, dst, row_number() OVER (PARTITION BY sequence_id ORDER BY p2 DESC, src, dst) AS place FROM u", "dense_preds"))
 def _l2(spark, d):
-    from pyspark.sql import Window
-
     df = a.dense_preds(spark, d).groupBy("sequence_id", "src", "dst").agg(F.max(F.round("p2", 6)).alias("p2"))
-    return df.select("sequence_id", "src", "dst", F.row_number().over(Window.partitionBy("sequence_id").orderBy(F.desc("p2"), "src", "dst")).cast("long").alias("place"))
+    return numbered(df, "place", -F.col("p2"), "src", "dst").select("sequence_id", "src", "dst", "place")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import metrics as m
 from trackweave.operators import predictions as p
+from trackweave.operators.windows import near_pairs
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
@@ -98,7 +99,7 @@ def _f38(spark, d):
 @plan("j12_add_frames", sql("SELECT n.sequence_id, n.index AS src, m.index AS dst, n.t, m.t - n.t AS td FROM nodes n JOIN nodes m ON m.sequence_id = n.sequence_id AND m.label = n.label AND m.index > n.index AND m.index - n.index < 500", "nodes"))
 def _j12(spark, d):
     n = a.nodes(spark, d)
-    pairs = n.select("sequence_id", "label", F.col("index").alias("src")).join(n.select("sequence_id", "label", F.col("index").alias("dst")), ["sequence_id", "label"]).where("dst > src and dst - src < 500")
+    pairs = near_pairs(n, "label", 499)
     return p.add_frames(pairs.select("sequence_id", "src", "dst"), n)
 
 

@@ -12,6 +12,7 @@ from trackweave.operators import pixels as px
 from trackweave.operators import predictions as p
 from trackweave.operators import vectors as v
 from trackweave.operators.lineage import lbep
+from trackweave.operators.windows import near_pairs
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
@@ -189,8 +190,9 @@ MESSAGES = "flat AS (SELECT s.index AS src, d.index AS dst, unnest(range(64)) AS
 
 def _message_edges(spark, d):
     vec = a.vectors(spark, d)
-    left = vec.select("sequence_id", "label", F.col("index").alias("src"), F.transform("embedding", lambda x: x.cast("double")).alias("message"))
-    return left.join(vec.select("sequence_id", "label", F.col("index").alias("dst")), ["sequence_id", "label"]).where("abs(src - dst) between 1 and 20").select("sequence_id", "src", "dst", "message")
+    one = near_pairs(vec, "label", 20)
+    both = one.select("sequence_id", "src", "dst").union(one.select("sequence_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.join(vec.select("sequence_id", F.col("index").alias("src"), F.transform("embedding", lambda x: x.cast("double")).alias("message")), ["sequence_id", "src"]).select("sequence_id", "src", "dst", "message")
 
 
 for _how in ("mean", "max", "min"):
