@@ -51,9 +51,9 @@ def test_layout():
     assert layout.sequences(["a_masks.tif", "a.tif", "b_masks.tiff", "c_mask.tif"], "flat") == ["a", "b"]
     assert layout.sequences([], "dirs", "masks", {"s1": ["masks.tif"], "s2": ["img"], "s3": ["masks"]}) == ["s1", "s3"]
     assert layout.mask_folder(["01_GT/SEG", "01_GT/TRA"], "01") == "01_GT/TRA" and layout.mask_folder([], "01") == "01"
-    assert layout.find_lineage(["d/states.txt", "d/e/man_track.txt"], "d/e/f") == "d/e/man_track.txt"
+    assert layout.find_lineage(["d/states.txt", "d/e/man_track.txt"], "d/e/f") == "d/states.txt"
     assert layout.choose_checkpoint(["epoch=3.ckpt", "epoch=12.ckpt"]) == "epoch=12.ckpt" and layout.choose_checkpoint(["last.ckpt", "best.ckpt"]) == "best.ckpt"
-    assert layout.shared_id("exp1_images.tif", "exp1_masks.tif") == "exp1" and layout.shared_id("a.tif", "b.tif") == "b"
+    assert layout.shared_id("exp1_images.tif", "exp1_masks.tif") == "exp1" and layout.shared_id("a.tif", "b.tif") is None
     assert layout.results_exist(["s_tracks.csv", "s_tracks.tif"], "s", "flat") and not layout.results_exist(["s_tracks.csv"], "s", "flat") and layout.results_exist(["s_RES/x"], "s", "ctc")
     assert layout.spacing([1, 2, 3, 4])["x"] == 4.0 and layout.spacing({"z": 2})["t"] == 1.0
     with pytest.raises(ValueError):
@@ -94,3 +94,40 @@ def test_node_cache(spark, tmp_path):
     assert sinks.cached_percentiles(spark, f"{path}/p", p, 0.1, 0.9) == [10.0, 90.0] == sinks.cached_percentiles(spark, f"{path}/p", p.where("false"), 0.1, 0.9)
     shown = sinks.display_rows(spark.createDataFrame([(1, 0), (2, 1)], "label long, t int"), spark.createDataFrame([(2, 1)], "label long, parent long"))
     assert {(r.label, r.parent) for r in shown.collect()} == {(1, 0), (2, 1)}
+
+
+def test_images_with_masks(spark, tmp_path):
+    import numpy as np
+
+    from trackweave.sources import tiff
+
+    rng = np.random.default_rng(3)
+    light, label = rng.integers(0, 999, (2, 5, 6)).astype(np.uint16), rng.integers(0, 3, (2, 5, 6)).astype(np.uint16)
+    for kind, pages in (("masks", label), ("images", light), ("short", light[:1])):
+        (tmp_path / kind / "01").mkdir(parents=True)
+        (tmp_path / kind / "01" / "stack.tif").write_bytes(tiff.encode(list(pages)))
+    path = lambda kind: f"file://{tmp_path}/{kind}/01"
+    rows, found = tiff.read_sequence(spark, path("masks"), path("images"), f"file://{tmp_path}/p", 0.1, 0.9)
+    assert {(r.t, r.y, r.x): (r.label, r.intensity) for r in rows.collect()} == {(t, y, x): (label[t, y, x], light[t, y, x]) for t in range(2) for y in range(5) for x in range(6)}
+    assert np.allclose(found, np.quantile(light, [0.1, 0.9])) and tiff.read_sequence(spark, path("masks"), path("images"), f"file://{tmp_path}/p")[1] == found
+    only, none = tiff.read_sequence(spark, path("masks"))
+    assert none is None and only.columns == ["sequence_id", "t", "y", "x", "label"]
+    with pytest.raises(ValueError, match="frame 1"):
+        tiff.read_sequence(spark, path("masks"), path("short"))
+
+
+def test_shared_folder(spark, monkeypatch):
+    from trackweave import storage
+
+    class Session:
+        """A session without the setting."""
+
+        def __init__(self, master):
+            self.conf = type("Conf", (), {"get": lambda *a: None})()
+            self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda *a: None, "setCheckpointDir": lambda *a: None})()
+
+    assert storage.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert "trackweave" in storage.shared_folder(Session("local[4]"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            storage.shared_folder(Session(master))

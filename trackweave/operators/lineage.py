@@ -7,16 +7,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.storage import shared_folder
+
 SEQ = "sequence_id"
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read again, so that a loop's plan stays short."""
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    target = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 

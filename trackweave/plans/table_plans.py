@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -18,14 +17,14 @@ from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
 from trackweave.sources import lineage_files as lf
 from trackweave.sources.edge_store import EdgeStore, StoreMeta
+from trackweave.storage import shared_folder
 
 
 def _folder(spark, name):
-    """A fresh folder among the shared ones; a local one where none is named."""
+    """A fresh folder among the shared ones."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="trackweave-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @plan("s8_lineage_file", sql("SELECT CAST(label_track AS INTEGER) AS label, min(t) AS b, max(t) AS e, CAST(arg_min(parent_track, t) AS INTEGER) AS parent FROM tracks GROUP BY label_track", "tracks"))
