@@ -380,6 +380,19 @@ def test_packing(spark, rows):
     assert sorted(pieces) == sorted(want)
 
 
+def test_packing_of_large_ids(spark, tmp_path):
+    """A vocabulary of more than 65,536 ids takes four bytes; none wraps around."""
+    import base64
+
+    ranks = tmp_path / "large.tiktoken"
+    ranks.write_bytes(b"".join(base64.b64encode(bytes([b])) + b" %d\n" % (b if b != 97 else 70_000) for b in range(256)))
+    got = packing.pack(table(spark, [(1, "banana", "en", "a")]), str(ranks), P.PATTERN, length=8).first()
+    assert got.id_bytes == 4 and np.frombuffer(got.input_ids, "<u4").tolist() == [98, 70_000, 110, 70_000, 110, 70_000, packing.PAD, packing.PAD]
+    assert np.frombuffer(got.position_ids, "<u4").tolist() == [0, 1, 2, 3, 4, 5, 0, 0]
+    with pytest.raises(ValueError):
+        packing.id_width(str(ranks), 8, -1)
+
+
 def test_best_fit_decreasing_is_best_fit():
     rng = random.Random(1)
     for _ in range(30):

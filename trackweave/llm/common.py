@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.storage import shared_folder
+
 #: White space of the corpus contracts: space and bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a fresh local one only where the setting is absent (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="trackweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The shared folder named in spark.checkpoint.dir."""
+    return shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

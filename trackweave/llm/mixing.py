@@ -27,6 +27,12 @@ def row_hash(ident: Column, text: Column) -> Column:
     return F.conv(F.substring(whole, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def salts(df: DataFrame) -> int:
+    """Tasks for one source: a third of the session's, as one source may hold a third of all rows. What is copied to
+    them is a row for each source."""
+    return max(16, spark_parts(df) // 3)
+
+
 def ranked_sources(slim: DataFrame) -> DataFrame:
     """(key, source_size, rank from 1 by code point, null last): ranks within range partitions plus their offsets."""
     n = spark_parts(slim)
@@ -67,7 +73,7 @@ def thresholds(slim: DataFrame, budgets: DataFrame) -> DataFrame:
     for bits in (*LEVEL_BITS, left - sum(LEVEL_BITS)):
         last = left - bits == 0
         held = slim.select("key", "size", F.shiftright("h", left).alias("prefix"), F.shiftright("h", left - bits).alias("bucket"))
-        sums = salted_join(held, edge, ["key", "prefix"], by=F.col("bucket")).groupBy("key", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
+        sums = salted_join(held, edge, ["key", "prefix"], salts=salts(slim), by=F.col("bucket")).groupBy("key", "bucket").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
         up_to = F.sum("size").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         run = sums.withColumn("after", up_to).withColumn("before", F.col("after") - F.col("size"))
         crossing = run.where((F.col("before") <= F.col("rest")) & (F.col("after") > F.col("rest")))
@@ -116,7 +122,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     plan = materialize(plan, "mix-plan")
     cuts = thresholds(slim, plan.where("budget > 0").select("key", "budget"))
     plan = materialize(plan.join(cuts, "key", "left").drop("budget"), "mix-cuts")
-    out = salted_join(base, plan, ["key"], "left", by=F.xxhash64("h", ident))
+    out = salted_join(base, plan, ["key"], "left", salts(slim), by=F.xxhash64("h", ident))
     if plan.where("n > 1").isEmpty():
         out = out.withColumn("rank", F.lit(1).cast("long"))
     else:  # rows that repeat stand at a threshold: they are numbered

@@ -85,25 +85,38 @@ def tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: r for r, t in vocabulary(path).spelled.items()}, special_tokens={})
 
 
-def pack(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def id_width(path: str, length: int, pad: int) -> np.dtype:
+    """The type that holds every id of the vocabulary, the padding and every position; ids of 2**32 and more fail."""
+    from trackweave.llm.bpe import vocabulary
+
+    largest = max(pad, length - 1, *vocabulary(path).spelled)
+    if largest >= 1 << 32 or pad < 0:
+        raise ValueError(f"ids must be from 0 to 2**32 - 1, not {largest if pad >= 0 else pad}")
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
+
+
+def pack(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text: str = "text", length: int = LENGTH, pad: int = PAD) -> DataFrame:
     """A row for each packed row of ids.
 
-    Columns: shard (input partition), pack (number in it), n_tokens (without padding), input_ids (little-endian uint16,
-    length ids, the end filled with PAD), cu_seqlens (array<int>, 0 and the ends of the segments), position_ids
-    (little-endian uint16, starting at 0 in each segment, 0 in the padding), doc_ids and starts (arrays: each
-    segment's ident, and where it begins in that text's ids). A text longer than length is cut every length ids; its
+    Columns: shard (input partition), pack (number in it), n_tokens (without padding), input_ids (little-endian unsigned
+    integers, length of them, the end filled with pad), cu_seqlens (array<int>, 0 and the ends of the segments),
+    position_ids (likewise, starting at 0 in each segment, 0 in the padding), doc_ids and starts (arrays: each segment's
+    ident, and where it begins in that text's ids), id_bytes (int: of each id; 2 if the vocabulary and pad stay below
+    65,536, else 4; positions have as many). A text longer than length is cut every length ids; its
     pieces in order of starts are its ids, none lost.
 
     Null or empty text: no tokens, so in no row. Null ident: null in doc_ids. Rows that repeat are packed each.
-    Empty table: no rows. Other columns play no part. Ids must be below 65,536.
+    Empty table: no rows. Other columns play no part. A length of over 65,535 takes 4 bytes as well. A buffer leaves
+    its last rows partly filled: over buffers of BUFFER_TOKENS that is a row in about 2,000.
     """
-    names = ["shard", "pack", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
+    names = ["shard", "pack", "n_tokens", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts", "id_bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, made = TaskContext.get().partitionId(), 0
         code = tokenizer(path, pattern).encode_to_numpy
+        width = id_width(path, length, pad)
         pieces: list[tuple] = []
         held = 0
 
@@ -112,7 +125,7 @@ def pack(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text:
             rows = best_fit_decreasing([len(p[2]) for p in pieces], length)
             for at in range(0, len(rows), 512):
                 some = rows[at : at + 512]
-                ids, places = np.full((len(some), length), PAD, np.uint16), np.zeros((len(some), length), np.uint16)
+                ids, places = np.full((len(some), length), pad, width), np.zeros((len(some), length), width)
                 ends = []
                 for k, row in enumerate(some):
                     cut = [0]
@@ -124,17 +137,17 @@ def pack(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([shard] * len(some), pa.int32()), pa.array(range(made, made + len(some)), pa.int64()), pa.array([c[-1] for c in ends], pa.int32()),
                     pa.array([r.tobytes() for r in ids], pa.binary()), pa.array(ends, pa.list_(pa.int32())), pa.array([r.tobytes() for r in places], pa.binary()),
-                    pa.array([[pieces[i][0] for i in row] for row in some], pa.list_(id_type)), pa.array([[pieces[i][1] for i in row] for row in some], pa.list_(pa.int32())),
+                    pa.array([[pieces[i][0] for i in row] for row in some], pa.list_(id_type)), pa.array([[pieces[i][1] for i in row] for row in some], pa.list_(pa.int32())), pa.repeat(pa.scalar(width.itemsize, pa.int32()), len(some)),
                 ], names=names)
                 made += len(some)
             pieces, held = [], 0
 
-        count = np.arange(length, dtype=np.uint16)
+        count = np.arange(length, dtype=width)
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
             for own, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = code(t.as_py() or "", disallowed_special=()).astype(np.uint16)
+                ids = code(t.as_py() or "", disallowed_special=()).astype(width)
                 pieces.extend((own, a, ids[a : a + length]) for a in range(0, len(ids), length))
                 held += len(ids)
                 if held >= BUFFER_TOKENS:
@@ -143,7 +156,7 @@ def pack(docs: DataFrame, path: str, pattern: str, ident: str = "doc_id", text:
             yield from packed()
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(F.col(ident), F.col(text)).mapInArrow(run, f"shard int, pack long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, starts array<int>")
+    return docs.select(F.col(ident), F.col(text)).mapInArrow(run, f"shard int, pack long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, starts array<int>, id_bytes int")
 
 
 def write_packed(rows: DataFrame, path: str) -> None:
