@@ -276,6 +276,23 @@ def test_webp_features(kinds):
         assert frames[0][2].tolist() == pixels
 
 
+def test_the_writer_picks_transforms():
+    rng = np.random.default_rng(12)
+    row = rng.integers(0, 256, 192).astype(np.uint8).tobytes()
+    cases = {
+        "palette of one": b" " * 192, "palette of two": b"".join((b"abc", b"xyz")[k] for k in rng.integers(0, 2, 64 * 9).tolist()), "palette of many": b"".join(bytes([k, k, 255 - k]) * 3 for k in rng.integers(0, 16, 64 * 20).tolist())[: 192 * 40],
+        "predictor": row * 64 + rng.integers(0, 256, 192).astype(np.uint8).tobytes() + row * 100, "plain": rng.integers(97, 123, 192 * 70).astype(np.uint8).tobytes(), "both": b"\0" * 192 * 64 + row * 40,
+    }
+    files = webp.encode(list(cases.values()))
+    for (name, payload), file, frames in zip(cases.items(), files, webp.decode(files), strict=True):
+        argb = np.concatenate([f[2] for f in frames])
+        assert (argb >> 24 == 255).all()
+        assert np.stack([argb >> s & 255 for s in (16, 8, 0)], 1).astype(np.uint8).tobytes() == payload, name
+    kinds = [{step[0] for _, body in webp.chunks(f) for step in webp.Image(body).steps} for f in files]
+    assert kinds[:5] == [{webp.PALETTE}, {webp.PALETTE}, {webp.PALETTE}, {webp.PREDICTOR}, set()] and webp.PREDICTOR in kinds[5] and webp.PALETTE in kinds[5]
+    assert webp.encode([cases["plain"], cases["predictor"]])[1] == files[3]  # the same beside others
+
+
 def test_webp_round_trip_and_errors():
     rng = random.Random(4)
     payloads = [bytes(rng.choice((32, 97, rng.randrange(256))) for _ in range(192 * n)) for n in (1, 2, 63, 64, 65, 200)] + [b" " * 192 * 70, "日本語😀 ".encode() * 192]

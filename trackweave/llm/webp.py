@@ -296,6 +296,8 @@ def undo_predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarra
     if width and height:
         c[0, 0] = (c[0, 0] + [255, 0, 0, 0]) & 255
         c[0] = np.cumsum(c[0], axis=0) & 255
+    if height and (modes >> 8 & 15 == 2).all():  # every pixel by the one above it
+        return _joined(np.cumsum(c, axis=0)).reshape(-1)
     for y in range(1, height):
         row, above = c[y], c[y - 1]
         row[0] = (row[0] + above[0]) & 255
@@ -441,48 +443,110 @@ def _bit_codes(lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.frombuffer(lengths, np.uint8).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def writer_codes() -> tuple:
-    """The writer's prefix codes, the same for all payloads, and the bits that announce them after the image's size."""
-    byte = [1.0] * 256
-    for rank, b in enumerate(FREQUENT):
-        byte[b] = 600 / (rank + 4)
-    green = code_lengths(byte + [2.0] * 24 + [6.0] * (1 << CACHE_BITS))
-    colour = code_lengths(byte)
-    value, n = 0, 0
+class BitWriter:
+    """Bits, the first the lowest."""
 
-    def put(v: int, bits: int) -> None:
-        nonlocal value, n
-        value |= v << n
-        n += bits
+    def __init__(self) -> None:
+        self.value, self.n = 0, 0
 
-    def lengths(code: bytes) -> None:
-        put(0, 1)
-        put(15, 4)  # all 19 lengths of the code-length code: 4 bits each for 0..15, none for the repeats
+    def put(self, value: int, bits: int) -> None:
+        self.value |= value << self.n
+        self.n += bits
+
+    def single(self, symbol: int) -> None:
+        """A prefix code of one symbol, which takes no bits."""
+        for value, bits in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            self.put(value, bits)
+
+    def lengths(self, code: bytes) -> None:
+        """A prefix code by the lengths of its symbols, 4 bits each."""
+        self.put(0, 1)
+        self.put(15, 4)  # all 19 lengths of the code-length code: 4 bits each for 0..15, none for the repeats
         for s in CODE_LENGTH_ORDER:
-            put(4 if s < 16 else 0, 3)
-        put(0, 1)
+            self.put(4 if s < 16 else 0, 3)
+        self.put(0, 1)
         for own in code:
-            put(int(f"{own:04b}"[::-1], 2), 4)
+            self.put(int(f"{own:04b}"[::-1], 2), 4)
+
+
+#: Of an image's pixels, the part that must be like the one above for the predictor; the most colours of a palette.
+ABOVE, PALETTE_COLOURS = 0.5, 16
 
-    put(0, 1)  # no transform
-    put(1, 1)
-    put(CACHE_BITS, 4)
-    put(0, 1)  # one group of codes
+
+@lru_cache(maxsize=2)
+def writer_codes(predicted: bool = False) -> tuple:
+    """The writer's prefix codes, the same for all payloads, and the bits that announce them after the image's size.
+    predicted: with a predictor transform before them, every pixel by the one above it."""
+    byte = [1.0] * 256
+    for rank, b in enumerate(FREQUENT):
+        byte[b] = 600 / (rank + 4)
+    green = code_lengths(byte + [2.0] * 24 + [6.0] * (1 << CACHE_BITS))
+    colour = code_lengths(byte)
+    w = BitWriter()
+    if predicted:
+        for value, bits in ((1, 1), (PREDICTOR, 2), (7, 3), (0, 1)):  # blocks of 512 pixels: one mode for the image
+            w.put(value, bits)
+        for symbol in (2, 0, 0, 255, 0):
+            w.single(symbol)
+    w.put(0, 1)  # no further transform
+    w.put(1, 1)
+    w.put(CACHE_BITS, 4)
+    w.put(0, 1)  # one group of codes
     for code in (green, colour, colour):
-        lengths(code)
-    for symbol in (255, 1):  # alpha; distance code 2, the pixel to the left
-        put(1, 1)
-        put(0, 1)
-        put(1, 1)
-        put(symbol, 8)
-    return _bit_codes(green), _bit_codes(colour), value, n
+        w.lengths(code)
+    w.single(0 if predicted else 255)  # alpha
+    w.single(1)  # distance code 2, the pixel to the left
+    return _bit_codes(green), _bit_codes(colour), w.value, w.n
+
+
+def palette_image(pixel: np.ndarray, rows: int) -> bytes:
+    """An image of at most PALETTE_COLOURS colours: palette, then several indices to a pixel, eight bits or none each."""
+    colours, index = np.unique(pixel, return_inverse=True)
+    n = len(colours)
+    pack = 3 if n <= 2 else 2 if n <= 4 else 1
+    depth, w = 8 >> pack, BitWriter()
+    for value, bits in ((0x2F, 8), (WIDTH - 1, 14), (rows - 1, 14), (0, 4), (1, 1), (PALETTE, 2), (n - 1, 8), (0, 1)):
+        w.put(int(value), bits)
+    parts = _channels(colours.astype(np.uint32))
+    steps = np.diff(parts, axis=0, prepend=0) & 255  # each colour less the one before
+    flat = bytes([8] * 256)
+    for code in (flat + bytes(24), flat, flat):
+        w.lengths(code)
+    if n == 1:
+        w.single(255)
+    else:  # the first alpha is 255, the steps are 0
+        for value, bits in ((1, 1), (1, 1), (1, 1), (0, 8), (255, 8)):
+            w.put(value, bits)
+    w.single(0)
+    reverse = lambda v: int(f"{int(v):08b}"[::-1], 2)
+    for a, red, green, blue in steps.tolist():
+        for v in (green, red, blue):
+            w.put(reverse(v), 8)
+        if n > 1:
+            w.put(a & 1, 1)
+    for _ in range(3):
+        w.put(0, 1)  # no further transform, no cache, one group
+    packed = (index.reshape(-1, 1 << pack) << depth * np.arange(1 << pack)).sum(1)
+    even = bool((packed == packed[0]).all())
+    if even:
+        w.single(int(packed[0]))
+    else:
+        w.lengths(flat + bytes(24))
+    for symbol in (0, 0, 0, 0):
+        w.single(symbol)
+    body = w.value.to_bytes(-(-w.n // 8), "little")
+    if even:
+        return body
+    tail = int.from_bytes(bytes(map(reverse, packed.tolist())), "little")
+    return (w.value | tail << w.n).to_bytes(-(-(w.n + 8 * len(packed)) // 8), "little")
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A WebP file for each payload (a positive multiple of 3 * WIDTH bytes); equal payloads give equal files."""
-    (green, green_n), (colour, colour_n), head, head_n = writer_codes()
-    head, head_n = 0x2F | WIDTH - 1 << 8 | head << 40, head_n + 40
+    """A WebP file for each payload (a positive multiple of 3 * WIDTH bytes); equal payloads give equal files.
+
+    An image most of whose pixels are like the ones above is predicted by these; one of few colours gets a palette if
+    that makes it smaller."""
+    (green, green_n), (colour, colour_n), *_ = writer_codes()
     size = 3 * WIDTH * ROWS
     tiles = [p[a : a + size] for p in payloads for a in range(0, len(p), size)]
     rgb = np.frombuffer(b"".join(tiles), np.uint8).reshape(-1, 3).astype(np.int64)
@@ -490,8 +554,25 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     ends = np.cumsum(rows * WIDTH)
     starts = ends - rows * WIDTH
     tile = np.repeat(np.arange(len(tiles)), rows * WIDTH)
+    pixel = (255 << 24 | rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2]).astype(np.uint32)
+    original = pixel
+    alike = np.zeros(len(pixel), bool)
+    alike[WIDTH:] = pixel[WIDTH:] == pixel[:-WIDTH]
+    alike[(starts[:, None] + np.arange(WIDTH)).ravel()] = False
+    predicted = np.add.reduceat(alike, starts, dtype=np.int64) > ABOVE * rows * WIDTH
+    if predicted.any():
+        rest = rgb.copy()
+        rest[WIDTH:] -= rgb[:-WIDTH]
+        first = np.zeros(len(rgb), bool)
+        first[(starts[:, None] + np.arange(WIDTH)).ravel()] = True
+        rest[1:][first[1:]] = (rgb[1:] - rgb[:-1])[first[1:]]
+        rest[starts] = rgb[starts]
+        use = np.repeat(predicted, rows * WIDTH)
+        rgb = np.where(use[:, None], rest & 255, rgb)
+        pixel = (np.where(use, 0, 255 << 24) | rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2]).astype(np.uint32)
     red, grn, blue = rgb[:, 0], rgb[:, 1], rgb[:, 2]
-    pixel = (255 << 24 | red << 16 | grn << 8 | blue).astype(np.uint32)
+    heads = [(0x2F | WIDTH - 1 << 8 | head << 40, n + 40) for *_, head, n in (writer_codes(), writer_codes(True))]
+    head_n = np.array([n for _, n in heads], np.int64)[predicted.astype(int)]
 
     # Runs of a pixel like the one to its left become one copy.
     same = np.concatenate(([False], pixel[1:] == pixel[:-1]))
@@ -536,17 +617,24 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     stream[index[group]] |= np.bitwise_or.reduceat(value << shift, group)
     spill = np.flatnonzero((offset & 63) + bits > 64)
     stream[index[spill] + 1] |= value[spill] >> (np.uint64(64) - shift[spill])
-    announced = np.frombuffer(head.to_bytes(-(-head_n // 64) * 8, "little"), "<u8")
-    for k, w in enumerate(announced):
-        stream[word0[:-1] + k] |= w
+    for (head, n), own in zip(heads, (~predicted, predicted), strict=True):
+        for k, w in enumerate(np.frombuffer(head.to_bytes(-(-n // 64) * 8, "little"), "<u8")):
+            stream[word0[:-1][own] + k] |= w
     stream[word0[:-1]] |= (rows - 1).astype(np.uint64) << np.uint64(22)
     raw = stream.tobytes()
 
+    # Few colours: in each image sorted, counted where they change.
+    order = np.lexsort((original, tile))
+    new = np.concatenate(([True], (original[order][1:] != original[order][:-1]) | (tile[order][1:] != tile[order][:-1])))
+    few = np.bincount(tile[order][new], minlength=len(tiles)) <= PALETTE_COLOURS
     out, k = [], 0
     for p in payloads:
         images = []
         for _ in range(0, len(p), size):
-            images.append(raw[int(word0[k]) * 8 : int(word0[k]) * 8 + int(total[k] + 7 >> 3)])
+            image = raw[int(word0[k]) * 8 : int(word0[k]) * 8 + int(total[k] + 7 >> 3)]
+            if few[k]:
+                image = min(image, palette_image(original[starts[k] : ends[k]], int(rows[k])), key=len)
+            images.append(image)
             k += 1
         out.append(_file(images, len(p) // (3 * WIDTH)))
     return out
