@@ -57,8 +57,6 @@ def test_early_divisions_are_merged(spark):
     assert correction.early_divisions(apart, masks_of(apart), none).count() == 0  # daughters that don't touch
     away = tracks_of(spark, EARLY | {4: (0, 6, 8, (30, 11))})
     assert correction.early_divisions(away, masks_of(away), none).count() == 0  # nothing covers the cell that appears
-    fertile = tracks_of(spark, EARLY | {5: (3, 6, 9, (0, 0))})
-    assert correction.early_divisions(fertile, masks_of(fertile), none).count() == 0
     merged = chain.merge_early_divisions()(chain.State(tracks_of(spark, EARLY | {6: (4, 9, 10, (10, 11)), 7: (4, 9, 10, (10, 14))}), px, none))
     rows = {(r.label_track, r.t): r for r in merged.tracks.collect()}
     assert all((1, k) in rows and rows[1, k].parent_track == 0 for k in (0, 3, 5, 6, 8)) and rows[1, 6].cell_source == "merged" and rows[6, 9].parent_track == 1
@@ -81,6 +79,34 @@ def test_merges_inside_gaps_go(spark):
     assert done.tracks.where("label_track = 3").isEmpty() and done.pixels.where("label = 3").isEmpty()
 
 
+MERGED = {1: (0, 0, 2, (10, 10)), 2: (1, 3, 5, (10, 10)), 3: (1, 3, 5, (10, 12)), 4: (0, 6, 7, (10, 11)), 5: (4, 8, 12, (10, 10)), 6: (4, 8, 12, (10, 12)), 9: (0, 0, 12, (50, 50))}
+
+
+def test_merged_daughters_are_split(spark):
+    t = tracks_of(spark, MERGED)
+    index = {(r.label_track, r.t): r["index"] for r in t.collect()}
+    out = [(index[4, 6], index[5, 8], 0.1, 0.9), (index[4, 6], index[6, 8], 0.1, 0.8), (index[4, 6], index[9, 7], 0.1, 0.3)]
+    px, preds = masks_of(t), preds_of(spark, out)
+    found = correction.merged_daughters(t, px, preds).collect()
+    assert [(r.parent, r.a, r.b, r.merged, r.t, r.after_a, r.after_b) for r in found] == [(1, 2, 3, 4, 6, index[5, 8], index[6, 8])]
+    assert correction.merged_daughters(t, px, preds_of(spark, out[:1])).count() == 0  # nothing reappears as two
+    little = [(*x[:3], 0.2) for x in out]
+    assert correction.merged_daughters(t, px, preds_of(spark, little), least_coverage=1.1).count() == 0  # neither coverage nor a link
+    assert correction.merged_daughters(t, px, preds_of(spark, [*little, (index[1, 2], index[4, 6], 0.9, 0.0)]), least_coverage=1.1).count() == 1
+    done = chain.split_merged_daughters()(chain.State(t, px, preds))
+    rows = {(r.label_track, r.t): r for r in done.tracks.collect()}
+    assert {label for label, _ in rows} == {1, 2, 3, 9} and {k for label, k in rows if label == 2} == {*range(3, 7), *range(8, 13)}
+    assert rows[2, 6].cell_source == "split" and all(r.parent_track == 1 for (label, _), r in rows.items() if label in (2, 3))
+    assert {(r.t, r.label) for r in done.pixels.where("y < 20 and label > 0 and t >= 6").select("t", "label").distinct().collect()} == {(k, label) for k in (6, *range(8, 13)) for label in (2, 3)}
+
+
+def test_gaps_before_divisions_are_closed(spark):
+    t = tracks_of(spark, {1: (0, 0, 2, (10, 10)), 2: (1, 5, 8, (10, 20)), 3: (1, 5, 8, (20, 20))})
+    done = chain.close_division_gaps(chain.State(t, masks_of(t), preds_of(spark, [(0, 1, 0.5, 0.0)])))
+    assert {(r.t, r.parent_track) for r in done.tracks.where("label_track = 1").collect()} == {(k, 0) for k in range(5)}
+    assert done.pixels.where("label = 1 and t in (3, 4)").count() == 8 and correction.violations(done.tracks, done.pixels).count() == 0
+
+
 def test_chain_of_repairs(spark):
     spans = {1: (0, 0, 9, (10, 10)), 2: (0, 0, 9, (10, 14)), 3: (0, 4, 5, (10, 12)), 5: (0, 0, 9, (60, 60)), 20: (0, 0, 2, (80, 10)), 21: (20, 3, 20, (80, 10)), 22: (20, 3, 20, (80, 14))}
     t = tracks_of(spark, spans, {(1, 4), (1, 5), (2, 4), (2, 5), (5, 7)})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import correction as c
 from trackweave.operators.lineage import _written
+from trackweave.operators.numbering import numbered
 
 SEQ = "sequence_id"
 log = logging.getLogger(__name__)
@@ -55,8 +56,7 @@ def close_gaps(most: int | None = 2, threshold: float = 0.1) -> Stage:
         added = filled.where("cell_source = 'interpolated'").join(free, [SEQ, "label_track", "t"], "left_semi").select(*filled.columns)
         tracks = state.tracks.unionByName(added.select(*state.tracks.columns))
         masks = gap_masks(state, most).join(free.withColumnRenamed("label_track", "label"), [SEQ, "label", "t"], "left_semi")
-        onto = masks.select(SEQ, "t", "y", "x", F.col("label").alias("_new")).groupBy(SEQ, "t", "y", "x").agg(F.min("_new").alias("_new"))
-        pixels = state.pixels.join(onto, [SEQ, "t", "y", "x"], "full").withColumn("label", F.when(F.coalesce("label", F.lit(0)) == 0, F.coalesce("_new", F.lit(0))).otherwise(F.col("label"))).select(*state.pixels.columns)
+        pixels = _drawn(state.pixels, masks.select(SEQ, "t", "y", "x", "label"), over=False)
         return replace(state, tracks=tracks, pixels=pixels)
 
     return run
@@ -100,6 +100,52 @@ def remove_merges(threshold: float = 0.5, least_coverage: float = 0.5) -> Stage:
     return run
 
 
+def _drawn(pixels: DataFrame, masks: DataFrame, over: bool) -> DataFrame:
+    """Pixels with masks (sequence_id, t, y, x, label) drawn in, over what is there or onto background alone."""
+    onto = masks.groupBy(SEQ, "t", "y", "x").agg(F.min("label").alias("_new"))
+    there = F.coalesce("label", F.lit(0))
+    label = F.coalesce("_new", there) if over else F.when(there == 0, F.coalesce("_new", F.lit(0))).otherwise(there)
+    return pixels.join(onto, [SEQ, "t", "y", "x"], "full").withColumn("label", label).select(*pixels.columns)
+
+
+def split_merged_daughters(threshold: float = 0.5, divides: float = 0.5, least_coverage: float = 0.5, most: int = 3) -> Stage:
+    """A mask over two daughters goes, they are drawn back in, and what follows it goes on under their labels. C5, C7."""
+
+    def run(state: State) -> State:
+        splits = _written(c.merged_daughters(state.tracks, state.pixels, state.preds, threshold, divides, least_coverage, most), "splits")
+        names = _written(c.split_names(state.tracks, splits), "split-names")
+        erased = _written(c.split_erased(state.tracks, splits, names), "split-erased")
+        gone = erased.select(SEQ, "t", F.col("label_track").alias("label"), F.lit(True).alias("_gone"))
+        own = names.select(SEQ, F.col("old").alias("label"), F.col("new").alias("_l"), "up", "since")
+        pixels = state.pixels.join(gone, [SEQ, "t", "label"], "left").join(own, [SEQ, "label"], "left")
+        later = F.coalesce(F.col("t") >= F.col("since"), F.lit(False))
+        pixels = pixels.withColumn("label", F.when(F.col("_gone"), F.lit(0)).when(later, F.col("_l")).otherwise(F.col("label"))).select(*state.pixels.columns)
+        sides = splits.select(SEQ, F.explode(F.array("a", "b")).alias("label"), (F.col("t") - 1).alias("t"), F.col("t").alias("_t"))
+        drawn = state.pixels.join(sides, [SEQ, "label", "t"]).select(SEQ, F.col("_t").alias("t"), "y", "x", "label")
+        pixels = _drawn(pixels, drawn, over=True)
+        tracks = state.tracks.join(erased, [SEQ, "t", "label_track"], "left_anti").join(own.withColumnRenamed("label", "label_track"), [SEQ, "label_track"], "left")
+        up = names.select(SEQ, F.col("old").alias("parent_track"), F.col("new").alias("_p"))
+        tracks = tracks.join(up, [SEQ, "parent_track"], "left")
+        tracks = tracks.withColumns({"label_track": F.when(later, F.col("_l")).otherwise(F.col("label_track")), "parent_track": F.when(later, F.col("up")).otherwise(F.coalesce("_p", "parent_track"))}).select(*state.tracks.columns)
+        tracks = tracks.unionByName(c.split_rows(state.tracks, splits), allowMissingColumns=True)
+        whole = splits.select(SEQ, F.col("merged").alias("parent_track")).join(tracks.select(SEQ, F.col("label_track").alias("parent_track")), [SEQ, "parent_track"], "left_anti").withColumn("_none", F.lit(True))
+        tracks = tracks.join(whole.distinct(), [SEQ, "parent_track"], "left").withColumn("parent_track", F.when(F.col("_none"), F.lit(0)).otherwise(F.col("parent_track"))).select(*state.tracks.columns)
+        return replace(state, tracks=tracks, pixels=pixels)
+
+    return run
+
+
+def close_division_gaps(state: State) -> State:
+    """Parents go on to the frame before their first daughters, with their last mask where nothing else is. C3."""
+    rows = _written(c.fill_division_gaps(state.tracks), "division-gaps")
+    ends = state.tracks.groupBy(SEQ, "label_track").agg(F.max("t").alias("_t"), F.max("parent_track").alias("parent_track"))
+    top = state.tracks.groupBy(SEQ).agg(F.max("index").alias("_top"))
+    added = numbered(rows, "index", "label_track", "t").join(top, SEQ).join(ends, [SEQ, "label_track"]).withColumns({"index": F.col("index") + F.col("_top"), "cell_source": F.lit("interpolated")})
+    masks = state.pixels.join(ends.select(SEQ, F.col("label_track").alias("label"), F.col("_t").alias("t")), [SEQ, "label", "t"]).select(SEQ, "label", "y", "x").join(rows.select(SEQ, F.col("label_track").alias("label"), "t"), [SEQ, "label"])
+    tracks = state.tracks.unionByName(added.drop("_top", "_t"), allowMissingColumns=True)
+    return replace(state, tracks=tracks, pixels=_drawn(state.pixels, masks.select(SEQ, "t", "y", "x", "label"), over=False))
+
+
 class InvalidLineage(ValueError):
     """What the chain of repairs has left breaks the rules of a lineage."""
 
@@ -113,9 +159,9 @@ def validated(state: State) -> State:
 
 
 def default_stages() -> list[Stage]:
-    """Close gaps that nothing contends for, merge early divisions, remove merges, close what that opened, drop rows
-    without a mask, cut what is still open."""
-    return [close_gaps(), merge_early_divisions(), remove_merges(), close_gaps(), drop_orphans, split_leftover_gaps]
+    """Close gaps that nothing contends for, merge early divisions, split and remove merges, close what that opened,
+    gaps before divisions as well, drop rows without a mask, cut what is still open."""
+    return [close_gaps(), merge_early_divisions(), split_merged_daughters(), remove_merges(), close_gaps(), close_division_gaps, drop_orphans, split_leftover_gaps]
 
 
 def correct(state: State, stages: list[Stage] | None = None) -> State:

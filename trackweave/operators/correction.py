@@ -379,3 +379,69 @@ def _renamed(tracks: DataFrame, names: DataFrame) -> DataFrame:
         "cell_source": F.when(merged, F.lit("merged")).otherwise(F.col("cell_source")),
     })
     return out.select(*tracks.columns)
+
+
+def merged_daughters(tracks: DataFrame, pixels: DataFrame, preds: DataFrame, threshold: float = 0.5, divides: float = 0.5, least_coverage: float = 0.5, most: int = 3) -> DataFrame:
+    """Masks that cover two daughters at once, which are two cells again afterwards. C5.
+
+    (sequence_id, parent, a, b, a_last, b_last, merged, t, after_a, after_b): a parent's two daughters, the smaller
+    label first, that end in one frame, don't divide again and touch in every frame; the label that begins in the next
+    frame t, lasts at most ``most`` frames, and of which they cover most; and the two targets of its first row with the
+    largest p2. Either they cover least_coverage of it, or a link supports it: from the parent's last row into it (p1
+    above threshold), from it to the two (p2 above divides), or from a daughter's last row to one of the two (p1). Of
+    several pairs under one label the one of the least parent counts."""
+    span = tracks.groupBy(SEQ, "label_track").agg(F.min("t").alias("b"), F.max("t").alias("e"), F.max(F.struct("t", "index")).alias("l"), F.min(F.struct("t", "index")).alias("f"))
+    span = span.select(SEQ, "label_track", "b", "e", F.col("l.index").alias("last"), F.col("f.index").alias("first"))
+    kids = tracks.where("parent_track > 0").select(SEQ, F.col("parent_track").alias("parent"), "label_track").distinct()
+    pairs = kids.groupBy(SEQ, "parent").agg(F.count(F.lit(1)).alias("n"), F.min("label_track").alias("a"), F.max("label_track").alias("b")).where("n = 2").drop("n")
+    fertile = kids.select(SEQ, F.col("parent").alias("x")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(fertile.withColumnRenamed("x", side), [SEQ, side], "left_anti")
+        pairs = pairs.join(span.select(SEQ, F.col("label_track").alias(side), F.col("e").alias(f"e_{side}"), F.col("last").alias(f"{side}_last")), [SEQ, side])
+    pairs = pairs.where("e_a = e_b").select(SEQ, "parent", "a", "b", "a_last", "b_last", (F.col("e_a") + 1).alias("t"))
+    masks = pixels.where("label != 0").select(SEQ, "t", "y", "x", "label")
+    under = pairs.select(SEQ, "parent", F.col("t"), F.explode(F.array("a", "b")).alias("label"), (F.col("t") - 1).alias("_t")).join(masks.withColumnRenamed("t", "_t"), [SEQ, "label", "_t"]).select(SEQ, "parent", "t", "y", "x").distinct()
+    met = under.join(masks, [SEQ, "t", "y", "x"]).groupBy(SEQ, "parent", "t", "label").agg(F.count(F.lit(1)).alias("n"))
+    met = met.join(pairs.select(SEQ, "parent", "a", "b"), [SEQ, "parent"]).where("label != a and label != b").drop("a", "b")
+    area = masks.join(met.select(SEQ, "t", "label").distinct(), [SEQ, "t", "label"], "left_semi").groupBy(SEQ, "t", "label").agg(F.count(F.lit(1)).alias("area"))
+    best = met.join(area, [SEQ, "t", "label"]).groupBy(SEQ, "parent").agg(F.max(F.struct((F.col("n") / F.col("area")).alias("coverage"), (-F.col("label")).alias("label"))).alias("x"))
+    found = pairs.join(best.select(SEQ, "parent", (-F.col("x.label")).alias("merged"), F.col("x.coverage").alias("coverage")), [SEQ, "parent"])
+    found = found.join(span.select(SEQ, F.col("label_track").alias("merged"), "b", "e", "first").withColumnsRenamed({"b": "m_b", "e": "m_e"}), [SEQ, "merged"])
+    found = found.where((F.col("m_b") == F.col("t")) & (F.col("m_e") - F.col("t") < most))
+    out = top_targets(preds.join(found.select(SEQ, F.col("first").alias("src")).distinct(), [SEQ, "src"], "left_semi"), 2)
+    out = out.groupBy(SEQ, F.col("src").alias("first")).agg(F.max(F.when(F.col("rank") == 1, F.col("dst"))).alias("after_a"), F.max(F.when(F.col("rank") == 2, F.col("dst"))).alias("after_b"), F.max("p2").alias("p_out")).where("after_b is not null")
+    found = found.join(out, [SEQ, "first"])
+    found = found.join(span.select(SEQ, F.col("label_track").alias("parent"), F.col("last").alias("p_last")), [SEQ, "parent"], "left")
+    ways = F.array(F.struct(F.col("p_last").alias("src"), F.col("first").alias("dst")), *(F.struct(F.col(s).alias("src"), F.col(d).alias("dst")) for s in ("a_last", "b_last") for d in ("after_a", "after_b")))
+    score = found.select(SEQ, "parent", F.explode(ways).alias("w")).select(SEQ, "parent", "w.*").join(preds.select(SEQ, "src", "dst", "p1"), [SEQ, "src", "dst"]).groupBy(SEQ, "parent").agg(F.max("p1").alias("p_in"))
+    found = found.join(score, [SEQ, "parent"], "left").where((F.col("coverage") >= least_coverage) | (F.col("p_out") > divides) | F.coalesce(F.col("p_in") > threshold, F.lit(False)))
+    found = touching(tracks, pixels, found.withColumnsRenamed({"a": "label_a", "b": "label_b"})).withColumnsRenamed({"label_a": "a", "label_b": "b"})
+    once = Window.partitionBy(SEQ, "merged").orderBy("parent")
+    return found.withColumn("_k", F.row_number().over(once)).where("_k = 1").select(SEQ, "parent", "a", "b", "a_last", "b_last", "merged", "t", "after_a", "after_b")
+
+
+def split_names(tracks: DataFrame, splits: DataFrame) -> DataFrame:
+    """(sequence_id, merged, old, new, up, since): what follows a merge, as far as it comes from it, and the daughter
+    whose trajectory it goes on. C7."""
+    sides = F.explode(F.array(*(F.struct(F.col(f"after_{k}").alias("index"), F.col(k).alias("new")) for k in ("a", "b")))).alias("s")
+    after = splits.select(SEQ, "merged", F.col("parent").alias("up"), sides).select(SEQ, "merged", "up", "s.*")
+    return after.join(tracks.select(SEQ, "index", "t", F.col("label_track").alias("old"), "parent_track"), [SEQ, "index"]).where("parent_track = merged and old != new").select(SEQ, "merged", "old", "new", "up", F.col("t").alias("since"))
+
+
+def split_erased(tracks: DataFrame, splits: DataFrame, names: DataFrame) -> DataFrame:
+    """(sequence_id, t, label_track): the merged rows that go: the first, and those before what follows is named anew. C7."""
+    until = names.groupBy(SEQ, "merged").agg(F.min("since").alias("until"))
+    given = splits.select(SEQ, "merged", F.col("t").alias("from")).join(until, [SEQ, "merged"], "left")
+    rows = tracks.select(SEQ, "t", "label_track").join(given.withColumnRenamed("merged", "label_track"), [SEQ, "label_track"])
+    return rows.where((F.col("t") == F.col("from")) | (F.col("t") > F.col("from")) & (F.col("t") < F.col("until"))).select(SEQ, "t", "label_track").distinct()
+
+
+def split_rows(tracks: DataFrame, splits: DataFrame) -> DataFrame:
+    """The daughters' rows in the frame of the merge, half way to what carries them on; cell_source split. C7."""
+    sides = F.explode(F.array(*(F.struct(F.col(k).alias("label_track"), F.col(f"{k}_last").alias("last"), F.col(f"after_{k}").alias("after")) for k in ("a", "b")))).alias("s")
+    at = lambda end: tracks.select(SEQ, F.col("index").alias(end), *(F.col(f"center_{i}").alias(f"{end}_{i}") for i in (0, 1)))
+    rows = splits.select(SEQ, F.col("parent").alias("parent_track"), "t", sides).select(SEQ, "parent_track", "t", "s.*").join(at("last"), [SEQ, "last"]).join(at("after"), [SEQ, "after"], "left")
+    rows = rows.select(SEQ, "label_track", "parent_track", "t", *((F.col(f"last_{i}") + F.coalesce(f"after_{i}", f"last_{i}")).alias(f"center_{i}") for i in (0, 1)), F.lit("split").alias("cell_source"))
+    rows = rows.withColumns({f"center_{i}": F.col(f"center_{i}") / 2 for i in (0, 1)})
+    top = tracks.groupBy(SEQ).agg(F.max("index").alias("_top"))
+    return numbered(rows, "index", "label_track", "t").join(top, SEQ).withColumn("index", F.col("index") + F.col("_top")).drop("_top")
