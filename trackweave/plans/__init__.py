@@ -6,7 +6,7 @@ from importlib import import_module
 
 from trackweave.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("prediction_plans", "graph_plans", "lineage_plans", "table_plans", "chain_plans", "crop_plans")
+MODULES = ("prediction_plans", "graph_plans", "lineage_plans", "table_plans", "chain_plans", "crop_plans", "file_plans")
 
 
 def _load() -> None:
