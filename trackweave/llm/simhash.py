@@ -321,6 +321,29 @@ def _name(ident: Column) -> Column:
     return F.coalesce(F.concat(F.lit("i"), ident.cast("string")), F.lit("n"))
 
 
+#: Node numbers from here on are made of hashes.
+HASHED = 1 << 62
+
+
+def _node_numbers(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (own, t0, ...) with id, a long for each text: its ident if that is a whole number below HASHED and of
+    no other text with a smaller hash, so that small idents stay small; else HASHED and 62 bits of the text's hash. Of
+    texts that have one number, less than one pair in 10**9 texts, one is left."""
+    hashed = F.shiftrightunsigned("t0", 2).bitwiseOR(F.lit(HASHED).cast("long"))
+    names = nodes.columns
+    if nodes.schema["own"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return nodes.withColumn("id", hashed).dropDuplicates(["id"])
+    known = nodes.where("own is not null").groupBy("own").agg(F.count(F.lit(1)).alias("_many"), F.min("t0").alias("_first")).where("_many > 1")
+    plain = F.col("own").isNotNull() & (F.col("own") < HASHED)
+    if known.isEmpty():
+        given = nodes.withColumn("id", F.when(plain, F.col("own").cast("long")).otherwise(hashed))
+    else:
+        some = salted_join(nodes.where("own is not null"), known, ["own"], "left", by=F.col("t0")).unionByName(nodes.where("own is null"), allowMissingColumns=True)
+        given = some.withColumn("id", F.when(plain & F.coalesce(F.col("t0") == F.col("_first"), F.lit(True)), F.col("own").cast("long")).otherwise(hashed))
+    rest = [c for c in names if c != "id"]
+    return given.groupBy("id").agg(F.min(F.struct(*rest)).alias("x")).select("id", "x.*")
+
+
 def _rows_of(docs: DataFrame, nodes: DataFrame, ident: str, text: str) -> DataFrame:
     """(id, t0, t1, text): for each of nodes (id, k, t0, t1, n) its text, from the row of ``docs`` that has its ident
     (k, by name) and hashes; of the n rows that have them, one."""
@@ -373,13 +396,12 @@ def near_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", simil
     rows = marked.groupBy("t0", "t1", "id").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in lanes))
     texts = rows.groupBy("t0", "t1").agg(F.min(F.struct(F.col("id").isNull(), "id", "n", *lanes)).alias("x"))
     texts = materialize(texts.select("t0", "t1", "x.id", _name(F.col("x.id")).alias("k"), "x.n", *(f"x.{c}" for c in lanes)), "near-texts")
-    # Texts without words have the fingerprint zero in every lane; nothing else practically has. A text's number is
-    # the first part of its hash; of texts that have one number, less than one pair in 10**9 texts, one is compared.
-    nodes = texts.where("not (" + " and ".join(f"{c} = 0" for c in lanes) + ")")
-    nodes = materialize(nodes.groupBy("t0").agg(F.min(F.struct("t1", "k", "n", *lanes, F.col("id").alias("own"))).alias("x")).select(F.col("t0").alias("id"), "t0", "x.*"), "near-nodes")
+    # Texts without words have the fingerprint zero in every lane; nothing else practically has.
+    nodes = texts.where("not (" + " and ".join(f"{c} = 0" for c in lanes) + ")").withColumnRenamed("id", "own")
+    nodes = materialize(_node_numbers(nodes), "near-nodes")
     labels = near_groups(docs, nodes, ident, text, similarity=similarity)
     members = materialize(labels.join(nodes.select(F.col("id").alias("node"), "t0", "t1", "own"), "node"), "near-members")
-    order = F.struct(F.col("own").isNull(), "own", "node")
+    order = F.struct(F.col("own").isNull(), "own", "t0", "node")
     first = members.groupBy("label").agg(F.min(order).alias("_first"))
     gone = salted_join(members, first, ["label"], by=F.col("node")).where(F.col("node") != F.col("_first.node")).select("t0", "t1")
     kept = texts.join(gone, ["t0", "t1"], "left_anti")
