@@ -185,9 +185,13 @@ def _hull_area(mask: np.ndarray) -> int:
 def shapes(pixels: DataFrame) -> DataFrame:
     """(sequence_id, t, label, center_local_0, center_local_1, thickness, septum_width, solidity) of each label: the
     medial axis' middle within the bounding box, twice the largest distance to the outside and that at the middle,
-    and the area as part of the convex hull's. One object is one group, so groups stay as small as objects. A2, A3, A4."""
+    and the area as part of the convex hull's. A frame's pixels are one group; its objects are measured one by one.
+    A2, A3, A4."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(part) for _, part in pdf.groupby("label")])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy() - pdf["y"].min(), pdf["x"].to_numpy() - pdf["x"].min()
         mask = np.zeros((y.max() + 1, x.max() + 1), bool)
         mask[y, x] = True
@@ -196,4 +200,4 @@ def shapes(pixels: DataFrame) -> DataFrame:
         return pd.DataFrame({SEQ: [pdf[SEQ].iloc[0]], "t": [pdf["t"].iloc[0]], "label": [pdf["label"].iloc[0]], "center_local_0": [cy], "center_local_1": [cx], "thickness": [2 * inner.max()], "septum_width": [2 * inner[int(cy), int(cx)]], "solidity": [mask.sum() / _hull_area(mask)]})
 
     own = pixels.where("label != 0").select(SEQ, F.col("t").cast("int").alias("t"), F.col("label").cast("long").alias("label"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
-    return own.groupBy(SEQ, "t", "label").applyInPandas(run, f"{SEQ} string, t int, label long, center_local_0 double, center_local_1 double, thickness double, septum_width double, solidity double")
+    return own.groupBy(SEQ, "t").applyInPandas(run, f"{SEQ} string, t int, label long, center_local_0 double, center_local_1 double, thickness double, septum_width double, solidity double")

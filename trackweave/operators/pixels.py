@@ -52,6 +52,9 @@ def connected_parts(pixels: DataFrame) -> DataFrame:
     """(sequence_id, t, label, part, size): 8-connected parts of each label, largest first. C14."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(part) for _, part in pdf.groupby("label")])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
         at = {(y, x): k for k, (y, x) in enumerate(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))}
         root = np.arange(len(pdf))
 
@@ -73,7 +76,7 @@ def connected_parts(pixels: DataFrame) -> DataFrame:
         return out
 
     own = pixels.where("label != 0").select(SEQ, F.col("t").cast("int").alias("t"), F.col("label").cast("long").alias("label"), "y", "x")
-    return own.groupBy(SEQ, "t", "label").applyInPandas(run, f"{SEQ} string, t int, label long, part int, size long")
+    return own.groupBy(SEQ, "t").applyInPandas(run, f"{SEQ} string, t int, label long, part int, size long")
 
 
 def content_identity(pixels: DataFrame) -> DataFrame:
