@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import materialize, spark_parts
 
 #: Bytes of the longest context; bytes of a block of texts, and of what is turned into grams at once.
-ORDER, BLOCK_BYTES, CHUNK_BYTES = 5, 32_000_000, 2_000_000
+ORDER, BLOCK_BYTES, CHUNK_BYTES = 4, 16_000_000, 1_000_000
 #: Bytes of context whose nodes are formed together.
 KEY_BYTES = 3
 #: What ends a text and stands before it.
@@ -70,20 +70,31 @@ def pieces(bodies: list[bytes], order: int, chunk: int = CHUNK_BYTES) -> Iterato
         yield grams()
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of sorted ones in order, counts added up."""
+    every = np.concatenate([np.zeros(0, np.int64), *keys])
+    if not len(every):
+        return every, every
+    sort = np.argsort(every, kind="stable")
+    every = every[sort]
+    begins = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    return every[begins], np.add.reduceat(np.concatenate(counts)[sort], begins)
+
+
 def counted(bodies: list[bytes], learns: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct grams in order, and how often those texts have them that train."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     for part, text in pieces(bodies, order):
         of = learns[text]
         own, n = np.unique(part[of], return_counts=True)
         rest = np.unique(part[~of])
         keys += [own, rest]
         counts += [n, np.zeros(len(rest), np.int64)]
-    every = np.concatenate(keys)
-    sort = np.argsort(every, kind="stable")
-    every = every[sort]
-    begins = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-    return every[begins], np.add.reduceat(np.concatenate(counts)[sort], begins) if len(every) else every
+        if len(keys) >= 8:
+            key, n = merged(keys, counts)
+            keys, counts = [key], [n]
+    return merged(keys, counts)
 
 
 class Places:
