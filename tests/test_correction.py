@@ -102,7 +102,7 @@ def test_merged_daughters_are_split(spark):
 
 def test_gaps_before_divisions_are_closed(spark):
     t = tracks_of(spark, {1: (0, 0, 2, (10, 10)), 2: (1, 5, 8, (10, 20)), 3: (1, 5, 8, (20, 20))})
-    done = chain.close_division_gaps(chain.State(t, masks_of(t), preds_of(spark, [(0, 1, 0.5, 0.0)])))
+    done = chain.close_division_gaps()(chain.State(t, masks_of(t), preds_of(spark, [(0, 1, 0.5, 0.0)])))
     assert {(r.t, r.parent_track) for r in done.tracks.where("label_track = 1").collect()} == {(k, 0) for k in range(5)}
     assert done.pixels.where("label = 1 and t in (3, 4)").count() == 8 and correction.violations(done.tracks, done.pixels).count() == 0
 

@@ -180,13 +180,6 @@ def test_pixels(spark):
     assert [(r.part, r["size"]) for r in pixels.connected_parts(apart).orderBy("part").collect()] == [(0, 5), (1, 1)]
 
 
-def test_nearest_background(spark):
-    frame = spark.createDataFrame([("s", 0, y, x) for y in range(4) for x in range(4)], "sequence_id string, t int, y int, x int")
-    p = spark.createDataFrame([("s", 0, y, x, 1, 0.0) for y in range(4) for x in range(4) if (y, x) not in ((1, 3), (0, 0))], PIXELS)
-    c = spark.createDataFrame([("s", 0, 5, 1, 2)], "sequence_id string, t int, id long, cy int, cx int")
-    assert [(r.y, r.x) for r in correction.nearest_background(p, frame, c).collect()] == [(1, 3)]
-
-
 def test_message_passing(spark):
     n = spark.createDataFrame([("s", i, [float(i), 1.0]) for i in range(3)], "sequence_id string, index long, embedding array<double>")
     e = spark.createDataFrame([("s", 0, 2, [2.0, 4.0]), ("s", 1, 2, [4.0, 0.0]), ("s", 2, 0, [9.0, 9.0])], "sequence_id string, src long, dst long, message array<double>")

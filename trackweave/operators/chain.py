@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.operators import correction as c
+from trackweave.operators import gap_repair
 from trackweave.operators.lineage import _written
-from trackweave.operators.numbering import numbered
+from trackweave.operators.progress import Cancelled, Progress
 
 SEQ = "sequence_id"
 log = logging.getLogger(__name__)
@@ -44,20 +45,16 @@ def conflicts(state: State, most: int | None = None, threshold: float = 0.5) ->
     return under.select(SEQ, "t", F.col("owner").alias("label")).distinct()
 
 
-def close_gaps(most: int | None = 2, threshold: float = 0.1) -> Stage:
-    """Missing frames of gaps that aren't wider than ``most`` get a row and the last mask before the gap, but for the
-    frames in which another label is in the way. C2."""
+def close_gaps(most: int | None = 2, threshold: float = 0.1, resolve: bool = False, link: float = 0.5, covered: float = 0.8, fragment: float = 0.1, images: DataFrame | None = None, detection: float = 0.0, frames: DataFrame | None = None) -> Stage:
+    """Missing frames of gaps that aren't wider than ``most`` get a row and the last mask before the gap. Frames in which
+    another mask is in the way stay open, or are resolved as gap_repair says. With images, only gaps whose copy looks
+    like a detection are closed. C2."""
 
     def run(state: State) -> State:
-        against = conflicts(state, most, threshold).withColumnRenamed("label", "label_track")
-        every = c.gaps(state.tracks, most).select(SEQ, "label_track", F.explode(F.sequence(F.col("t") + 1, F.col("next_t") - 1)).alias("t"))
-        free = every.join(against, [SEQ, "label_track", "t"], "left_anti").select(SEQ, "label_track", "t")
-        filled = c.fill_gaps(state.tracks, most)
-        added = filled.where("cell_source = 'interpolated'").join(free, [SEQ, "label_track", "t"], "left_semi").select(*filled.columns)
-        tracks = state.tracks.unionByName(added.select(*state.tracks.columns))
-        masks = gap_masks(state, most).join(free.withColumnRenamed("label_track", "label"), [SEQ, "label", "t"], "left_semi")
-        pixels = _drawn(state.pixels, masks.select(SEQ, "t", "y", "x", "label"), over=False)
-        return replace(state, tracks=tracks, pixels=pixels)
+        found = gap_repair.detection_gaps(state.tracks, most)
+        if images is not None:
+            found = gap_repair.supported(images, state.pixels, found, detection)
+        return gap_repair.repaired(state, found, gap_repair.Rules(threshold, link, covered, fragment, resolve), frames)
 
     return run
 
@@ -135,15 +132,20 @@ def split_merged_daughters(threshold: float = 0.5, divides: float = 0.5, least_c
     return run
 
 
-def close_division_gaps(state: State) -> State:
-    """Parents go on to the frame before their first daughters, with their last mask where nothing else is. C3."""
-    rows = _written(c.fill_division_gaps(state.tracks), "division-gaps")
-    ends = state.tracks.groupBy(SEQ, "label_track").agg(F.max("t").alias("_t"), F.max("parent_track").alias("parent_track"))
-    top = state.tracks.groupBy(SEQ).agg(F.max("index").alias("_top"))
-    added = numbered(rows, "index", "label_track", "t").join(top, SEQ).join(ends, [SEQ, "label_track"]).withColumns({"index": F.col("index") + F.col("_top"), "cell_source": F.lit("interpolated")})
-    masks = state.pixels.join(ends.select(SEQ, F.col("label_track").alias("label"), F.col("_t").alias("t")), [SEQ, "label", "t"]).select(SEQ, "label", "y", "x").join(rows.select(SEQ, F.col("label_track").alias("label"), "t"), [SEQ, "label"])
-    tracks = state.tracks.unionByName(added.drop("_top", "_t"), allowMissingColumns=True)
-    return replace(state, tracks=tracks, pixels=_drawn(state.pixels, masks.select(SEQ, "t", "y", "x", "label"), over=False))
+def close_division_gaps(threshold: float = 0.1, images: DataFrame | None = None, detection: float = 0.0, frames: DataFrame | None = None) -> Stage:
+    """Parents go on to the frame before their first daughters, with their last mask, or a marker where another mask is
+    in the way. With images, daughters of a parent whose gap shows no detection lose it. C3."""
+
+    def run(state: State) -> State:
+        found = gap_repair.division_gaps(state.tracks)
+        if images is not None:
+            good = _written(gap_repair.supported(images, state.pixels, found, detection), "division-gaps")
+            lost = found.join(good, [SEQ, "label"], "left_anti").select(SEQ, F.col("label").alias("parent_track"), F.lit(True).alias("_lost"))
+            tracks = state.tracks.join(lost, [SEQ, "parent_track"], "left").withColumn("parent_track", F.when(F.col("_lost"), F.lit(0)).otherwise(F.col("parent_track"))).select(*state.tracks.columns)
+            state, found = replace(state, tracks=_written(tracks, "division-tracks")), good
+        return gap_repair.repaired(state, found, gap_repair.Rules(threshold, rename=False), frames)
+
+    return run
 
 
 class InvalidLineage(ValueError):
@@ -159,25 +161,42 @@ def validated(state: State) -> State:
 
 
 def default_stages() -> list[Stage]:
-    """Close gaps that nothing contends for, merge early divisions, split and remove merges, close what that opened,
-    gaps before divisions as well, drop rows without a mask, cut what is still open."""
-    return [close_gaps(), merge_early_divisions(), split_merged_daughters(), remove_merges(), close_gaps(), close_division_gaps, drop_orphans, split_leftover_gaps]
-
-
-def correct(state: State, stages: list[Stage] | None = None) -> State:
-    """All stages in order; each result is written before the next. If one fails, the whole state is what it was before
-    the first, and none of the later ones runs. C1, C15. An error of the cluster itself is not caught."""
+    """Close gaps that nothing contends for, merge early divisions, split and remove merges, close what that opened and
+    resolve what contends, gaps before divisions as well, drop rows without a mask, cut what is still open."""
+    return [close_gaps(), merge_early_divisions(), split_merged_daughters(), remove_merges(), close_gaps(resolve=True), close_division_gaps(), drop_orphans, split_leftover_gaps]
+
+
+def valid_or_given(given: State, made: State) -> State:
+    """Of each sequence what was made of it, if that breaks no rule of a lineage, else what was given. C1, C12."""
+    left = _written(c.violations(made.tracks, made.pixels), "violations")
+    bad = left.select(SEQ).distinct()
+    for r in left.groupBy(SEQ, "rule").agg(F.count(F.lit(1)).alias("n")).orderBy(SEQ, "rule").limit(20).collect():
+        log.warning("the repairs of %s break a rule, its tracks stay uncorrected: %s (%d labels)", r[SEQ], r["rule"], r["n"])
+    both = lambda new, old: new.join(bad, SEQ, "left_anti").select(*old.columns).unionByName(old.join(bad, SEQ, "left_semi").select(*old.columns))
+    return replace(made, tracks=both(made.tracks, given.tracks), pixels=both(made.pixels, given.pixels))
+
+
+def correct(state: State, stages: list[Stage] | None = None, progress: Progress | None = None) -> State:
+    """All stages in order; each result is written before the next. Sequences whose result breaks a rule of a lineage
+    keep what was given. If a stage fails, the whole state is what it was before the first, and none of the later ones
+    runs. C1, C15. An error of the cluster itself is not caught. progress: told of each stage; what it cancels ends
+    with Cancelled."""
     from pyspark.errors import PySparkException
 
-    given = state
-    for stage in stages if stages is not None else default_stages():
+    given, stages = state, stages if stages is not None else default_stages()
+    progress = progress or Progress()
+    for k, stage in enumerate(stages):
+        name = getattr(stage, "__qualname__", str(stage)).split(".")[0]
         try:
-            made = stage(state)
-            state = replace(made, tracks=_written(made.tracks, "tracks"), pixels=_written(made.pixels, "pixels"))
+            with progress.stage(state.tracks.sparkSession, name, k, len(stages)):
+                made = stage(state)
+                state = replace(made, tracks=_written(made.tracks, "tracks"), pixels=_written(made.pixels, "pixels"))
+        except Cancelled:
+            raise
         except (PySparkException, ValueError, TypeError, ArithmeticError, LookupError, RuntimeError, AssertionError) as why:
-            log.warning("the repair %s failed, the tracks stay uncorrected: %s", getattr(stage, "__qualname__", stage), why)
+            log.warning("the repair %s failed, the tracks stay uncorrected: %s", name, why)
             return given
-    return state
+    return valid_or_given(given, state)
 
 
 def detection_quality(truth: DataFrame, found: DataFrame) -> DataFrame:

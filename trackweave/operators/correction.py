@@ -33,19 +33,18 @@ def fill_gaps(tracks: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def division_gaps(tracks: DataFrame) -> DataFrame:
-    """Parents that end more than a frame before a daughter begins. J22."""
-    ends = tracks.groupBy(SEQ, "label_track").agg(F.max("t").alias("parent_last"))
-    first = tracks.groupBy(SEQ, "label_track").agg(F.min("t").alias("first"), F.max("parent_track").alias("parent")).where("parent > 0 and parent != label_track")
-    return first.join(ends.withColumnRenamed("label_track", "parent"), [SEQ, "parent"]).where("first - parent_last > 1").select(SEQ, "label_track", "parent", "parent_last", "first")
+    """Parents that end more than a frame before the first of their daughters begins. J22."""
+    ends = tracks.groupBy(SEQ, F.col("label_track").alias("parent")).agg(F.max("t").alias("parent_last"))
+    first = tracks.where("parent_track > 0").groupBy(SEQ, F.col("parent_track").alias("parent")).agg(F.min("t").alias("first"))
+    return ends.join(first, [SEQ, "parent"]).where("first - parent_last > 1").select(SEQ, "parent", "parent_last", "first")
 
 
 def fill_division_gaps(tracks: DataFrame) -> DataFrame:
     """Rows that carry a parent on to the frame before its first daughters, towards the mean of their positions. C3."""
     found = division_gaps(tracks)
-    soonest = found.groupBy(SEQ, "parent", "parent_last").agg(F.min("first").alias("first"))
     start = tracks.groupBy(SEQ, F.col("label_track").alias("parent")).agg(F.max(F.struct("t", "index", "center_0", "center_1")).alias("p"))
-    first = tracks.groupBy(SEQ, "label_track").agg(F.min(F.struct("t", "index", "center_0", "center_1")).alias("d"))
-    daughters = found.join(soonest, [SEQ, "parent", "parent_last", "first"]).join(first, [SEQ, "label_track"]).groupBy(SEQ, "parent", "parent_last", "first").agg(F.avg("d.center_0").alias("to_0"), F.avg("d.center_1").alias("to_1"))
+    born = tracks.select(SEQ, F.col("parent_track").alias("parent"), F.col("t").alias("first"), "center_0", "center_1")
+    daughters = found.join(born, [SEQ, "parent", "first"]).groupBy(SEQ, "parent", "parent_last", "first").agg(F.avg("center_0").alias("to_0"), F.avg("center_1").alias("to_1"))
     rows = daughters.join(start, [SEQ, "parent"]).withColumn("t", F.explode(F.sequence(F.col("parent_last") + 1, F.col("first") - 1)))
     part = (F.col("t") - F.col("parent_last")) / (F.col("first") - F.col("parent_last"))
     return rows.select(SEQ, F.col("parent").alias("label_track"), "t", *((F.col(f"p.center_{i}") + (F.col(f"to_{i}") - F.col(f"p.center_{i}")) * part).alias(f"center_{i}") for i in (0, 1)))
@@ -190,16 +189,6 @@ def coverage(pixels: DataFrame, footprint: DataFrame) -> DataFrame:
     return given.select(SEQ, "t", "owner", "label", "shared", (F.col("shared") / F.col("_a")).alias("coverage"), (F.col("shared") / (F.col("_f") + F.col("_a") - F.col("shared"))).alias("iou")).withColumn("conflict", F.greatest("coverage", "iou") > 0.5)
 
 
-def nearest_background(pixels: DataFrame, frame: DataFrame, centres: DataFrame) -> DataFrame:
-    """The background pixel nearest to each centre (sequence_id, t, id, cy, cx); ties row-major. L5.
-
-    frame lists the positions (sequence_id, t, y, x) of the frames."""
-    free = frame.join(pixels.where("label != 0"), [SEQ, "t", "y", "x"], "left_anti").select(SEQ, "t", "y", "x")
-    d = (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) + (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx"))
-    best = centres.join(free, [SEQ, "t"]).groupBy(SEQ, "t", "id").agg(F.min(F.struct(d.alias("d"), "y", "x")).alias("b"))
-    return best.select(SEQ, "t", "id", F.col("b.y").alias("y"), F.col("b.x").alias("x"))
-
-
 def spread_score(gap: DataFrame, reference: DataFrame, background: DataFrame) -> DataFrame:
     """(std in the gap - std of the background) / (std of the reference - std of the background); 1 if the latter is
     nothing. All are (sequence_id, id, intensity). A18."""

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.quantiles import quantiles
+
 SEQ, EPS = "sequence_id", 1e-6
 #: Names of size features that normalisation scales by the initial length rather than the initial area.
 LENGTHS = ("axis", "thickness", "septum_width")
@@ -148,7 +150,7 @@ def crop_boxes(nodes: DataFrame, size: float, height: int, width: int) -> DataFr
 
 def percentile_scale(df: DataFrame, value: str = "intensity", low: float = 0.0005, high: float = 0.9995) -> DataFrame:
     """The value between two exact percentiles of its sequence, clipped to [0, 1]. S15, S17."""
-    p = df.groupBy(SEQ).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_p"))
+    p = quantiles(df, value, [low, high], [SEQ]).select(SEQ, F.col("q").alias("_p"))
     given = df.join(p, SEQ)
     lo, hi = F.element_at("_p", 1), F.element_at("_p", 2)
     width = F.when(hi - lo == 0, 1.0).otherwise(hi - lo)

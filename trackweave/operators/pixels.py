@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.components import components
+from trackweave.operators.lineage import _written
+
 SEQ = "sequence_id"
 
 
@@ -36,47 +37,43 @@ def instance_check(pixels: DataFrame, frames: int = 16) -> DataFrame:
 
 
 def thickness(pixels: DataFrame) -> DataFrame:
-    """Twice the largest distance of a label's pixel to what isn't its own, by the least distance to its rim. A4.
+    """Twice the largest distance of a label's pixel to what isn't its own. A4.
+
+    Along columns the distance follows from the runs of the label; along rows a pixel looks as far as that distance, so
+    the work is the objects' area times their half-width."""
+    own = pixels.where("label != 0").select(SEQ, "t", "label", "y", "x").distinct()
+    run = Window.partitionBy(SEQ, "t", "label", "x", "_run")
+    own = own.withColumn("_run", F.col("y") - F.row_number().over(Window.partitionBy(SEQ, "t", "label", "x").orderBy("y")))
+    own = own.withColumn("_g", F.least(F.col("y") - F.min("y").over(run), F.max("y").over(run) - F.col("y")) + 1).drop("_run")
+    ways = own.withColumn("_dx", F.explode(F.sequence(-F.col("_g"), F.col("_g")))).withColumn("_at", F.col("x") + F.col("_dx"))
+    side = own.select(SEQ, "t", "label", "y", F.col("x").alias("_at"), F.col("_g").alias("_h"))
+    far = F.col("_dx") * F.col("_dx") + F.coalesce(F.col("_h") * F.col("_h"), F.lit(0))
+    near = ways.join(side, [SEQ, "t", "label", "y", "_at"], "left").groupBy(SEQ, "t", "label", "y", "x").agg(F.min(far).alias("d"))
+    return near.groupBy(SEQ, "t", "label").agg((2 * F.sqrt(F.max("d"))).alias("thickness"))
+
+
+def runs(pixels: DataFrame) -> DataFrame:
+    """(sequence_id, t, label, y, x0, x1): unbroken stretches of a label along the rows of its frames, both ends in."""
+    own = pixels.where("label != 0").select(SEQ, F.col("t").cast("int").alias("t"), F.col("label").cast("long").alias("label"), "y", "x").distinct()
+    row = Window.partitionBy(SEQ, "t", "label", "y").orderBy("x")
+    return own.withColumn("_run", F.col("x") - F.row_number().over(row)).groupBy(SEQ, "t", "label", "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
+
 
-    The rim is where a neighbour of a pixel belongs to something else; the distances stay within a label."""
-    own = pixels.where("label != 0").select(SEQ, "t", "label", "y", "x")
-    ring = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx))
-    around = own.select(SEQ, "t", "label", F.explode(ring).alias("o"), "y", "x").select(SEQ, "t", "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    rim = around.join(own, [SEQ, "t", "label", "y", "x"], "left_anti").select(SEQ, "t", "label", F.col("y").alias("ry"), F.col("x").alias("rx"))
-    d = F.sqrt((F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry")) + (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")))
-    near = own.join(rim, [SEQ, "t", "label"]).groupBy(SEQ, "t", "label", "y", "x").agg(F.min(d).alias("d"))
-    return near.groupBy(SEQ, "t", "label").agg((2 * F.max("d")).alias("thickness"))
+def labelled_runs(pixels: DataFrame) -> DataFrame:
+    """The runs with the 8-connected part that each belongs to, part: runs of neighbouring rows that touch are linked and
+    linked ones share a component, so a frame of any size is many rows and never one group."""
+    given = _written(runs(pixels).withColumn("index", F.monotonically_increasing_id()), "runs")
+    below = given.select(SEQ, "t", "label", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("index").alias("dst"))
+    links = given.join(below, [SEQ, "t", "label", "y"]).where("_x0 <= x1 + 1 and _x1 >= x0 - 1").select(SEQ, F.col("index").alias("src"), "dst")
+    return given.join(components(links), [SEQ, "index"], "left").withColumn("part", F.coalesce("component", "index")).select(SEQ, "t", "label", "y", "x0", "x1", "part")
 
 
 def connected_parts(pixels: DataFrame) -> DataFrame:
-    """(sequence_id, t, label, part, size): 8-connected parts of each label, largest first. C14."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(part) for _, part in pdf.groupby("label")])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {(y, x): k for k, (y, x) in enumerate(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))}
-        root = np.arange(len(pdf))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for (y, x), k in at.items():
-            for o in ((0, 1), (1, -1), (1, 0), (1, 1)):
-                other = at.get((y + o[0], x + o[1]))
-                if other is not None:
-                    root[find(other)] = find(k)
-        sizes = pd.Series([find(k) for k in at.values()]).value_counts().tolist()
-        out = pd.DataFrame({"part": range(len(sizes)), "size": sizes})
-        for c in ("label", "t", SEQ):
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
-
-    own = pixels.where("label != 0").select(SEQ, F.col("t").cast("int").alias("t"), F.col("label").cast("long").alias("label"), "y", "x")
-    return own.groupBy(SEQ, "t").applyInPandas(run, f"{SEQ} string, t int, label long, part int, size long")
+    """(sequence_id, t, label, part, size): 8-connected parts of each label, largest first, ties by first pixel. C14."""
+    first = F.min(F.struct("y", "x0")).alias("_first")
+    sizes = labelled_runs(pixels).groupBy(SEQ, "t", "label", "part").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("size"), first)
+    order = Window.partitionBy(SEQ, "t", "label").orderBy(F.desc("size"), "_first")
+    return sizes.withColumn("part", (F.row_number().over(order) - 1).cast("long")).select(SEQ, "t", "label", "part", "size")
 
 
 def content_identity(pixels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackweave.operators import edges as e
 from trackweave.operators import nodes as n
 from trackweave.operators import windows as w
+from trackweave.operators.quantiles import quantiles
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
 from trackweave.sources import adapters as a
@@ -104,8 +105,8 @@ def _n1(spark, d):
 
 @plan("s15_percentiles", sql(f"SELECT sequence_id, {r('quantile_cont(intensity, 0.0005)', 'low')}, {r('quantile_cont(intensity, 0.9995)', 'high')} FROM pixels GROUP BY sequence_id", "pixels"))
 def _s15(spark, d):
-    p = a.pixels(spark, d).groupBy("sequence_id").agg(F.percentile("intensity", F.array(F.lit(0.0005), F.lit(0.9995))).alias("p"))
-    return p.select("sequence_id", F.element_at("p", 1).alias("low"), F.element_at("p", 2).alias("high"))
+    p = quantiles(a.pixels(spark, d), "intensity", [0.0005, 0.9995], ["sequence_id"])
+    return p.select("sequence_id", F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"))
 
 
 @plan("s17_percentile_scaling", sql(f"+p AS (SELECT sequence_id, quantile_cont(intensity, 0.1) AS lo, quantile_cont(intensity, 0.9) AS hi FROM pixels GROUP BY ALL) SELECT sequence_id, t, y, x, {r('greatest(0, least(1, (intensity - lo) / CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END))', 'scaled')} FROM pixels JOIN p USING (sequence_id)", "pixels"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import correction as c
 from trackweave.operators import lineage as ln
+from trackweave.operators import markers
 from trackweave.operators.numbering import numbered
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
@@ -33,14 +34,23 @@ def _w2(spark, d):
     return c.gaps(a.tracks(spark, d)).select("sequence_id", "label_track", "index", "t", "next_index", "next_t", "t_diff")
 
 
-for _name in ("c2_fill_gaps", "f33_interpolation", "c16_row_placement"):
+@plan("f33_interpolation", sql(f"+{NEXT} SELECT sequence_id, label_track, CAST(t + s.range AS INTEGER) AS t, {r('center_0 + (next_center_0 - center_0) * s.range / t_diff', 'center_0')}, {r('center_1 + (next_center_1 - center_1) * s.range / t_diff', 'center_1')} FROM gaps, range(1, 400) s WHERE s.range < t_diff", "tracks"))
+def _f33(spark, d):
+    """The positions in all missing frames, however wide the gap."""
+    return c.fill_gaps(a.tracks(spark, d)).where("cell_source = 'interpolated'").select("sequence_id", "label_track", "t", "center_0", "center_1")
+
+
+for _name in ("c2_fill_gaps", "c16_row_placement"):
 
     @plan(_name, sql(f"+{NEXT} SELECT sequence_id, label_track, t, index, {r('center_0', 'center_0')}, {r('center_1', 'center_1')}, parent_track, cell_source FROM tracks UNION ALL SELECT sequence_id, label_track, CAST(t + s.range AS INTEGER), (SELECT max(index) FROM tracks) + row_number() OVER (ORDER BY label_track, t + s.range), {r('center_0 + (next_center_0 - center_0) * s.range / t_diff', 'center_0')}, {r('center_1 + (next_center_1 - center_1) * s.range / t_diff', 'center_1')}, parent_track, 'interpolated' FROM gaps, range(1, 400) s WHERE s.range < t_diff AND t_diff <= 4", "tracks"))
     def _c2(spark, d):
         return c.fill_gaps(a.tracks(spark, d), 3).select("sequence_id", "label_track", "t", "index", "center_0", "center_1", "parent_track", "cell_source")
 
 
-@plan("j22_division_gaps", sql(f"+{SPAN} SELECT d.sequence_id, d.label_track, d.parent, p.e AS parent_last, d.b AS first FROM span d JOIN span p ON p.label_track = d.parent WHERE d.parent > 0 AND d.parent <> d.label_track AND d.b - p.e > 1", "early"))
+DIVIDED = "ends AS (SELECT sequence_id, label_track AS parent, max(t) AS parent_last FROM tracks GROUP BY ALL), starts AS (SELECT sequence_id, parent_track AS parent, min(t) AS first FROM tracks WHERE parent_track > 0 GROUP BY ALL), late AS (SELECT e.*, s.first FROM ends e JOIN starts s ON s.sequence_id = e.sequence_id AND s.parent = e.parent WHERE s.first - e.parent_last > 1)"
+
+
+@plan("j22_division_gaps", sql(f"+{DIVIDED} SELECT * FROM late", "early"))
 def _j22(spark, d):
     return c.division_gaps(_early(spark, d))
 
@@ -50,7 +60,7 @@ def _early(spark, d):
     return a.tracks(spark, d).where("t < 12 or label_track >= 40").where("t >= 15 or label_track < 40")
 
 
-@plan("c3_fill_division_gaps", sql(f"+{SPAN}, g AS (SELECT d.*, p.e AS parent_last FROM span d JOIN span p ON p.label_track = d.parent WHERE d.parent > 0 AND d.parent <> d.label_track AND d.b - p.e > 1), s AS (SELECT *, min(b) OVER (PARTITION BY parent) AS soonest FROM g), m AS (SELECT s.parent, s.parent_last, s.b, avg(t.center_0) AS to_0, avg(t.center_1) AS to_1 FROM s JOIN tracks t ON t.label_track = s.label_track AND t.t = s.b WHERE s.b = s.soonest GROUP BY ALL) SELECT p.sequence_id, p.label_track, CAST(k.range AS INTEGER) AS t, {r('p.center_0 + (to_0 - p.center_0) * (k.range - parent_last) / (b - parent_last)', 'center_0')}, {r('p.center_1 + (to_1 - p.center_1) * (k.range - parent_last) / (b - parent_last)', 'center_1')} FROM m JOIN tracks p ON p.label_track = m.parent AND p.t = m.parent_last, range(0, 400) k WHERE k.range > parent_last AND k.range < b", "early"))
+@plan("c3_fill_division_gaps", sql(f"+{DIVIDED}, m AS (SELECT g.parent, g.parent_last, g.first, avg(t.center_0) AS to_0, avg(t.center_1) AS to_1 FROM late g JOIN tracks t ON t.parent_track = g.parent AND t.t = g.first GROUP BY ALL) SELECT p.sequence_id, p.label_track, CAST(k.range AS INTEGER) AS t, {r('p.center_0 + (to_0 - p.center_0) * (k.range - parent_last) / (first - parent_last)', 'center_0')}, {r('p.center_1 + (to_1 - p.center_1) * (k.range - parent_last) / (first - parent_last)', 'center_1')} FROM m JOIN tracks p ON p.label_track = m.parent AND p.t = m.parent_last, range(0, 400) k WHERE k.range > parent_last AND k.range < first", "early"))
 def _c3(spark, d):
     return c.fill_division_gaps(_early(spark, d))
 
@@ -329,13 +339,23 @@ def _a17(spark, d):
     return c.coverage(p, grid.select("sequence_id", "t", "owner", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")))
 
 
-@plan("l5_nearest_background", sql(f"+f AS (SELECT DISTINCT sequence_id, t, y.range AS y, x.range AS x FROM (SELECT DISTINCT sequence_id, t FROM pixels), range(0, 20) y, range(0, 20) x), free AS (SELECT f.* FROM f LEFT JOIN pixels p ON p.sequence_id = f.sequence_id AND p.t = f.t AND p.y = f.y AND p.x = f.x AND p.label <> 0 WHERE p.label IS NULL), c AS (SELECT sequence_id, t, label AS id, min(y) AS cy, min(x) AS cx FROM pixels WHERE y < 20 AND x < 20 GROUP BY ALL) SELECT c.sequence_id, c.t, id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM c JOIN free ON free.sequence_id = c.sequence_id AND free.t = c.t QUALIFY row_number() OVER (PARTITION BY c.sequence_id, c.t, id ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), y, x) = 1", "pixels"))
+BOUNDS = "bounds AS (SELECT sequence_id, t, max(y) + 1 AS height, max(x) + 1 AS width FROM pixels GROUP BY ALL), spots AS (SELECT b.sequence_id, b.t, CAST(y.range AS INTEGER) AS y, CAST(x.range AS INTEGER) AS x FROM bounds b, range(0, 600) y, range(0, 200) x WHERE y.range < b.height AND x.range < b.width), free AS (SELECT f.* FROM spots f LEFT JOIN pixels p ON p.sequence_id = f.sequence_id AND p.t = f.t AND p.y = f.y AND p.x = f.x AND p.label <> 0 WHERE p.label IS NULL)"
+
+
+@plan("l5_nearest_background", sql(f"+{BOUNDS}, c AS (SELECT sequence_id, t, label AS id, min(y) AS cy, min(x) AS cx FROM pixels GROUP BY ALL), near AS (SELECT c.sequence_id, c.t, id, min((free.y - cy) * (free.y - cy) * 1000000000000 + (free.x - cx) * (free.x - cx) * 1000000000000 + free.y * 1000000 + free.x) AS best FROM c JOIN free ON free.sequence_id = c.sequence_id AND free.t = c.t GROUP BY ALL) SELECT sequence_id, t, id, CAST(best // 1000000 % 1000000 AS INTEGER) AS y, CAST(best % 1000000 AS INTEGER) AS x FROM near", "pixels"))
 def _l5(spark, d):
     p = a.pixels(spark, d)
-    axis = lambda: F.explode(F.sequence(F.lit(0), F.lit(19)))
-    frame = p.select("sequence_id", "t").distinct().withColumn("y", axis()).withColumn("x", axis())
-    centres = p.where("y < 20 and x < 20").groupBy("sequence_id", "t", F.col("label").alias("id")).agg(F.min("y").alias("cy"), F.min("x").alias("cx"))
-    return c.nearest_background(p, frame, centres)
+    corners = p.groupBy("sequence_id", "t", F.col("label").alias("id")).agg(F.min("y").alias("cy"), F.min("x").alias("cx"))
+    return markers.nearest_free(p, markers.frames_of(p), corners).drop("rank")
+
+
+@plan("g12_placed_markers")
+def _g12_placed(spark, d):
+    """A pixel of its own for each row that a trajectory lacks, where others of its frame have theirs."""
+    t = a.tracks(spark, d)
+    pixels = t.select("sequence_id", "t", F.floor("center_0").cast("int").alias("y"), F.floor("center_1").cast("int").alias("x"), F.col("label_track").alias("label"))
+    missing = c.missing_markers(t).select("sequence_id", "t", F.col("label_track").alias("id"), F.col("from_0").alias("cy"), F.col("from_1").alias("cx"))
+    return markers.placed_markers(pixels, markers.frames_of(pixels), missing)
 
 
 @plan("a18_intensity_spread", sql(f"+s AS (SELECT sequence_id, t AS id, stddev_pop(intensity) FILTER (WHERE x % 3 = 0) AS g, stddev_pop(intensity) FILTER (WHERE x % 3 = 1) AS r, stddev_pop(intensity) FILTER (WHERE x % 3 = 2) AS b FROM pixels GROUP BY ALL) SELECT sequence_id, id, {r('CASE WHEN r - b <= 1e-6 THEN 1.0 ELSE (g - b) / (r - b) END', 'score')} FROM s WHERE g IS NOT NULL AND r IS NOT NULL AND b IS NOT NULL", "pixels"))
