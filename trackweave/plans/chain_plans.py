@@ -50,10 +50,10 @@ def _c15(spark, d):
 
 
 def _sequences(spark, d):
-    """The state dealt to eight sequences; in the odd ones rows keep parents of other sequences, which breaks a rule."""
+    """The state dealt to eight sequences; in the odd ones each trajectory is the only daughter of another, which breaks a rule."""
     s = _state(spark, d)
     named = lambda label: F.concat(F.lit("s"), (F.col(label) % 8).cast("string"))
-    tracks = s.tracks.withColumns({"parent_track": F.when(F.col("label_track") % 2 == 1, F.col("parent_track") * 8 + 5).otherwise(0), "sequence_id": named("label_track")})
+    tracks = s.tracks.withColumns({"parent_track": F.when(F.col("label_track") % 2 == 1, F.col("label_track") + 8).otherwise(0), "sequence_id": named("label_track")})
     return chain.State(tracks, s.pixels.withColumn("sequence_id", named("label")), s.preds.withColumn("sequence_id", F.concat(F.lit("s"), (F.col("src") % 8).cast("string"))))
 
 
@@ -84,7 +84,7 @@ def _a23(spark, d):
     return chain.detection_quality(s.pixels, s.pixels.where("(y + x) % 3 > 0"))
 
 
-LINKS = "{0}_links AS (SELECT sequence_id, t, label_track AS label, lead(t) OVER w AS to_t, label_track AS to_label, 'track' AS kind FROM {1} WINDOW w AS (PARTITION BY sequence_id, label_track ORDER BY t) QUALIFY to_t IS NOT NULL UNION ALL SELECT b.sequence_id, e.t, b.up, b.t, b.label_track, 'parent' FROM (SELECT sequence_id, label_track, min(t) AS t, max(parent_track) AS up FROM {1} GROUP BY ALL) b JOIN (SELECT sequence_id, label_track, max(t) AS t FROM {1} GROUP BY ALL) e ON e.label_track = b.up WHERE b.up > 0 AND b.up <> b.label_track)"
+LINKS = "{0}_links AS (SELECT sequence_id, t, label_track AS label, lead(t) OVER w AS to_t, label_track AS to_label, 'track' AS kind FROM (SELECT DISTINCT sequence_id, t, label_track FROM {1}) WINDOW w AS (PARTITION BY sequence_id, label_track ORDER BY t) QUALIFY to_t IS NOT NULL UNION ALL SELECT b.sequence_id, e.t, b.up, b.t, b.label_track, 'parent' FROM (SELECT sequence_id, label_track, min(t) AS t, max(parent_track) AS up FROM {1} GROUP BY ALL) b JOIN (SELECT sequence_id, label_track, max(t) AS t FROM {1} GROUP BY ALL) e ON e.label_track = b.up WHERE b.up > 0 AND b.up <> b.label_track)"
 RESULT = "res AS (SELECT sequence_id, t, y, x, CASE WHEN label % 5 = 0 AND t > 20 THEN label + 100000 WHEN label % 7 = 0 THEN label + 1 ELSE label END AS label FROM px WHERE (y + x) % 3 > 0 AND (label % 11 > 0 OR t % 4 > 0)), made AS (SELECT DISTINCT o.sequence_id, o.t, CASE WHEN label_track % 5 = 0 AND o.t > 20 THEN label_track + 100000 WHEN label_track % 7 = 0 THEN label_track + 1 ELSE label_track END AS label_track, CASE WHEN label_track % 5 = 0 AND o.t > 20 THEN label_track ELSE parent_track END AS parent_track FROM own o WHERE label_track % 11 > 0 OR o.t % 4 > 0)"
 
 
