@@ -127,6 +127,11 @@ def test_line_dedup(spark, rows):
     assert {r.doc_id: r.text for r in got if r.doc_id in (100, 101)} == {100: inside[0][1], 101: "other words\n\nnext line\nagain"}
 
 
+def test_the_hash_of_a_text_is_taken_before_its_lines(spark):
+    plan = lines.winnowed_lines(table(spark, [(1, "a", "en", "a")]), "doc_id", "text", 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("xxhash64(text")  # plans are read from the bottom up
+
+
 def test_line_dedup_of_a_text_of_many_lines(spark):
     rng = random.Random(3)
     body = "\n".join(f"line {rng.randrange(10**9)} of it" for _ in range(100_000))
@@ -213,6 +218,28 @@ def test_near_dedup_in_a_crowd(spark):
     assert kept_of(spark, texts) == set(range(0, 800, 2))
 
 
+def test_pairs_grow_with_the_texts_of_a_crowd(spark, monkeypatch):
+    compared = []
+    whole = simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: (compared.append(pairs.count()), whole(pairs, *a))[1])
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(160)]
+
+    def near():
+        ws = list(base)
+        for k in rng.sample(range(160), 1):
+            ws[k] = f"x{rng.randrange(10**6)}"
+        return " ".join(ws)
+
+    sums = []
+    for n in (150, 450):
+        compared.clear()
+        docs = [(i, near(), "en", "a") for i in range(n)] + [(10_000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60)), "en", "a") for i in range(50)]
+        assert simhash.near_dedup(table(spark, docs)).count() == 51
+        sums.append(sum(compared))
+    assert sums[1] < 4 * sums[0] and sums[1] < 3 * 450
+
+
 def test_near_dedup_of_stars(spark):
     """A text that many are near to, which are too far from each other: none of its links may be lost."""
     rng = random.Random(31)
@@ -525,3 +552,15 @@ def test_pipeline_stages_keep_columns(spark, rows, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_columns_with_the_operators_names(spark, rows):
+    import corpus_pipeline
+
+    names = ["size", "source_size", "target", "copies", "taken", "n_removed", "key", "h", "_copy", "rank"]
+    docs = table(spark, [r for r in rows if r[0] is not None]).withColumns({n: F.lit(f"own {n}") for n in names})
+    for stage in (corpus_pipeline.line_deduplication, corpus_pipeline.source_mixing):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"own {n}" for r in got for n in names)

@@ -31,8 +31,8 @@ def winnowed_lines(docs: DataFrame, ident: str, text: str, min_words: int) -> Da
     """A line's row for each that has words: row, id, th (the text's hash), i (its place among all lines), at and stop
     (words before it and up to its end), h and g (hashes), gram: the hash of its gram if that is kept."""
     half = max(1, min_words // 2)
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text"))
-    given = given.select("row", "id", F.xxhash64("text").alias("th"), F.posexplode(text_lines(F.col("text"))).alias("i", "u"))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    given = given.select("row", "id", "th", F.posexplode(text_lines(F.col("text"))).alias("i", "u"))
     own = F.btrim("u", F.lit(SPACE))
     rows = given.select("row", "id", "th", "i", F.regexp_count("u", F.lit(WORD)).cast("long").alias("w"), F.xxhash64(own).alias("h"), F.hash(own).alias("g")).where("w > 0")
     by_place, by_word = Window.partitionBy("row").orderBy("i"), Window.partitionBy("row").orderBy("at")

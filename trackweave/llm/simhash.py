@@ -136,38 +136,59 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     marked: a row for each text, (id, k, t0, t1, n) as _rows_of wants them and its fingerprint, which has 64 * lanes
     bits, in blocks of 32.
 
-    First every text is compared with the least id among those that have a block in common with it; so a large group
-    of copies is joined by one comparison for each. What that leaves is found exactly: texts that are similar enough
-    share a shingle among the rarest of both (``rare_shingles``). Of the texts that share one, those in different
-    groups are compared, first with the least id among them, then, once these links are joined, all with all.
+    First every text is compared with one that has most blocks in common with it, of those that are the least of a
+    block; so a large group of copies is joined by one comparison for each. What that leaves is found exactly: texts
+    that are similar enough share a shingle among the rarest of both (``rare_shingles``). In rounds, each text that
+    shares one with a text of another group meets one partner from another group, that with which it shares most of
+    them, and links join groups. When few of a round's pairs are links, the texts of different groups that share a
+    rare shingle and have not met are compared, all with all.
     """
     low, high = (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda c: F.shiftrightunsigned(c, 32))
     blocks = [part(F.col(f"f{k}")) for k in range(lanes) for part in (low, high)]
     keyed = F.array(*(b.bitwiseOR(F.lit(i << 32).cast("long")) for i, b in enumerate(blocks)))
     given = marked.select("id", F.explode(keyed).alias("block"))
     first = given.groupBy("block").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "least")
-    equal = salted_join(given, first, ["block"], by=F.col("id")).where("id != least").groupBy("id").agg(F.min("least").alias("a"))
-    found = materialize(_alike(equal.select("a", F.col("id").alias("b")), docs, marked, ident, text, similarity), "near-equal-blocks")
+    shared = salted_join(given, first, ["block"], by=F.col("id")).where("id != least").select("id", F.col("least").alias("other"))
+    tried = _best_partners(shared)
+    found = materialize(_alike(tried, docs, marked, ident, text, similarity), "near-equal-blocks")
     rare = rare_shingles(docs, marked, ident, text, similarity)
     shared = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     rare = materialize(salted_join(rare, shared, ["gram"], "left_semi", by=F.col("id")), "near-shared")
-    for last in (False, True):
+    while True:
         own = _in_several_groups(rare, components(found))
-        least = own.groupBy("gram").agg(F.min(F.struct("id", "label", "size", "at")).alias("x")).select("gram", *(F.col(f"x.{c}").alias(f"_{c}") for c in ("id", "label", "size", "at")))
-        if last:
-            # The least of each shingle has been compared with all others that have it.
-            rest = salted_join(own, least.select("gram", "_id"), ["gram"], by=F.col("id")).where("id != _id").drop("_id")
-            rest = materialize(rest, "near-rest")
-            other = rest.select("gram", *(F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "at")))
-            salts = F.sequence(F.lit(0), F.lit(15))
-            left = rest.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
-            right = other.withColumn("_salt", F.explode(salts))
-            met = left.join(right, (left["gram"] == right["gram"]) & (left["_salt"] == right["_salt"]) & (F.col("_id") < F.col("id")) & _may_reach(similarity))
-        else:
-            met = salted_join(own, least, ["gram"], by=F.col("id")).where(_may_reach(similarity))
-        more = _alike(met.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct(), docs, marked, ident, text, similarity)
-        found = materialize(found.union(more), "near-links")
-    return components(found)
+        # Of each shingle a text of the least group and one of the greatest; every text is in another group than one.
+        ends = own.groupBy("gram").agg(*(f(F.struct("label", "id", "size", "at")).alias(n) for n, f in (("_lo", F.min), ("_hi", F.max))))
+        met = salted_join(own, ends, ["gram"], by=F.col("id"))
+        met = met.withColumn("_x", F.when(F.col("label") == F.col("_lo.label"), F.col("_hi")).otherwise(F.col("_lo"))).select("id", "label", "size", "at", *(F.col(f"_x.{c}").alias(f"_{c}") for c in ("id", "label", "size", "at")))
+        pairs = _best_partners(met.where(_may_reach(similarity)).select("id", F.col("_id").alias("other")), tried)
+        more = _alike(pairs, docs, marked, ident, text, similarity)
+        more = materialize(more, "near-links")
+        n_pairs, n_links = pairs.count(), more.count()
+        found, tried = materialize(found.union(more), "near-links"), tried.union(pairs)
+        if n_links * ROUND_LINKS < n_pairs or not n_links:
+            break
+    own = _in_several_groups(rare, components(found))
+    other = own.select("gram", *(F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "at")))
+    left = own.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    met = left.join(right, (left["gram"] == right["gram"]) & (left["_salt"] == right["_salt"]) & (F.col("_id") < F.col("id")) & _may_reach(similarity))
+    rest = met.select(F.col("_id").alias("a"), F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _alike(materialize(rest, "near-rest"), docs, marked, ident, text, similarity)
+    return components(materialize(found.union(more), "near-links"))
+
+
+#: Rounds of one partner a text go on while at least one pair in so many is a link.
+ROUND_LINKS = 20
+
+
+def _best_partners(met: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """(a, b), a < b: for each text of (id, other) the other that it meets most often, of equals the least, unless the
+    pair is among those tried."""
+    counted = met.groupBy("id", "other").agg(F.count(F.lit(1)).alias("n")).select("id", "other", "n", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    if tried is not None:
+        counted = counted.join(tried, ["a", "b"], "left_anti")
+    best = counted.groupBy("id").agg(F.max(F.struct("n", -F.col("other"), "a", "b")).alias("x"))
+    return materialize(best.select("x.a", "x.b").distinct(), "near-pairs")
 
 
 def _in_several_groups(rare: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,8 +322,7 @@ def rare_shingles(docs: DataFrame, marked: DataFrame, ident: str, text: str, sim
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, marked: DataFrame, ident: str, text: str, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose texts are similar enough."""
-    pairs = materialize(pairs, "near-candidates")
+    """Those of the pairs (a, b) of ids, which are written, whose texts are similar enough."""
     sides = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(marked.select("id", "k", "t0", "t1", "n"), "id")
     sets = materialize(_shingle_sets(_rows_of(docs, sides, ident, text), "id", "text"), "near-shingles")
     left = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), ["a"], by=F.col("b"), salts=4)
