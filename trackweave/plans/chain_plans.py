@@ -57,7 +57,7 @@ def _sequences(spark, d):
     return chain.State(tracks, s.pixels.withColumn("sequence_id", named("label")), s.preds.withColumn("sequence_id", F.concat(F.lit("s"), (F.col("src") % 8).cast("string"))))
 
 
-@plan("c1_sequences_corrected", sql("SELECT DISTINCT 's' || (label_track % 8) AS sequence_id, label_track % 2 = 0 AS valid FROM tracks WHERE label_track > 0", "tracks"))
+@plan("c1_sequences_corrected", sql("+u AS (SELECT DISTINCT label_track AS l FROM tracks WHERE label_track > 0) SELECT 's' || (l % 8) AS sequence_id, bool_and(l % 2 = 0 OR l + 8 NOT IN (SELECT l FROM u)) AS valid FROM u GROUP BY 1", "tracks"))
 def _c1_sequences(spark, d):
     """Which sequences break no rule behind the chain; the others have kept what was given."""
     given = _sequences(spark, d)
