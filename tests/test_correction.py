@@ -100,6 +100,24 @@ def test_merged_daughters_are_split(spark):
     assert {(r.t, r.label) for r in done.pixels.where("y < 20 and label > 0 and t >= 6").select("t", "label").distinct().collect()} == {(k, label) for k in (6, *range(8, 13)) for label in (2, 3)}
 
 
+def test_merges_in_a_row(spark):
+    """What follows the first merge carries its daughters on; the second merge of the same cells then has no masks of
+    theirs and stays; a third, after it, is split again."""
+    spans = MERGED | {5: (4, 8, 10, (10, 10)), 6: (4, 8, 10, (10, 12)), 14: (0, 11, 12, (10, 11)), 15: (14, 13, 15, (10, 10)), 16: (14, 13, 15, (10, 12)), 24: (0, 16, 17, (10, 11)), 25: (24, 18, 20, (10, 10)), 26: (24, 18, 20, (10, 12))}
+    t = tracks_of(spark, spans | {9: (0, 0, 20, (50, 50))})
+    index = {(r.label_track, r.t): r["index"] for r in t.collect()}
+    out = [(index[m, at], index[x, at + 2], 0.1, p) for m, at, pair in ((4, 6, (5, 6)), (14, 11, (15, 16)), (24, 16, (25, 26))) for x, p in zip(pair, (0.9, 0.8), strict=True)]
+    px, preds = masks_of(t), preds_of(spark, out)
+    splits = correction.merged_daughters(t, px, preds)
+    assert sorted((r.merged, r.a, r.b) for r in splits.collect()) == [(4, 2, 3), (14, 5, 6), (24, 15, 16)]
+    made = correction.split_order(splits, correction.split_names(t, splits)).collect()
+    assert sorted((r.merged, r.draws_a, r.draws_b) for r in made) == [(4, True, True), (24, True, True)]
+    done = chain.split_merged_daughters()(chain.State(t, px, preds))
+    have = {label: sorted(r.t for r in done.tracks.where(f"label_track = {label}").collect()) for label in (2, 3, 5, 6, 14, 15, 16, 24, 25)}
+    assert have[2] == have[3] == [3, 4, 5, 6, 8, 9, 10] and have[14] == [11, 12] and have[15] == have[16] == [13, 14, 15, 16, 18, 19, 20]
+    assert not any(have[x] for x in (5, 6, 24, 25))
+
+
 def test_gaps_before_divisions_are_closed(spark):
     t = tracks_of(spark, {1: (0, 0, 2, (10, 10)), 2: (1, 5, 8, (10, 20)), 3: (1, 5, 8, (20, 20))})
     done = chain.close_division_gaps()(chain.State(t, masks_of(t), preds_of(spark, [(0, 1, 0.5, 0.0)])))

@@ -106,18 +106,22 @@ def _drawn(pixels: DataFrame, masks: DataFrame, over: bool) -> DataFrame:
 
 
 def split_merged_daughters(threshold: float = 0.5, divides: float = 0.5, least_coverage: float = 0.5, most: int = 3) -> Stage:
-    """A mask over two daughters goes, they are drawn back in, and what follows it goes on under their labels. C5, C7."""
+    """A mask over two daughters goes, they are drawn back in, and what follows it goes on under their labels; where
+    merges follow each other, in the order of time. C5, C7."""
 
     def run(state: State) -> State:
         splits = _written(c.merged_daughters(state.tracks, state.pixels, state.preds, threshold, divides, least_coverage, most), "splits")
         names = _written(c.split_names(state.tracks, splits), "split-names")
+        splits = _written(c.split_order(splits, names), "splits-made")
+        names = _written(names.join(splits.select(SEQ, "merged"), [SEQ, "merged"], "left_semi"), "split-names")
         erased = _written(c.split_erased(state.tracks, splits, names), "split-erased")
         gone = erased.select(SEQ, "t", F.col("label_track").alias("label"), F.lit(True).alias("_gone"))
         own = names.select(SEQ, F.col("old").alias("label"), F.col("new").alias("_l"), "up", "since")
         pixels = state.pixels.join(gone, [SEQ, "t", "label"], "left").join(own, [SEQ, "label"], "left")
         later = F.coalesce(F.col("t") >= F.col("since"), F.lit(False))
         pixels = pixels.withColumn("label", F.when(F.col("_gone"), F.lit(0)).when(later, F.col("_l")).otherwise(F.col("label"))).select(*state.pixels.columns)
-        sides = splits.select(SEQ, F.explode(F.array("a", "b")).alias("label"), (F.col("t") - 1).alias("t"), F.col("t").alias("_t"))
+        drawn = F.filter(F.array(F.when(F.col("draws_a"), F.col("a")), F.when(F.col("draws_b"), F.col("b"))), lambda x: x.isNotNull())
+        sides = splits.select(SEQ, F.explode(drawn).alias("label"), (F.col("t") - 1).alias("t"), F.col("t").alias("_t"))
         drawn = state.pixels.join(sides, [SEQ, "label", "t"]).select(SEQ, F.col("_t").alias("t"), "y", "x", "label")
         pixels = _drawn(pixels, drawn, over=True)
         tracks = state.tracks.join(erased, [SEQ, "t", "label_track"], "left_anti").join(own.withColumnRenamed("label", "label_track"), [SEQ, "label_track"], "left")

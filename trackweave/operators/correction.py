@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.lineage import _written
 from trackweave.operators.numbering import numbered
 
 SEQ = "sequence_id"
@@ -426,11 +427,43 @@ def split_erased(tracks: DataFrame, splits: DataFrame, names: DataFrame) -> Data
 
 
 def split_rows(tracks: DataFrame, splits: DataFrame) -> DataFrame:
-    """The daughters' rows in the frame of the merge, half way to what carries them on; cell_source split. C7."""
-    sides = F.explode(F.array(*(F.struct(F.col(k).alias("label_track"), F.col(f"{k}_last").alias("last"), F.col(f"after_{k}").alias("after")) for k in ("a", "b")))).alias("s")
+    """The rows of the daughters that are drawn in the frame of the merge, half way to what carries them on; cell_source
+    split. C7."""
+    drawn = {k: F.col(f"draws_{k}") if f"draws_{k}" in splits.columns else F.lit(True) for k in ("a", "b")}
+    sides = F.explode(F.filter(F.array(*(F.struct(F.col(k).alias("label_track"), F.col(f"{k}_last").alias("last"), F.col(f"after_{k}").alias("after"), drawn[k].alias("drawn")) for k in ("a", "b"))), lambda x: x["drawn"])).alias("s")
     at = lambda end: tracks.select(SEQ, F.col("index").alias(end), *(F.col(f"center_{i}").alias(f"{end}_{i}") for i in (0, 1)))
     rows = splits.select(SEQ, F.col("parent").alias("parent_track"), "t", sides).select(SEQ, "parent_track", "t", "s.*").join(at("last"), [SEQ, "last"]).join(at("after"), [SEQ, "after"], "left")
     rows = rows.select(SEQ, "label_track", "parent_track", "t", *((F.col(f"last_{i}") + F.coalesce(f"after_{i}", f"last_{i}")).alias(f"center_{i}") for i in (0, 1)), F.lit("split").alias("cell_source"))
     rows = rows.withColumns({f"center_{i}": F.col(f"center_{i}") / 2 for i in (0, 1)})
     top = tracks.groupBy(SEQ).agg(F.max("index").alias("_top"))
     return numbered(rows, "index", "label_track", "t").join(top, SEQ).withColumn("index", F.col("index") + F.col("_top")).drop("_top")
+
+
+def split_order(splits: DataFrame, names: DataFrame) -> DataFrame:
+    """The splits that are made, with draws_a and draws_b: whether each daughter still has its own mask then. C5.
+
+    Splits are made in the order of their frames. One that renames what follows a merge takes the masks of that name, so
+    a later split of the same cells has nothing left to draw: it isn't made if both its daughters were renamed, and draws
+    one if one was. A split waits for at most two earlier ones, so runs of merges are settled from their first on, all
+    runs at once; each round is written."""
+    before = names.select(SEQ, F.col("merged").alias("_by"), "old")
+    s = splits
+    for side in ("a", "b"):
+        s = s.join(before.withColumnsRenamed({"old": side, "_by": f"_by_{side}"}), [SEQ, side], "left")
+    waiting = _written(s, "splits-waiting")
+    settled = None
+    while settled is None or not waiting.isEmpty():
+        ready = waiting
+        for side in ("a", "b"):
+            if settled is None:
+                ready = ready.where(F.col(f"_by_{side}").isNull()).withColumn(f"_{side}", F.lit(None).cast("boolean"))
+            else:
+                known = settled.select(SEQ, F.col("merged").alias(f"_by_{side}"), F.col("made").alias(f"_{side}"))
+                ready = ready.join(known, [SEQ, f"_by_{side}"], "left").where(f"_by_{side} is null or _{side} is not null")
+        ready = ready.withColumns({f"draws_{side}": ~F.coalesce(f"_{side}", F.lit(False)) for side in ("a", "b")}).withColumn("made", F.col("draws_a") | F.col("draws_b"))
+        ready = _written(ready.select(*splits.columns, "draws_a", "draws_b", "made"), "splits-settled")
+        if ready.isEmpty() and settled is not None:
+            break
+        settled = ready if settled is None else settled.union(ready)
+        waiting = _written(waiting.join(settled.select(SEQ, "merged"), [SEQ, "merged"], "left_anti"), "splits-waiting")
+    return settled.where("made").drop("made")
