@@ -52,6 +52,7 @@ def test_layout():
     assert layout.sequences([], "dirs", "masks", {"s1": ["masks.tif"], "s2": ["img"], "s3": ["masks"]}) == ["s1", "s3"]
     assert layout.mask_folder(["01_GT/SEG", "01_GT/TRA"], "01") == "01_GT/TRA" and layout.mask_folder([], "01") == "01"
     assert layout.find_lineage(["d/states.txt", "d/e/man_track.txt"], "d/e/f") == "d/states.txt"
+    assert layout.find_lineage(["states.txt", "d/e/man_track.txt"], "d/e/f", "d") == "d/e/man_track.txt" and layout.find_lineage(["states.txt"], "d/e/f", "d/") is None
     assert layout.choose_checkpoint(["epoch=3.ckpt", "epoch=12.ckpt"]) == "epoch=12.ckpt" and layout.choose_checkpoint(["last.ckpt", "best.ckpt"]) == "best.ckpt"
     assert layout.shared_id("exp1_images.tif", "exp1_masks.tif") == "exp1" and layout.shared_id("a.tif", "b.tif") is None
     assert layout.results_exist(["s_tracks.csv", "s_tracks.tif"], "s", "flat") and not layout.results_exist(["s_tracks.csv"], "s", "flat") and layout.results_exist(["s_RES/x"], "s", "ctc")
@@ -131,3 +132,28 @@ def test_shared_folder(spark, monkeypatch):
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             storage.shared_folder(Session(master))
+
+
+def test_export_with_markers(spark, tmp_path):
+    import numpy as np
+
+    from trackweave.sources import image_source, sinks, tiff
+
+    rows = [("s", i, t, label, up, y, x) for i, (t, label, up, y, x) in enumerate([(0, 1, 0, 2.0, 2.0), (4, 1, 0, 3.0, 3.0), (0, 2, 0, 2.0, 3.0), (4, 2, 0, 6.0, 6.0), (5, 3, 1, 3.0, 3.0)])]
+    tracks = spark.createDataFrame(rows, "sequence_id string, index long, t int, label_track long, parent_track long, center_0 double, center_1 double")
+    pixels = tracks.selectExpr("sequence_id", "t", "cast(center_0 as int) y", "cast(center_1 as int) x", "label_track as label").unionByName(spark.createDataFrame([("s", 2, 2, 2, 9), ("s", 2, 2, 3, 9)], "sequence_id string, t int, y int, x int, label long"))
+    frames = spark.createDataFrame([("s", t, 8, 8) for t in range(7)], "sequence_id string, t int, height int, width int")
+    sinks.export_ctc(tracks, pixels, frames, f"file://{tmp_path}")
+    folder = tmp_path / "s_RES"
+    assert sorted(p.name for p in folder.iterdir() if not p.name.startswith(".")) == ["res_track.txt", *(f"t{t:03d}.tif" for t in range(7))]
+    assert (folder / "res_track.txt").read_text().splitlines() == ["1 0 4 0", "2 0 4 0", "3 5 5 1"]
+    pages = [tiff.decode((folder / f"t{t:03d}.tif").read_bytes())[0] for t in range(7)]
+    # Frames 1 to 3 lack both; 1 goes first, and in frame 2 their places are taken.
+    assert [(int(p[2, 2]), int(p[2, 3])) for p in pages] == [(1, 2), (1, 2), (9, 9), (1, 2), (0, 0), (0, 0), (0, 0)]
+    assert [sorted(np.unique(p).tolist()) for p in pages] == [[0, 1, 2], [0, 1, 2], [0, 1, 2, 9], [0, 1, 2], [0, 1, 2], [0, 3], [0]]
+    assert pages[2][1, 2] == 1
+    image_source.register(spark)
+    assert spark.read.format("tiff_pixels").load(str(folder)).where("t = 3").count() == 2
+    full = spark.createDataFrame([("s", t, 1, 1) for t in range(7)], frames.schema)
+    with pytest.raises(ValueError, match="no background"):
+        sinks.with_markers(tracks, spark.createDataFrame([("s", 2, 0, 0, 9)], pixels.schema), full)

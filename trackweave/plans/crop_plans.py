@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackweave.operators import correction, crops
+from trackweave.operators import chain, correction, crops
 from trackweave.operators.nodes import uses_intensity
 from trackweave.operators.pixels import region_properties
 from trackweave.plans.ddb import r, sql
@@ -56,9 +56,62 @@ def _f43(spark, d):
     return region_properties(given).select("sequence_id", "t", "label", "area", (F.round("centroid_0", 6) + 0.0).alias("centroid_0"))
 
 
-@plan("c4_early_divisions")
+def _families(spark, d, cells):
+    """A family of cells for each trajectory of ``tracks``, in bands of their own. cells: of a label column l, (label,
+    parent, first frame, last frame, y, x) as SQL; each cell is a square of 2 x 2 pixels about its corner."""
+    base = a.tracks(spark, d).where("label_track > 0").select(F.col("label_track").alias("l")).distinct()
+    each = F.array(*(F.struct(F.lit(k).alias("k"), *(F.expr(x).cast("long").alias(n) for n, x in zip(("label", "parent", "b", "e", "y", "x"), cell, strict=True))) for k, cell in enumerate(cells)))
+    rows = base.select("l", F.explode(each).alias("c")).select("l", "c.*").withColumn("t", F.explode(F.sequence("b", "e")))
+    rows = rows.withColumn("sequence_id", F.concat(F.lit("s"), (F.col("l") % 16).cast("string")))
+    tracks = rows.select("sequence_id", (F.col("l") * 1000 + F.col("t") * 10 + F.col("k")).alias("index"), F.col("t").cast("int").alias("t"), F.col("label").alias("label_track"), F.col("parent").alias("parent_track"), F.col("y").cast("double").alias("center_0"), F.col("x").cast("double").alias("center_1"), F.lit("original").alias("cell_source"))
+    square = F.explode(F.array(*(F.struct(F.lit(dy).alias("y"), F.lit(dx).alias("x")) for dy in (0, 1) for dx in (0, 1))))
+    pixels = rows.withColumn("o", square).select("sequence_id", F.col("t").cast("int").alias("t"), (F.col("y") + F.col("o.y")).cast("int").alias("y"), (F.col("x") + F.col("o.x")).cast("int").alias("x"), "label")
+    return base, tracks, pixels
+
+
+def _links(base, *links):
+    """Scored links of each family: (condition, source index, target index, p1, p2) as SQL of l."""
+    every = None
+    for when, src, dst, p1, p2 in links:
+        some = base.where(when).select(F.concat(F.lit("s"), (F.col("l") % 16).cast("string")).alias("sequence_id"), F.expr(src).alias("src"), F.expr(dst).alias("dst"), F.lit(p1).alias("p1"), F.lit(p2).alias("p2"))
+        every = some if every is None else every.union(some)
+    return every
+
+
+#: Parent, its daughters, and the cell that they become again; in three of four families the daughters don't touch, the
+#: cell is elsewhere, or the link to it is weak.
+EARLY = (("l", "0", "0", "5", "l * 10", "10"), ("1000000 + 2 * l", "l", "6", "8", "l * 10", "10"), ("1000001 + 2 * l", "l", "6", "12", "l * 10", "if(l % 4 = 1, 15, 12)"), ("2000000 + l", "0", "13", "20", "l * 10 + if(l % 4 = 2, 5, 0)", "11"))
+
+
+@plan("c4_early_divisions", sql("SELECT DISTINCT 's' || (label_track % 16) AS sequence_id, label_track AS parent, 1000000 + 2 * label_track AS label, 1000001 + 2 * label_track AS sibling, 2000000 + label_track AS successor FROM tracks WHERE label_track > 0 AND label_track % 4 = 0", "tracks"))
 def _c4(spark, d):
-    from trackweave.plans.chain_plans import _state
+    base, tracks, pixels = _families(spark, d, EARLY)
+    preds = _links(base, ("l % 4 = 3", "l * 1000 + 122", "l * 1000 + 133", 0.4, 0.0), ("true", "-l", "-l - 1", 0.1, 0.0))
+    return correction.early_divisions(tracks, pixels, preds).select("sequence_id", "parent", "label", "sibling", "successor")
+
+
+#: Parent, two daughters, one mask over both, and the two cells behind it; in three of four families only one of these
+#: is linked, the mask lasts too long, or one daughter has ended before.
+MERGED = (
+    ("l", "0", "0", "2", "l * 10", "10"), ("1000000 + 2 * l", "l", "3", "5", "l * 10", "10"), ("1000001 + 2 * l", "l", "3", "if(l % 4 = 3, 4, 5)", "l * 10", "12"), ("2000000 + l", "0", "6", "if(l % 4 = 2, 10, 7)", "l * 10", "11"),
+    ("3000000 + l", "2000000 + l", "if(l % 4 = 2, 11, 8)", "14", "l * 10", "10"), ("4000000 + l", "2000000 + l", "if(l % 4 = 2, 11, 8)", "14", "l * 10", "12"),
+)
+
+
+def _merged(spark, d):
+    base, tracks, pixels = _families(spark, d, MERGED)
+    behind = "l * 1000 + if(l % 4 = 2, 110, 80)"
+    return tracks, pixels, _links(base, ("true", "l * 1000 + 63", f"{behind} + 4", 0.1, 0.9), ("l % 4 != 1", "l * 1000 + 63", f"{behind} + 5", 0.1, 0.8))
+
+
+@plan("c5_merged_daughters", sql("SELECT DISTINCT 's' || (label_track % 16) AS sequence_id, label_track AS parent, 1000000 + 2 * label_track AS a, 1000001 + 2 * label_track AS b, 2000000 + label_track AS merged, 6 AS t, label_track * 1000 + 84 AS after_a, label_track * 1000 + 85 AS after_b FROM tracks WHERE label_track > 0 AND label_track % 4 = 0", "tracks"))
+def _c5(spark, d):
+    return correction.merged_daughters(*_merged(spark, d)).select("sequence_id", "parent", "a", "b", "merged", "t", "after_a", "after_b")
+
 
-    s = _state(spark, d)
-    return correction.early_divisions(s.tracks, s.pixels, s.preds, 10)
+@plan("c7_split_tracks", sql("+u AS (SELECT DISTINCT label_track AS l FROM tracks WHERE label_track > 0 AND label_track % 4 = 0), k AS (SELECT l, k.range AS k, t.range AS t FROM u, range(0, 2) k, range(3, 15) t) SELECT 's' || (l % 16) AS sequence_id, 1000000 + 2 * l + k AS label_track, CAST(t AS INTEGER) AS t, l AS parent_track, CASE WHEN t = 6 THEN 'split' ELSE 'original' END AS cell_source FROM k WHERE t <> 7", "tracks"))
+def _c7(spark, d):
+    """The daughters' rows when merged masks are split: in the merge's frame and on, as what comes behind it."""
+    tracks, pixels, preds = _merged(spark, d)
+    done = chain.split_merged_daughters()(chain.State(tracks, pixels, preds)).tracks
+    return done.where("label_track >= 1000000 and label_track < 2000000").where("((label_track - 1000000) div 2) % 4 = 0").select("sequence_id", "label_track", "t", "parent_track", "cell_source")

@@ -34,11 +34,11 @@ def mask_folder(names: list[str], sequence: str, kind: str | None = None) -> str
     return sequence
 
 
-def find_lineage(names: list[str], start: str) -> str | None:
-    """The file of states nearest to a folder, searching outward; only without any, the nearest file of tracks, in one
-    folder by the order of LINEAGE_NAMES. S7."""
-    folders = [start.rstrip("/")]
-    while folders[-1]:
+def find_lineage(names: list[str], start: str, data_dir: str = "") -> str | None:
+    """The file of states nearest to a folder, searching outward as far as data_dir; only without any, the nearest file
+    of tracks, in one folder by the order of LINEAGE_NAMES. S7."""
+    folders, last = [start.rstrip("/")], data_dir.rstrip("/")
+    while folders[-1] and folders[-1] != last:
         folders.append(folders[-1].rpartition("/")[0])
     for kinds in (LINEAGE_NAMES[:1], LINEAGE_NAMES[1:]):
         for folder in folders:
