@@ -215,3 +215,21 @@ def test_centremost_and_channels(spark):
     px = spark.createDataFrame([(0.485,), (None,)], "intensity double")
     got = [tuple(r) for r in normalised_channels(px).select("channel_0", "channel_1").collect()]
     assert got[0][0] == 0.0 and abs(got[0][1] - 0.029 / 0.224) < 1e-12 and got[1] == (None, None)
+
+
+def test_graph_by_pairs(spark):
+    from trackweave.operators.windows import frame_pairs
+
+    rows = [("s", t * 10 + k, t, k, 0, float(10 * k + t), 0.0, 5.0) for t in range(6) for k in range(3)] + [("one", 0, 0, 1, 0, 0.0, 0.0, 5.0)]
+    nodes = spark.createDataFrame(rows, "sequence_id string, index long, t int, label long, parent long, center_0 double, center_1 double, area double").withColumn("intensity_mean", F.lit(1.0))
+    links = lambda **k: {(r.t, r.dist_temp) for r in edges.build_graph(nodes, [1, 3], 4.0, ["center_0", "center_1"], **k).where("dist_temp > 0").collect()}
+    assert links() == links(connectivity="dense") == {(t, d) for t in range(6) for d in (1, 3) if t + d < 6}
+    assert links(connectivity="sequential") == {(t, 1) for t in range(5)}
+    assert links(at=1) == {(1, 1), (1, 3)} and links(at=1, connectivity="sequential") == {(1, 1), (2, 2)} and links(at=1, connectivity="dense") == {(1, 1), (1, 3), (2, 2)}
+    assert links(at=4) == {(4, 1), (1, 3)} and links(at=5) == {(4, 1), (2, 3)}  # moved back by their stride
+    assert links(at=5, bidirectional=False) == set()
+    graph = edges.build_graph(nodes, [1], 0.5, ["center_0", "center_1"])
+    with pytest.raises(edges.NoEdges, match="19 nodes"):
+        edges.required(graph, nodes, 0.5)
+    assert edges.required(edges.build_graph(nodes, [1], 4.0, ["center_0", "center_1"]), nodes, 4.0).count() == 30
+    assert frame_pairs(nodes.select("sequence_id", "t").distinct(), [1]).count() == 7

@@ -7,6 +7,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.lineage import _written
+from trackweave.operators.windows import boundary_pairs, frame_pairs
+
 SEQ, EPS = "sequence_id", 1e-6
 #: Features that change sign when a link is turned round.
 SIGNED = ("dist_temp", "relative_size", "intensity_mean_diff")
@@ -34,15 +37,19 @@ def phase_parameter(value: int | tuple, phase: str, seed: int = 0) -> int:
     return random.Random(seed).choice(list(range(value[0], value[1] + 1, value[2] if len(value) == 3 else 1)))
 
 
-def radius_join(nodes: DataFrame, dts: list[int], radius: float, centre: list[str]) -> DataFrame:
+def radius_join(nodes: DataFrame, dts: list[int] | DataFrame, radius: float, centre: list[str]) -> DataFrame:
     """Pairs of nodes at most ``radius`` apart, the second dt frames after the first. J1, G1.
 
-    Space is cut into cells of the radius; a node meets those of its own and the neighbouring cells in an equi-join
+    dts: the strides of every frame, or a table of frame pairs (sequence_id, t, dist_temp). Space is cut into cells of the radius; a node meets those of its own and the neighbouring cells in an equi-join
     on sequence, frame and cells, then the distance decides. Cost follows the pairs found, not frames squared."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     keep = [SEQ, "index", "t", *centre]
     offsets = F.array(*(F.struct(*(F.lit(o).cast("long").alias(f"o{i}") for i, o in enumerate(combo))) for combo in itertools.product((-1, 0, 1), repeat=len(centre))))
-    left = nodes.select(*keep).withColumn("dt", F.explode(F.array(*map(F.lit, dts)))).withColumn("_o", F.explode(offsets))
+    if isinstance(dts, DataFrame):
+        left = nodes.select(*keep).join(dts.select(SEQ, "t", F.col("dist_temp").alias("dt")).distinct(), [SEQ, "t"])
+    else:
+        left = nodes.select(*keep).withColumn("dt", F.explode(F.array(*map(F.lit, dts))))
+    left = left.withColumn("_o", F.explode(offsets))
     left = left.select(SEQ, F.col("index").alias("src"), "t", "dt", (F.col("t") + F.col("dt")).alias("_t"), *(F.col(c).alias(f"_s{i}") for i, c in enumerate(centre)), *((cell(c) + F.col(f"_o.o{i}")).alias(f"_c{i}") for i, c in enumerate(centre)))
     right = nodes.select(SEQ, F.col("index").alias("dst"), F.col("t").alias("_t"), *(F.col(c).alias(f"_d{i}") for i, c in enumerate(centre)), *(cell(c).alias(f"_c{i}") for i, c in enumerate(centre)))
     pairs = left.join(right, [SEQ, "_t", *(f"_c{i}" for i in range(len(centre)))])
@@ -210,9 +217,37 @@ def with_cosine(edges: DataFrame, vectors: DataFrame, column: str = "embedding")
     return given.withColumn("cosine", F.when(norm > 0, product("_src", "_dst") / norm).otherwise(0.0)).drop("_src", "_dst")
 
 
-def build_graph(nodes: DataFrame, dts: list[int], radius: float, centre: list[str], rule: str | None = None, parameter: float | str | None = None, bidirectional: bool = True) -> DataFrame:
-    """The candidate links of whole sequences: join, node columns, labels, pruning, both directions, features. G1, G2."""
-    found = radius_join(nodes, dts, radius, centre)
+class NoEdges(ValueError):
+    """No two nodes are near enough to be linked."""
+
+
+def graph_pairs(nodes: DataFrame, dts: list[int], connectivity: str = "star", at: int | None = None, bidirectional: bool = True) -> DataFrame:
+    """(sequence_id, t, dist_temp): the frame pairs of the whole graph, or of the windows that begin in frame ``at``.
+
+    Windows begin in every frame up to the last that has nodes. Over a whole sequence dense windows have the pairs of
+    star ones and sequential ones those of their first stride; a single frame has what its connectivity says. Pairs past
+    an end are moved by their stride, once each. G1, G13, J2, J3."""
+    bounds = nodes.groupBy(SEQ).agg((F.max("t") + 1).cast("int").alias("n_frames"))
+    frames = bounds.select(SEQ, F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("t"))
+    if at is not None:
+        pairs = frame_pairs(frames.where(F.col("t") == at), dts, connectivity)
+    else:
+        pairs = frame_pairs(frames, dts[:1] if connectivity == "sequential" else dts, "star" if connectivity == "dense" else connectivity)
+    return boundary_pairs(pairs, bounds, bidirectional).select(SEQ, "t", "dist_temp").distinct()
+
+
+def required(graph: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
+    """The links, written once; an error if there is none, which names the radius and the number of nodes."""
+    made = _written(graph, "graph")
+    if made.isEmpty():
+        raise NoEdges(f"no links: none of {nodes.count()} nodes has another within {radius} in the frames asked for")
+    return made
+
+
+def build_graph(nodes: DataFrame, dts: list[int], radius: float, centre: list[str], rule: str | None = None, parameter: float | str | None = None, bidirectional: bool = True, connectivity: str = "star", at: int | None = None) -> DataFrame:
+    """The candidate links of whole sequences, or of the windows that begin in frame ``at``: frame pairs, one radius join
+    over them, node columns, labels, pruning, both directions, features. G1, G2, G13."""
+    found = radius_join(nodes, graph_pairs(nodes, dts, connectivity, at, bidirectional), radius, centre)
     needed = [c for c in ("label", "parent", "area", "intensity_mean", "axis_major_length", "axis_minor_length", "orientation", *centre) if c in nodes.columns]
     given = label_edges(attach(found, nodes, needed))
     if rule:

@@ -212,9 +212,26 @@ for _name in ("g1_build_graph", "g2_post_process_edges"):
         return _graph(spark, d)
 
 
-@plan("g13_edges_of_one_frame", sql(f"+{GRAPH} SELECT sequence_id, src, dst, y, dist_temp FROM graph WHERE t = 100", "nodes"))
+LAST = f"+{GRAPH}, ends AS (SELECT sequence_id, max(t) AS last FROM nodes GROUP BY ALL)"
+
+
+@plan("g13_edges_of_one_frame", sql(f"+{GRAPH} SELECT sequence_id, src, dst, y, t, dist_temp FROM graph WHERE dist_temp > 0 AND t = 100 OR dist_temp < 0 AND t + dist_temp = 100", "nodes"))
 def _g13(spark, d):
-    return _graph(spark, d).where("t = 100").select("sequence_id", "src", "dst", "y", "dist_temp")
+    """The links of one frame's window; only its frame pairs are joined."""
+    return e.build_graph(a.nodes(spark, d), [1, 2], 20.0, C, "radius", 2.0, at=100).select("sequence_id", "src", "dst", "y", "t", "dist_temp")
+
+
+@plan("g1_sequential_graph", sql(f"+{GRAPH} SELECT sequence_id, src, dst, y, t, dist_temp FROM graph WHERE abs(dist_temp) = 1", "nodes"))
+def _g1_sequential(spark, d):
+    return e.build_graph(a.nodes(spark, d), [1, 2], 20.0, C, "radius", 2.0, connectivity="sequential").select("sequence_id", "src", "dst", "y", "t", "dist_temp")
+
+
+@plan("g1_window_at_the_end", sql(f"{LAST}, one AS (SELECT max(last) AS last FROM ends) SELECT g.sequence_id, g.src, g.dst, g.y, g.t, g.dist_temp FROM graph g JOIN ends e ON e.sequence_id = g.sequence_id, one o WHERE (e.last >= o.last) AND (g.dist_temp > 0 AND g.t + g.dist_temp = o.last OR g.dist_temp < 0 AND g.t = o.last)", "nodes"))
+def _g1_end(spark, d):
+    """The window of the last frame: its pairs are moved back by their stride."""
+    nodes = a.nodes(spark, d)
+    last = nodes.agg(F.max("t")).first()[0]
+    return e.build_graph(nodes, [1, 2], 20.0, C, "radius", 2.0, at=last).select("sequence_id", "src", "dst", "y", "t", "dist_temp")
 
 
 @plan("u5_mirror", sql("SELECT sequence_id, src, dst, y, t, dist_temp FROM edges UNION ALL SELECT sequence_id, dst, src, y, t + dist_temp, -dist_temp FROM edges", "edges"))
