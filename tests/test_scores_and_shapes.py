@@ -133,3 +133,24 @@ def test_thickness(spark):
 def test_scores_have_a_schema(spark):
     none = spark.createDataFrame([], TRACKS)
     assert scores.tracking_quality((none, masks_of(none)), (none, masks_of(none))).collect() == []
+
+
+def test_volumes(spark):
+    from trackweave.operators.edges import radius_join
+
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    at = np.stack(np.mgrid[0:40, 0:40, 0:40], -1).reshape(-1, 3)
+    inside = (((at - 19.5) @ turn / np.array([15.0, 9.0, 5.0])) ** 2).sum(1) <= 1
+    ball, lone, line = at[inside], np.array([[3, 4, 5]]), np.array([[1, 1, k] for k in range(7)])
+    rows = [("s", 0, *map(int, p), label) for label, points in ((1, ball), (2, lone), (3, line)) for p in points]
+    got = {r.label: r for r in pixels.region_properties_3d(spark.createDataFrame(rows, "sequence_id string, t int, z int, y int, x int, label long")).collect()}
+    for label, points in ((1, ball), (2, lone), (3, line)):
+        values = np.linalg.eigvalsh(np.atleast_2d(np.cov(points.T, bias=True)) if len(points) > 1 else np.zeros((3, 3)))
+        r = got[label]
+        assert r.area == len(points) and [r[f"bbox_{i}"] for i in range(6)] == [*points.min(0), *(points.max(0) + 1)] and np.allclose([r[f"centroid_{i}"] for i in range(3)], points.mean(0))
+        assert r.axis_major_length == pytest.approx(math.sqrt(20 * values[2]), abs=1e-6) and r.axis_minor_length == pytest.approx(math.sqrt(20 * max(values[0], 0)), abs=1e-5)
+    assert got[1].axis_major_length == pytest.approx(30, rel=0.03) and got[1].axis_minor_length == pytest.approx(10, rel=0.03)
+    nodes = spark.createDataFrame([("s", 0, 0, 0.0, 0.0, 0.0), ("s", 1, 1, 3.0, 4.0, 0.0), ("s", 2, 1, 3.0, 4.0, 12.0)], "sequence_id string, index long, t int, center_0 double, center_1 double, center_2 double")
+    near = [(r.src, r.dst, r.dist_spat) for r in radius_join(nodes, [1], 6.0, ["center_0", "center_1", "center_2"]).collect()]
+    assert near == [(0, 1, 5.0)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.operators.components import components
@@ -29,6 +31,33 @@ def region_properties(pixels: DataFrame) -> DataFrame:
     return given.withColumn("eccentricity", ratio).drop("_yy", "_xx", "_yx")
 
 
+def symmetric_eigenvalues(a: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """The eigenvalues of a symmetric 3 x 3 matrix of columns, falling, by the trigonometric solution of its cubic."""
+    q = (a[0][0] + a[1][1] + a[2][2]) / 3
+    d = [a[i][i] - q for i in range(3)]
+    p = F.sqrt((d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + 2 * (a[0][1] * a[0][1] + a[0][2] * a[0][2] + a[1][2] * a[1][2])) / 6)
+    det = d[0] * (d[1] * d[2] - a[1][2] * a[1][2]) - a[0][1] * (a[0][1] * d[2] - a[1][2] * a[0][2]) + a[0][2] * (a[0][1] * a[1][2] - d[1] * a[0][2])
+    ratio = F.when(p > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), det / (2 * p * p * p)))).otherwise(1.0)
+    angle = F.acos(ratio) / 3
+    first, last = q + 2 * p * F.cos(angle), q + 2 * p * F.cos(angle + 2 * math.pi / 3)
+    return first, 3 * q - first - last, last
+
+
+def region_properties_3d(voxels: DataFrame) -> DataFrame:
+    """As region_properties for voxels (sequence_id, t, z, y, x, label): area is the volume; boxes and centroids have three
+    axes in the order z, y, x; axis lengths are those of the ellipsoid with the same second moments. A2."""
+    own, axes = voxels.where("label != 0"), ("z", "y", "x")
+    light = [f("intensity").alias(f"intensity_{n}") for n, f in (("min", F.min), ("mean", F.avg), ("max", F.max))] if "intensity" in voxels.columns else []
+    sides = [e for i, c in enumerate(axes) for e in (F.min(c).alias(f"bbox_{i}"), (F.max(c) + 1).alias(f"bbox_{i + 3}"), F.avg(c).alias(f"centroid_{i}"))]
+    second = [(F.var_pop(p) if p == q else F.covar_pop(p, q)).alias(f"_{p}{q}") for i, p in enumerate(axes) for q in axes[i:]]
+    given = own.groupBy(SEQ, "t", "label").agg(F.count(F.lit(1)).alias("area"), *sides, *second, *light)
+    matrix = [[F.col(f"_{axes[min(i, j)]}{axes[max(i, j)]}") for j in range(3)] for i in range(3)]
+    values = symmetric_eigenvalues(matrix)
+    length = lambda v: F.sqrt(20 * F.greatest(v, F.lit(0.0)))
+    given = given.withColumns({"axis_major_length": length(values[0]), "axis_minor_length": length(values[2])})
+    return given.drop(*(f"_{p}{q}" for i, p in enumerate(axes) for q in axes[i:]))
+
+
 def instance_check(pixels: DataFrame, frames: int = 16) -> DataFrame:
     """Labels in evenly spaced frames, and whether each has a single one: then it is no instance mask. S6."""
     last = pixels.groupBy(SEQ).agg(F.max("t").alias("_last"))

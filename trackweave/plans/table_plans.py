@@ -151,6 +151,16 @@ def _a2(spark, d):
     return df.drop("axis_minor_length", "orientation", "eccentricity")
 
 
+VOLUMES = "v AS (SELECT sequence_id, t, (y * 7 + x * 3) % 11 AS z, y, x, label % 3 AS label, intensity FROM pixels WHERE label % 3 > 0), m AS (SELECT sequence_id, t, label, count(*) AS area, min(z) AS bbox_0, min(y) AS bbox_1, min(x) AS bbox_2, max(z) + 1 AS bbox_3, max(y) + 1 AS bbox_4, max(x) + 1 AS bbox_5, avg(z) AS c0, avg(y) AS c1, avg(x) AS c2, avg(intensity) AS im, var_pop(z) AS a, var_pop(y) AS b, var_pop(x) AS c, covar_pop(z, y) AS d, covar_pop(z, x) AS e, covar_pop(y, x) AS f FROM v GROUP BY ALL), q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(a - q, 2) + pow(b - q, 2) + pow(c - q, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q), g AS (SELECT *, CASE WHEN p > 0 THEN acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 ELSE 0 END AS angle FROM p)"
+
+
+@plan("a2_volume_properties", sql(f"+{VOLUMES} SELECT sequence_id, t, label, area, bbox_0, bbox_1, bbox_2, bbox_3, bbox_4, bbox_5, {r('c0', 'centroid_0')}, {r('c1', 'centroid_1')}, {r('c2', 'centroid_2')}, {r('im', 'intensity_mean')}, round(sqrt(20 * greatest(q + 2 * p * cos(angle), 0)), 3) + 0.0 AS axis_major_length FROM g", "pixels"))
+def _a2_volume(spark, d):
+    p = a.pixels(spark, d).where("label % 3 > 0").withColumns({"z": (F.col("y") * 7 + F.col("x") * 3) % 11, "label": F.col("label") % 3})
+    out = px.region_properties_3d(p).withColumn("axis_major_length", F.round("axis_major_length", 3))
+    return out.drop("axis_minor_length", "intensity_min", "intensity_max")
+
+
 @plan("s6_instance_check", sql("+picked AS (SELECT DISTINCT sequence_id, CAST(floor(k.range * m / 15) AS INTEGER) AS t FROM (SELECT sequence_id, max(t) AS m FROM pixels GROUP BY ALL), range(16) k) SELECT p.sequence_id, p.t, count(DISTINCT label) AS labels FROM pixels p JOIN picked USING (sequence_id, t) WHERE label <> 0 GROUP BY ALL", "pixels"))
 def _s6(spark, d):
     return px.instance_check(a.pixels(spark, d))
