@@ -233,3 +233,15 @@ def test_graph_by_pairs(spark):
         edges.required(graph, nodes, 0.5)
     assert edges.required(edges.build_graph(nodes, [1], 4.0, ["center_0", "center_1"]), nodes, 4.0).count() == 30
     assert frame_pairs(nodes.select("sequence_id", "t").distinct(), [1]).count() == 7
+
+
+def test_features_by_name_in_the_graph(spark, caplog):
+    from trackweave.operators.registries import EDGE_PROPERTIES
+
+    if "depth_step" not in EDGE_PROPERTIES:
+        EDGE_PROPERTIES.add("depth_step")(lambda df: df.withColumn("depth_step", F.col("depth_dst") - F.col("depth_src")))
+    rows = [("s", k, k, 1, 0, float(k), 0.0, 5.0, 1.0, float(k * k)) for k in range(4)]
+    nodes = spark.createDataFrame(rows, "sequence_id string, index long, t int, label long, parent long, center_0 double, center_1 double, area double, intensity_mean double, depth double")
+    links = edges.build_graph(nodes, [1], 2.0, ["center_0", "center_1"], bidirectional=False, features=("depth_step", "no such thing", "relative_size"), columns=("depth",))
+    assert links.columns[-2:] == ["depth_step", "relative_size"] and sorted(r.depth_step for r in links.collect()) == [1.0, 3.0, 5.0]
+    assert "no such thing" in caplog.text

@@ -244,13 +244,20 @@ def required(graph: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     return made
 
 
-def build_graph(nodes: DataFrame, dts: list[int], radius: float, centre: list[str], rule: str | None = None, parameter: float | str | None = None, bidirectional: bool = True, connectivity: str = "star", at: int | None = None) -> DataFrame:
+def build_graph(nodes: DataFrame, dts: list[int], radius: float, centre: list[str], rule: str | None = None, parameter: float | str | None = None, bidirectional: bool = True, connectivity: str = "star", at: int | None = None, features: tuple[str, ...] = ("relative_size", "intensity_mean_diff"), columns: tuple[str, ...] = ()) -> DataFrame:
     """The candidate links of whole sequences, or of the windows that begin in frame ``at``: frame pairs, one radius join
-    over them, node columns, labels, pruning, both directions, features. G1, G2, G13."""
+    over them, node columns, labels, pruning, both directions, features. G1, G2, G13.
+
+    features: names in registries.EDGE_PROPERTIES, which get the links with the nodes' columns of both ends (``columns``
+    are further ones of these) and add columns; unknown names are left out with a warning."""
+    from trackweave.operators.registries import EDGE_PROPERTIES
+
     found = radius_join(nodes, graph_pairs(nodes, dts, connectivity, at, bidirectional), radius, centre)
     needed = [c for c in ("label", "parent", "area", "intensity_mean", "axis_major_length", "axis_minor_length", "orientation", *centre) if c in nodes.columns]
+    needed += [c for c in columns if c not in needed]
     given = label_edges(attach(found, nodes, needed))
     if rule:
         given = prune(given, rule, parameter)
-    given = intensity_difference(relative_size(given)).select(SEQ, "src", "dst", "y", "t", "dist_temp", "dist_spat", "relative_size", "intensity_mean_diff")
+    made = EDGE_PROPERTIES.apply(given, list(features), lenient=True)
+    given = made.select(SEQ, "src", "dst", "y", "t", "dist_temp", "dist_spat", *(c for c in made.columns if c not in given.columns))
     return mirror(given) if bidirectional else given

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
+log = logging.getLogger(__name__)
+
 
 class Registry:
     """Named functions from a table and its settings to a table with more columns."""
@@ -35,9 +38,13 @@ class Registry:
     def __iter__(self) -> Iterator[str]:
         return iter(self._known)
 
-    def apply(self, df: DataFrame, names: list[str], **settings: object) -> DataFrame:
-        """The named functions in the given order, each on what the one before gave."""
+    def apply(self, df: DataFrame, names: list[str], lenient: bool = False, **settings: object) -> DataFrame:
+        """The named functions in the given order, each on what the one before gave. lenient: unknown names are left out
+        with a warning."""
         for name in names:
+            if lenient and name not in self._known:
+                log.warning("no %s %r, it is left out", self.kind, name)
+                continue
             df = self[name](df, **settings)
         return df
 
@@ -51,6 +58,7 @@ def _built_in() -> None:
     NODE_PROPERTIES.add("shapes")(crops.shapes)
     NODE_TRANSFORMS.add("aspect_ratio")(nodes.aspect_ratio)
     EDGE_PROPERTIES.add("relative_size")(edges.relative_size)
+    EDGE_PROPERTIES.add("intensity_mean_diff")(edges.intensity_difference)
     NORMALISERS.add("sigmoid")(predictions.with_sigmoid)
     NORMALISERS.add("softmax")(predictions.with_softmax)
 
