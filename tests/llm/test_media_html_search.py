@@ -484,3 +484,40 @@ def test_mtree_pages_cover_their_vectors():
         for k in range(len(page["child"])) if not page["leaf"] else ():
             inside = x[rows(page["child"][k])]
             assert mtree.distances(inside, page["entries"][k : k + 1]).max() <= page["radius"][k] * (1 + 1e-9)
+
+
+def text_of(html):
+    from trackweave.llm.html import Page
+
+    return "\n\n".join(t for _, t in Page(html).blocks)
+
+
+#: Layouts that are common on the web, and their articles.
+LAYOUTS = {
+    "comments as articles beside the article's text": ('<main><h1>Title</h1><p>article</p><section id="comments"><article class="comment"><p>Reader 0 says hi at length</p></article></section></main>', "Title\n\narticle"),
+    "comments as articles inside the article": ('<article><h1>Title</h1><p>article text</p><div id="comments"><article class="comment-body"><p>Reader says a lot more than this</p></article></div></article>', "Title\n\narticle text"),
+    "comments by their names": ('<div><p>The text of it.</p><div class="user-comments"><p>No, it is not so, and here is why</p></div><div class="reader-comments">so</div><div id="comment-42">and so</div></div>', "The text of it."),
+    "adverts and notices by their names": ('<div><p>The text of it, which is long enough.</p><div class="advert-top-728x90">Buy</div><div class="cookieNotice">We bake</div></div>', "The text of it, which is long enough."),
+    "a lead in the header": ('<article><header><p class="lead">What it is about.</p></header><p>Then it goes on.</p></article>', "What it is about.\n\nThen it goes on."),
+    "a byline in the header": ('<article><header><h1>Title</h1></header><p>Text.</p><footer>by A</footer></article>', "Title\n\nText."),
+    "paragraphs with names": ('<article><p class="skip">One.</p><p id="reply">Two.</p><h2 class="share">Three</h2></article>', "One.\n\nTwo.\n\nThree"),
+    "teasers in a sidebar": ('<article><h1>T</h1><p>Text</p></article><div class="related-posts"><article><h2>Other</h2><p>One</p></article></div>', "T\n\nText"),
+    "a list of articles": ("<main><article><h2>A</h2><p>a</p></article><article><h2>B</h2><p>b</p></article></main>", "A\n\na\n\nB\n\nb"),
+    "quotes inside the article": ("<article><p>It says</p><blockquote>so</blockquote></article>", "It says\n\nso"),
+    "only comments": ('<div class="comments"><p>alone</p></div>', "alone"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_common_layouts(name):
+    html, want = LAYOUTS[name]
+    assert text_of(html) == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    for html in ("<div>" * 100_000 + "x", "".join(f"<div>w{i} " for i in range(30_000)), "<svg>" * 100_000, "<p>a</div>" * 50_000, "<li>x" * 50_000, "<span></b>" * 50_000, '<div class="ad">' * 30_000 + "x", "<title>" * 50_000):
+        began = time.thread_time()
+        text_of(html)
+        assert time.thread_time() - began < 4, html[:20]
