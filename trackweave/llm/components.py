@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         near = labels.join(around, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        # Only what is a label is looked up, so that few rows are copied for the salts.
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next")).join(labels.select("label").distinct(), "label", "left_semi")
         stepped = salted_join(near, jump, ["label"], by=F.col("node")).select("node", "was", F.least("label", "next").alias("label"))
         stepped = materialize(stepped, "labels")
         labels = stepped.select("node", "label")

@@ -154,20 +154,20 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     rare = rare_shingles(docs, marked, ident, text, similarity)
     shared = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     rare = materialize(salted_join(rare, shared, ["gram"], "left_semi", by=F.col("id")), "near-shared")
+    own = _in_several_groups(rare, components(found))
     while True:
-        own = _in_several_groups(rare, components(found))
         # Of each shingle a text of the least group and one of the greatest; every text is in another group than one.
         ends = own.groupBy("gram").agg(*(f(F.struct("label", "id", "size", "at")).alias(n) for n, f in (("_lo", F.min), ("_hi", F.max))))
         met = salted_join(own, ends, ["gram"], by=F.col("id"))
         met = met.withColumn("_x", F.when(F.col("label") == F.col("_lo.label"), F.col("_hi")).otherwise(F.col("_lo"))).select("id", "label", "size", "at", *(F.col(f"_x.{c}").alias(f"_{c}") for c in ("id", "label", "size", "at")))
         pairs = _best_partners(met.where(_may_reach(similarity)).select("id", F.col("_id").alias("other")), tried)
-        more = _alike(pairs, docs, marked, ident, text, similarity)
-        more = materialize(more, "near-links")
+        more = materialize(_alike(pairs, docs, marked, ident, text, similarity), "near-links")
         n_pairs, n_links = pairs.count(), more.count()
-        found, tried = materialize(found.union(more), "near-links"), tried.union(pairs)
+        found, tried = found.union(more), tried.union(pairs)
+        if n_links:
+            own = _joined_groups(own, more)
         if n_links * ROUND_LINKS < n_pairs or not n_links:
             break
-    own = _in_several_groups(rare, components(found))
     other = own.select("gram", *(F.col(c).alias(f"_{c}") for c in ("id", "label", "size", "at")))
     left = own.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
     right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
@@ -178,7 +178,7 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
 
 
 #: Rounds of one partner a text go on while at least one pair in so many is a link.
-ROUND_LINKS = 20
+ROUND_LINKS = 5
 
 
 def _best_partners(met: DataFrame, tried: DataFrame | None = None) -> DataFrame:
@@ -194,11 +194,24 @@ def _best_partners(met: DataFrame, tried: DataFrame | None = None) -> DataFrame:
 def _in_several_groups(rare: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of rare shingles with the label of their text, where a shingle is in texts of several labels."""
     own = rare.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own = materialize(own, "near-labelled")
+    return _shared(materialize(own, "near-labelled"))
+
+
+def _shared(own: DataFrame) -> DataFrame:
     several = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
     return materialize(salted_join(own, several, ["gram"], "left_semi", by=F.col("id")), "near-several")
 
 
+def _joined_groups(own: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows that are left when links (a, b) between their texts have joined groups; only the labels that links join
+    are labelled anew. A shingle of one group stays one of one group, so rows only get fewer."""
+    of = own.select("id", "label").distinct()
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("label").alias("_a")), "a").join(of.select(F.col("id").alias("b"), F.col("label").alias("_b")), "b")
+    new = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    named = salted_join(own, new, ["label"], "left", by=F.col("id")).withColumn("label", F.coalesce("_new", "label")).select(*own.columns)
+    return _shared(materialize(named, "near-labelled"))
+
+
 def _may_reach(similarity: float) -> Column:
     """Texts of different groups that can be similar enough if this is the first shingle, in order, that they share."""
     most = F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
