@@ -18,11 +18,13 @@ def crop_pixels(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """(sequence_id, index, label, side, dy, dx, intensity, own): each box's pixels that exist; own: of the box's label.
 
     boxes: (sequence_id, t, index, label, crop_0, crop_1, side), which may run past the frame. A box names its pixels,
-    side * side of them, and meets the table of pixels by position; no frame is gathered. N2."""
+    side * side of them, and meets the table of pixels by position; no frame is gathered. Where both tables have a z, a
+    box is taken from its own plane. N2."""
     steps = F.sequence(F.lit(0), F.col("side") - 1)
-    at = boxes.select(SEQ, "t", "index", F.col("label").alias("_label"), "side", "crop_0", "crop_1", F.explode(steps).alias("dy")).withColumn("dx", F.explode(steps))
+    plane = ["z"] if "z" in boxes.columns and "z" in pixels.columns else []
+    at = boxes.select(SEQ, "t", *plane, "index", F.col("label").alias("_label"), "side", "crop_0", "crop_1", F.explode(steps).alias("dy")).withColumn("dx", F.explode(steps))
     at = at.withColumns({"y": F.col("crop_0") + F.col("dy"), "x": F.col("crop_1") + F.col("dx")})
-    met = at.join(pixels.select(SEQ, "t", "y", "x", "label", "intensity"), [SEQ, "t", "y", "x"])
+    met = at.join(pixels.select(SEQ, "t", *plane, "y", "x", "label", "intensity"), [SEQ, "t", *plane, "y", "x"])
     return met.select(SEQ, "t", "index", F.col("_label").alias("label"), "side", "dy", "dx", "intensity", (F.col("label") == F.col("_label")).alias("own"))
 
 
@@ -35,6 +37,22 @@ def resized(patch: np.ndarray, size: int) -> np.ndarray:
     return rows[:, low] * (1 - part) + rows[:, high] * part
 
 
+def smoothing(old: int, new: int) -> np.ndarray:
+    """(new, old) weights of a triangle filter about each new pixel's centre, as wide as the step between centres where
+    the image shrinks and two old pixels where it grows; each row sums to 1."""
+    step = old / new
+    wide = max(step, 1.0)
+    away = np.abs(np.arange(old) + 0.5 - ((np.arange(new) + 0.5) * step)[:, None])
+    weights = np.maximum(0.0, 1 - away / wide)
+    return weights / weights.sum(1, keepdims=True)
+
+
+def smoothed(patch: np.ndarray, size: int) -> np.ndarray:
+    """Resized to a square of the given side; a patch that shrinks is smoothed, so that no pixel is passed over."""
+    weights = smoothing(len(patch), size)
+    return weights @ patch @ weights.T
+
+
 def nearest(mask: np.ndarray, size: int) -> np.ndarray:
     at = (np.arange(size) * len(mask)) // size
     return mask[at][:, at]
@@ -89,13 +107,18 @@ def patch_weights(mask: np.ndarray, gamma: float | None, patch: int) -> np.ndarr
     return whole[: n * patch, : n * patch].reshape(n, patch, n, patch).mean((1, 3)).ravel()
 
 
-def crops(pixels: DataFrame, boxes: DataFrame, size: int, pad: str = "constant", gamma: float | None = None, patch: int | None = None) -> DataFrame:
+#: What fills a crop outside its frame: zeros, the nearest pixel, the mirrored frame without and with its rim, the frame again.
+PADS = ("constant", "edge", "reflect", "symmetric", "wrap")
+
+
+def crops(pixels: DataFrame, boxes: DataFrame, size: int, pad: str = "constant", gamma: float | None = None, patch: int | None = None, smooth: bool = False) -> DataFrame:
     """(sequence_id, t, index, patch, mask or weights): every box resized to size * size.
 
-    What lies outside the frame is 0, or with pad edge the nearest pixel that is there. Boxes without a side or without
-    any pixel give no row. With ``patch`` the weights of squares of that side stand for the mask. At most CELLS objects
-    are held together, those of one frame and hash. N2, N3."""
-    if pad not in ("constant", "edge"):
+    What lies outside the frame is filled as ``pad`` says (PADS) from the pixels of the crop that are there, the mask
+    with nothing. Images are resized by linear interpolation, with ``smooth`` through a filter when they shrink, masks by
+    the nearest pixel. Boxes without a side or without any pixel give no row. With ``patch`` the weights of squares of
+    that side stand for the mask. At most CELLS objects are held together, those of one frame and hash. N2, N3."""
+    if pad not in PADS:
         raise ValueError(f"unknown padding {pad!r}")
     named = F.struct("dy", "dx", "intensity", "own")
     rows = crop_pixels(pixels, boxes.where("side > 0")).groupBy(SEQ, "t", "index", "side").agg(F.collect_list(named).alias("cells"))
@@ -108,13 +131,12 @@ def crops(pixels: DataFrame, boxes: DataFrame, size: int, pad: str = "constant",
                     image, mask, there = np.zeros((row.side, row.side)), np.zeros((row.side, row.side), bool), np.zeros((row.side, row.side), bool)
                     for c in row.cells:
                         image[c["dy"], c["dx"]], mask[c["dy"], c["dx"]], there[c["dy"], c["dx"]] = c["intensity"] or 0.0, bool(c["own"]), True
-                    if pad == "edge":
-                        ys, xs = np.flatnonzero(there.any(1)), np.flatnonzero(there.any(0))
-                        grid = np.clip(np.arange(row.side), ys[0], ys[-1]), np.clip(np.arange(row.side), xs[0], xs[-1])
-                        image = image[np.ix_(*grid)]
+                    if pad != "constant":
+                        ends = [(k[0], k[-1] + 1) for k in (np.flatnonzero(there.any(1)), np.flatnonzero(there.any(0)))]
+                        image = np.pad(image[slice(*ends[0]), slice(*ends[1])], [(a, row.side - b) for a, b in ends], mode=pad)
                     small = nearest(mask, size)
                     kept = patch_weights(small, gamma, patch) if patch else small.ravel().astype(np.float64)
-                    out.append((getattr(row, SEQ), row.t, row.index_, resized(image, size).ravel().tolist(), kept.tolist()))
+                    out.append((getattr(row, SEQ), row.t, row.index_, (smoothed if smooth else resized)(image, size).ravel().tolist(), kept.tolist()))
                 yield pd.DataFrame(out, columns=[SEQ, "t", "index", "patch", "weights" if patch else "mask"])
 
     given = rows.withColumnRenamed("index", "index_").withColumn("side", F.col("side").cast("int"))

@@ -148,6 +148,60 @@ def crop_boxes(nodes: DataFrame, size: float, height: int, width: int) -> DataFr
     return given.withColumns({"crop_2": F.col("crop_0") + int(size), "crop_3": F.col("crop_1") + int(size)})
 
 
+#: Ways to choose the side of a crop; all but the first two need a plane, volumes take the box in the plane instead.
+BOX_MODES = ("fixed", "bbox", "axis_major_length", "len_init", "median_size")
+
+
+def sized_boxes(nodes: DataFrame, frame: tuple[int, int], mode: str = "bbox", scale: float = 1.0, side: int | None = None, shift: bool = True, centre: str = "center", spacing: tuple[float, ...] | None = None) -> DataFrame:
+    """The nodes with side, crop_0 .. crop_3 (square, in pixels), src_ and dst_0 .. 3 (its part within the frame, and where
+    that lies in the crop), padded (whether it runs past the frame), and z where the nodes have three axes. N1.
+
+    Modes: a side for all; the larger side of the bounding box, about that box's middle; the node's own length; the
+    median length of its sequence, exact and without a buffer; each times ``scale``, cut to whole pixels, lengths
+    divided by the mean spacing in the plane. With ``shift`` a box is moved inside its frame; one larger than the frame
+    then starts before it. A node without position or size gets nulls."""
+    if mode not in BOX_MODES:
+        raise ValueError(f"unknown mode {mode!r}; there are {BOX_MODES}")
+    if mode == "fixed" and side is None:
+        raise ValueError("mode fixed needs a side")
+    n = sum(f"{centre}_{i}" in nodes.columns for i in range(3))
+    if n < 2:
+        raise ValueError(f"no columns {centre}_0, {centre}_1; there are {sorted(nodes.columns)}")
+    volume = n == 3
+    at = lambda i: F.col(f"{centre}_{i}_px" if f"{centre}_{i}_px" in nodes.columns else f"{centre}_{i}").cast("int")
+    first = [f"bbox_{i}" for i in range(n)][-2:]
+    last = [f"bbox_{n + i}" for i in range(n)][-2:]
+    in_plane = mode == "bbox" or (volume and mode != "fixed")
+    require(nodes.columns, [*(first + last if in_plane else []), *([mode] if mode in ("axis_major_length", "len_init") and not volume else [])])
+    unit = sum(spacing[-2:]) / 2 if spacing else 1.0
+    given = nodes
+    if mode == "fixed":
+        size = F.lit(side)
+    elif in_plane:
+        size = F.greatest(*(F.col(b) - F.col(a) for a, b in zip(first, last, strict=True))) * F.lit(float(scale))
+    elif mode == "median_size":
+        median = quantiles(nodes, "axis_major_length", [0.5], [SEQ]).select(F.col(SEQ).alias("_seq"), F.element_at("q", 1).alias("_median"))
+        given = nodes.join(median, F.col(SEQ).eqNullSafe(F.col("_seq")), "left").drop("_seq")
+        size = F.col("_median") / unit * F.lit(float(scale))
+    else:
+        size = F.col(mode) / unit * F.lit(float(scale))
+    given = given.withColumn("side", size.cast("int"))
+    half = F.floor(F.col("side") / 2)
+    low = []
+    for i, most in enumerate(frame):
+        middle = F.floor((F.col(first[i]) + F.col(last[i])) / 2) if mode == "bbox" else at(n - 2 + i)
+        ideal = middle - half
+        # Neither least nor greatest gives null for a null among its arguments.
+        moved = F.least(F.greatest(ideal, F.lit(0)), F.lit(most) - F.col("side")) if shift else ideal
+        low.append(F.when(ideal.isNotNull(), moved).cast("int"))
+    given = given.withColumns({"crop_0": low[0], "crop_1": low[1]}).withColumns({"crop_2": F.col("crop_0") + F.col("side"), "crop_3": F.col("crop_1") + F.col("side")})
+    within = lambda c, most: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0)), F.lit(most)))
+    given = given.withColumns({f"src_{i}": within(f"crop_{i}", frame[i % 2]) for i in range(4)})
+    given = given.withColumns({f"dst_{i}": F.col(f"src_{i}") - F.col(f"crop_{i % 2}") for i in range(4)})
+    given = given.withColumn("padded", (F.col("src_2") - F.col("src_0") != F.col("side")) | (F.col("src_3") - F.col("src_1") != F.col("side")))
+    return (given.withColumn("z", at(0)) if volume else given).drop("_median")
+
+
 def percentile_scale(df: DataFrame, value: str = "intensity", low: float = 0.0005, high: float = 0.9995) -> DataFrame:
     """The value between two exact percentiles of its sequence, clipped to [0, 1]. S15, S17."""
     p = quantiles(df, value, [low, high], [SEQ]).select(SEQ, F.col("q").alias("_p"))

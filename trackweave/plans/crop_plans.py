@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackweave.operators import chain, correction, crops
-from trackweave.operators.nodes import uses_intensity
+from trackweave.operators.nodes import sized_boxes, uses_intensity
 from trackweave.operators.pixels import region_properties
 from trackweave.plans.ddb import r, sql
 from trackweave.plans.registry import plan
@@ -37,6 +37,52 @@ def _n2_resized(spark, d):
     return out.select("sequence_id", "t", "index", F.posexplode("patch").alias("k", "v")).select("sequence_id", "t", "index", "k", (F.round("v", 6) + 0.0).alias("value"))
 
 
+#: Added before rounding: sums that end in half a unit come out alike in whichever order they were summed.
+HAIR = 1e-9
+SMOOTH = f"weights AS (SELECT i.range AS i, j.range AS j, greatest(0, 1 - abs(j.range + 0.5 - (i.range + 0.5) * 2) / 2) / sum(greatest(0, 1 - abs(j.range + 0.5 - (i.range + 0.5) * 2) / 2)) OVER (PARTITION BY i.range) AS w FROM range(0, {SIDE // 2}) i, range(0, {SIDE}) j)"
+
+
+@plan("n2_smooth_crops", sql(f"+{BOXES}, {SMOOTH} SELECT m.sequence_id, m.t, m.index, CAST(a.i * {SIDE // 2} + b.i AS INTEGER) AS k, {r(f'sum(coalesce(m.intensity, 0) * a.w * b.w) + {HAIR}', 'value')} FROM met m JOIN weights a ON a.j = m.dy JOIN weights b ON b.j = m.dx GROUP BY ALL", "pixels"))
+def _n2_smooth(spark, d):
+    out = crops.crops(a.pixels(spark, d), _boxes(spark, d), SIDE // 2, smooth=True)
+    return out.select("sequence_id", "t", "index", F.posexplode("patch").alias("k", "v")).select("sequence_id", "t", "index", "k", (F.round(F.col("v") + HAIR, 6) + 0.0).alias("value"))
+
+
+#: Frame and scale of the boxes by mode.
+FRAME, SCALE = (512, 100), 1.5
+GIVEN = ["crop_0", "crop_1", "crop_2", "crop_3", "src_0", "src_1", "src_2", "src_3", "dst_0", "dst_1", "dst_2", "dst_3"]
+
+
+def _boxes_sql(size, middles, given, shift, keys="sequence_id, index"):
+    """SQL of boxes by mode: the side, the two middles, and the rows they stand in."""
+    ideal = [f"m{i} - side // 2" for i in (0, 1)]
+    low = [f"least(greatest({e}, 0), {m} - side)" if shift else e for e, m in zip(ideal, FRAME, strict=True)]
+    inside = lambda e, i: f"least(greatest({e}, 0), {FRAME[i]})"
+    ends = ["c0", "c1", "c0 + side", "c1 + side"]
+    cols = [f"CAST({e} AS INTEGER) AS crop_{k}" for k, e in enumerate(ends)] + [f"CAST({inside(e, k % 2)} AS INTEGER) AS src_{k}" for k, e in enumerate(ends)] + [f"CAST({inside(e, k % 2)} - {ends[k % 2]} AS INTEGER) AS dst_{k}" for k, e in enumerate(ends)]
+    padded = f"({inside('c0 + side', 0)} - {inside('c0', 0)} <> side OR {inside('c1 + side', 1)} - {inside('c1', 1)} <> side) AS padded"
+    return f"+sized AS (SELECT {keys}, CAST(trunc({size}) AS BIGINT) AS side, CAST({middles[0]} AS BIGINT) AS m0, CAST({middles[1]} AS BIGINT) AS m1 FROM {given}), low AS (SELECT *, {low[0]} AS c0, {low[1]} AS c1 FROM sized) SELECT {keys}, CAST(side AS INTEGER) AS side, {', '.join(cols)}, {padded} FROM low"
+
+
+TRUNC = ["trunc(center_0)", "trunc(center_1)"]
+
+
+@plan("n1_boxes_by_bbox", sql(_boxes_sql(f"greatest(b2 - b0, b3 - b1) * {SCALE}", ["(b0 + b2) // 2", "(b1 + b3) // 2"], "(SELECT sequence_id, t, label, min(y) AS b0, min(x) AS b1, max(y) + 1 AS b2, max(x) + 1 AS b3 FROM pixels WHERE label <> 0 GROUP BY ALL)", True, "sequence_id, t, label"), "pixels"))
+def _n1_bbox(spark, d):
+    own = region_properties(a.pixels(spark, d)).withColumns({f"center_{i}": F.col(f"centroid_{i}") for i in (0, 1)})
+    return sized_boxes(own, FRAME, "bbox", SCALE).select("sequence_id", "t", "label", "side", *GIVEN, "padded")
+
+
+@plan("n1_boxes_by_length", sql(_boxes_sql(f"axis_major_length * {SCALE}", TRUNC, "nodes", False), "nodes"))
+def _n1_length(spark, d):
+    return sized_boxes(a.nodes(spark, d), FRAME, "axis_major_length", SCALE, shift=False).select("sequence_id", "index", "side", *GIVEN, "padded")
+
+
+@plan("n1_boxes_by_median", sql(_boxes_sql(f"median * {SCALE}", TRUNC, "(SELECT *, quantile_cont(axis_major_length, 0.5) OVER (PARTITION BY sequence_id) AS median FROM nodes)", True), "nodes"))
+def _n1_median(spark, d):
+    return sized_boxes(a.nodes(spark, d), FRAME, "median_size", SCALE).select("sequence_id", "index", "side", *GIVEN, "padded")
+
+
 @plan("n3_patch_weights", sql(f"+{BOXES} SELECT m.sequence_id, m.t, m.index, CAST(k.range AS INTEGER) AS k, {r('count(*) FILTER (WHERE own AND dy // 4 = k.range // 2 AND dx // 4 = k.range % 2) / 16', 'weight')} FROM met m, range(0, 4) k GROUP BY ALL", "pixels"))
 def _n3(spark, d):
     out = crops.crops(a.pixels(spark, d), _boxes(spark, d), SIDE, patch=SIDE // 2)
