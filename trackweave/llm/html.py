@@ -11,9 +11,10 @@ is its tree and hashes, never a host's pages together.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from itertools import islice
 
@@ -65,7 +66,7 @@ SHARE, LEAST_PAGES, PART = 0.8, 3, 0.3
 REFERENCES, ENOUGH_NODES = 3, 60
 #: Shapes of trees, and a thousand for each reference, that a task keeps from page to page.
 KNOWN_SHAPES = 300_000
-#: Cells of an alignment table; longer lists of children are cut at children that are equal in both.
+#: Cells of an alignment table that are kept at once; larger tables are made in blocks of rows, with the same result.
 CELLS = 1_000_000
 
 
@@ -270,13 +271,43 @@ class _Tree:
                 self.text[node] = hash((texts.get(node, 0), *(self.text[k] for k in kids))) or 1
 
 
-def _table(weights: np.ndarray) -> np.ndarray:
-    """Best sums of weights of matches in order, for every pair of beginnings."""
-    rows = np.zeros((weights.shape[0] + 1, weights.shape[1] + 1), np.int32)
-    for i, w in enumerate(weights):
-        above = rows[i]
-        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=rows[i + 1, 1:])
-    return rows
+def _table(weights: Iterable[np.ndarray], first: np.ndarray) -> Iterator[np.ndarray]:
+    """Best sums of weights of matches in order, for every pair of beginnings: a row for each row of weights, ``first``
+    before them."""
+    row = first
+    yield row
+    for w in weights:
+        above, row = row, np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + w), out=row[1:])
+        yield row
+
+
+def _matches(row: Callable[[int], np.ndarray], height: int, width: int) -> Iterator[tuple[int, int]]:
+    """Places of the pairs of the best matching in order, from the last, by rows of weights.
+
+    Of the table at most about CELLS values, or twice the square root of its rows, are kept: the rows that blocks begin
+    with, from which each block is made again when it is read backwards. The pairs are those of the whole table."""
+    step = max(math.isqrt(height), CELLS // (width + 1))
+    begins = [np.zeros(width + 1, np.int32)]
+    for i, values in enumerate(_table(map(row, range((height - 1) // step * step)), begins[0])):
+        if i and i % step == 0:
+            begins.append(values)
+    i, j = height, width
+    for begin in reversed(begins):
+        base = (i - 1) // step * step
+        table = list(_table(map(row, range(base, i)), begin))
+        while i > base and j:
+            w = row(i - 1)[j - 1]
+            here, above = table[i - base], table[i - base - 1]
+            if w and here[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                yield i, j
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        if not j:
+            return
 
 
 class _Matching:
@@ -308,10 +339,13 @@ class _Matching:
                 more = [p for p in pairs if p not in self.known]
                 if more:
                     waiting.extend(more)
-                elif (len(left) - 1) * (len(right) - 1) > CELLS:  # too long for a table: shapes that both have
-                    self.known[x, y] = 1 + sum(min(left[1:].count(p), right[1:].count(p)) * self.known[p, p] for p in set(left[1:]) & set(right[1:]))
                 else:
-                    self.known[x, y] = 1 + int(_table(np.array([[self.known[p, q] for q in right[1:]] for p in left[1:]], np.int32))[-1, -1])
+                    kinds = {q: n for n, q in enumerate(dict.fromkeys(right[1:]))}
+                    columns = np.array([kinds[q] for q in right[1:]])
+                    rows = {p: np.array([self.known[p, q] for q in kinds], np.int32) for p in set(left[1:])}
+                    for last in _table((rows[p][columns] for p in left[1:]), np.zeros(len(right), np.int32)):
+                        pass
+                    self.known[x, y] = 1 + int(last[-1])
         return self.known[a, b]
 
     def children(self, one: _Tree, other: _Tree, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
@@ -327,62 +361,16 @@ class _Matching:
         left, right = left[i:j], right[i:k]
         if not left or not right:
             return
-        if len(left) * len(right) > CELLS:
-            yield from self._cut(one, other, left, right)
-            return
         kinds = {p: n for n, p in enumerate(dict.fromkeys(other.shape[y] for y in right))}
         columns = np.array([kinds[other.shape[y]] for y in right])
         rows = {p: np.array([self.weight(p, q) for q in kinds], np.int32) for p in {one.shape[x] for x in left}}
         texts = np.array([other.text[y] for y in right], np.int64)
-        weights = np.stack([rows[one.shape[x]][columns] for x in left])
-        for n, x in enumerate(left):
-            weights[n] += (weights[n] > 0) & (texts == one.text[x]) & (texts != 0)
-        table = _table(weights)
-        i, j = len(left), len(right)
-        while i and j:
-            w = weights[i - 1, j - 1]
-            if w and table[i, j] == table[i - 1, j - 1] + w:
-                i, j = i - 1, j - 1
-                yield left[i], right[j]
-            elif table[i, j] == table[i - 1, j]:
-                i -= 1
-            else:
-                j -= 1
 
-    def _cut(self, one: _Tree, other: _Tree, left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
-        """Long lists: children whose texts occur once in each, in increasing order, are matched; then what lies between."""
-        once = lambda tree, nodes: {t: n for n, t in enumerate(tree.text[x] for x in nodes)}
-        count: dict[int, int] = {}
-        for t in [one.text[x] for x in left]:
-            count[t] = count.get(t, 0) + 1
-        for t in [other.text[y] for y in right]:
-            count[t] = count.get(t, 0) + (1 << 32)
-        places = once(other, right)
-        anchors = [(n, places[one.text[x]]) for n, x in enumerate(left) if count[one.text[x]] == (1 << 32) + 1 and one.shape[x] == other.shape[right[places[one.text[x]]]]]
-        # The longest increasing part of the anchors.
-        import bisect
-
-        ends: list[int] = []
-        last: list[int] = []
-        back = [-1] * len(anchors)
-        for n, (_, y) in enumerate(anchors):
-            k = bisect.bisect_left(ends, y)
-            back[n] = last[k - 1] if k else -1
-            ends[k:k + 1], last[k:k + 1] = [y], [n]
-        chain, n = [], last[-1] if last else -1
-        while n >= 0:
-            chain.append(anchors[n])
-            n = back[n]
-        a = b = 0
-        for x, y in [*reversed(chain), (len(left), len(right))]:
-            if x > a and y > b:
-                if (x - a) * (y - b) <= CELLS:
-                    yield from self.children(one, other, left[a:x], right[b:y])
-                else:  # nothing tells them apart but their order
-                    yield from ((p, q) for p, q in zip(left[a:x], right[b:y], strict=False) if self.weight(one.shape[p], other.shape[q]))
-            if x < len(left):
-                yield left[x], right[y]
-            a, b = x + 1, y + 1
+        def row(i: int) -> np.ndarray:
+            w = rows[one.shape[left[i]]][columns]
+            return w + ((w > 0) & (texts == one.text[left[i]]) & (texts != 0))
+
+        yield from ((left[i], right[j]) for i, j in _matches(row, len(left), len(right)))
 
 
 class Reference:
@@ -506,7 +494,7 @@ def main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", html:
     Null or empty html: the empty text. A null or unreadable url: the host with the empty name. Broken or cut markup
     is read as far as it goes; an unclosed tag at the end is dropped. Rows that repeat: a result each. A template needs
     LEAST_PAGES different pages that show it; pages without blocks count nowhere, so empty ones change nothing. Pages
-    of any length are aligned; lists of more than CELLS pairs of children are cut at what is equal in both. Empty
+    of any length are aligned by the one rule, in memory that doesn't grow with pairs of children; their time does. Empty
     table: no rows. Other columns play no part.
     """
     trees = materialize(parsed(pages, ident, url, html), "html-trees")
