@@ -110,6 +110,7 @@ def split_merged_daughters(threshold: float = 0.5, divides: float = 0.5, least_c
     merges follow each other, in the order of time. C5, C7."""
 
     def run(state: State) -> State:
+        state = replace(state, **dict(zip(("tracks", "pixels", "preds"), c.merged_in_joins(state.tracks, state.pixels, state.preds), strict=True)))
         splits = _written(c.merged_daughters(state.tracks, state.pixels, state.preds, threshold, divides, least_coverage, most), "splits")
         names = _written(c.split_names(state.tracks, splits), "split-names")
         splits = _written(c.split_order(splits, names), "splits-made")

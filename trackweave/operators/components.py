@@ -14,15 +14,16 @@ def components(links: DataFrame) -> DataFrame:
     """(sequence_id, index, component): for each end of links (sequence_id, src, dst) the least index it is joined with.
 
     A round takes the least label around a node and then that label's own, so a chain of n needs about log n rounds;
-    each is written. Links of a hot node are reduced to a minimum before they are shuffled."""
+    each is written. Links of a hot node are reduced to a minimum before they are shuffled. Labels are merged in joins: by
+    the size of their compressed files Spark would send millions of them through the driver."""
     both = links.select(SEQ, F.col("src").alias("index"), F.col("dst").alias("other"))
     both = _written(both.union(both.select(SEQ, F.col("other").alias("index"), F.col("index").alias("other"))).distinct(), "links")
-    labels = _written(both.groupBy(SEQ, "index").agg(F.least(F.col("index"), F.min("other")).alias("component")), "labels")
+    labels = _written(both.groupBy(SEQ, "index").agg(F.least(F.col("index"), F.min("other")).alias("component")), "labels").hint("merge")
     while True:
         near = both.join(labels.withColumnRenamed("index", "other"), [SEQ, "other"]).groupBy(SEQ, "index").agg(F.min("component").alias("near"))
         given = labels.join(near, [SEQ, "index"]).select(SEQ, "index", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(SEQ, F.col("index").alias("component"), F.col("component").alias("next"))
         given = _written(given.join(jump, [SEQ, "component"]).select(SEQ, "index", "was", F.least("component", "next").alias("component")), "labels")
-        labels = given.select(SEQ, "index", "component")
+        labels = given.select(SEQ, "index", "component").hint("merge")
         if given.where("component != was").isEmpty():
             return labels

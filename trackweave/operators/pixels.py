@@ -91,7 +91,7 @@ def runs(pixels: DataFrame) -> DataFrame:
 def labelled_runs(pixels: DataFrame) -> DataFrame:
     """The runs with the 8-connected part that each belongs to, part: runs of neighbouring rows that touch are linked and
     linked ones share a component, so a frame of any size is many rows and never one group."""
-    given = _written(runs(pixels).withColumn("index", F.monotonically_increasing_id()), "runs")
+    given = _written(runs(pixels).withColumn("index", F.monotonically_increasing_id()), "runs").hint("merge")
     below = given.select(SEQ, "t", "label", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("index").alias("dst"))
     links = given.join(below, [SEQ, "t", "label", "y"]).where("_x0 <= x1 + 1 and _x1 >= x0 - 1").select(SEQ, F.col("index").alias("src"), "dst")
     return given.join(components(links), [SEQ, "index"], "left").withColumn("part", F.coalesce("component", "index")).select(SEQ, "t", "label", "y", "x0", "x1", "part")
