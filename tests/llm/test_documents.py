@@ -207,6 +207,29 @@ def kept_of(spark, texts):
     return {r.doc_id for r in simhash.near_dedup(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
 
 
+def test_near_dedup_compares_what_simhash_links(spark, monkeypatch):
+    """The pipeline's stage goes by its method: what simhash_groups links is what its first comparison begins with."""
+    rng = random.Random(31)
+    base = words(rng, 300).split()
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in range(0, 300, 10)] + [words(rng, 50) for _ in range(10)]
+    compared, whole = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: (compared.append({(r.a, r.b) for r in pairs.collect()}), whole(pairs, *a))[1])
+    df = table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    simhash.near_dedup(df).count()
+    marked = simhash.fingerprints(df, "doc_id", "text", simhash.BLOCK_SHINGLE)
+    links = {(r.a, r.b) for r in simhash.ball_links(marked).collect()}
+    prints = {r.id: r.f0 % (1 << 64) for r in marked.collect()}
+    assert all(a < b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in links)
+    groups = {i: i for i in prints}
+    for _ in prints:
+        for a, b in links:
+            groups[a] = groups[b] = min(groups[a], groups[b])
+    want = {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()}
+    assert groups == want and len(set(want.values())) < len(want) - 3
+    assert {min([b for a, b in links if a == i] + [a for a, b in links if b == i]) for i in groups if any(i in x for x in links)} <= {x for p in compared[0] & links for x in p}
+    assert {i for x in links for i in x} == {i for x in compared[0] & links for i in x}
+
+
 def test_near_dedup_in_a_crowd(spark):
     """Families of two near copies that share a passage with all others; the least id of a block is a stranger mostly."""
     rng = random.Random(21)

@@ -129,6 +129,17 @@ def simhash_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
 BLOCK_SHINGLE, SHINGLE, LANES, SIMILARITY = 3, 5, 4, 0.8
 
 
+def ball_links(marked: DataFrame) -> DataFrame:
+    """(a, b), a < b: the links of simhash_groups between the texts of ``marked`` (id, f0, ...), by their first lane: every
+    text and the least one of its fingerprint, and the least ones of fingerprints that meet within RADIUS."""
+    own = marked.select("id", F.col("f0").alias("fp"))
+    first = materialize(own.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "near-balls")
+    same = salted_join(own, first.where("n > 1").drop("n"), ["fp"], by=F.col("id")).where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    met = links(first.select("fp")).join(end("a"), "a").join(end("b"), "b")
+    return same.union(met.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes: int = LANES, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label): ids of different texts that links join, and the least id each reaches. A link joins texts whose
     sets of SHINGLE-word shingles have a Jaccard similarity of ``similarity``.
@@ -136,8 +147,9 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     marked: a row for each text, (id, k, t0, t1, n) as _rows_of wants them and its fingerprint, which has 64 * lanes
     bits, in blocks of 32.
 
-    First every text is compared with one that has most blocks in common with it, of those that are the least of a
-    block; so a large group of copies is joined by one comparison for each. What that leaves is found exactly: texts
+    First every text that SimHash links is compared with the least one that it links it to (``ball_links``), any other
+    with one that has most blocks in common with it, of those that are the least of a block; so a large group of copies
+    is joined by one comparison for each. What that leaves is found exactly: texts
     that are similar enough share a shingle among the rarest of both (``rare_shingles``). In rounds, each text that
     shares one with a text of another group meets one partner from another group, that with which it shares most of
     them, and links join groups. When few of a round's pairs are links, the texts of different groups that share a
@@ -149,7 +161,10 @@ def near_groups(docs: DataFrame, marked: DataFrame, ident: str, text: str, lanes
     given = marked.select("id", F.explode(keyed).alias("block"))
     first = given.groupBy("block").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "least")
     shared = salted_join(given, first, ["block"], by=F.col("id")).where("id != least").select("id", F.col("least").alias("other"))
-    tried = _best_partners(shared)
+    linked = ball_links(marked)
+    linked = materialize(linked.select(F.col("a").alias("id"), F.col("b").alias("other")).union(linked.select("b", "a")).groupBy("id").agg(F.min("other").alias("other")), "near-linked")
+    others = _best_partners(shared.join(linked.select("id"), "id", "left_anti"))
+    tried = materialize(linked.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).union(others).distinct(), "near-tried")
     found = materialize(_alike(tried, docs, marked, ident, text, similarity), "near-equal-blocks")
     rare = rare_shingles(docs, marked, ident, text, similarity)
     shared = rare.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
