@@ -250,6 +250,23 @@ def test_shapes(spark):
     assert got[9].solidity < 0.6 and (got[9].center_local_0 >= 17 or got[9].center_local_1 < 3)  # the middle lies on the object
 
 
+def test_shapes_of_scattered_pixels(spark):
+    """An object's work is its pixels': a box of 10**10 pixels, a square that thinning eats, parts against whole masks."""
+    rng = np.random.default_rng(12)
+    px = [("s", 0, 0, 0, 1), ("s", 0, 100_000, 100_000, 1)] + [("s", 0, y, x, 2) for y in (4, 5) for x in (7, 8)]
+    masks = {label: rng.random((14, 17)) < share for label, share in zip(range(10, 22), [0.05, 0.2, 0.5, 0.8] * 3, strict=True)}
+    px += [("s", 0, y, x, label) for label, m in masks.items() for y, x in np.argwhere(m).tolist()] * 2
+    got = {r.label: r for r in crops.shapes(spark.createDataFrame(px, "sequence_id string, t int, y int, x int, label long")).collect()}
+    assert len(got) == 14 and (got[1].thickness, got[1].septum_width) == (2.0, 2.0) and got[1].solidity < 1e-4
+    assert (got[2].thickness, got[2].solidity) == (2.0, 1.0)
+    for label, m in masks.items():
+        m = m[np.ix_(m.any(1).nonzero()[0].min() + np.arange(np.ptp(m.any(1).nonzero()[0]) + 1), m.any(0).nonzero()[0].min() + np.arange(np.ptp(m.any(0).nonzero()[0]) + 1))]
+        inner = crops.distance_to(np.pad(~m, 1, constant_values=True))[1:-1, 1:-1]
+        cy, cx = crops.axis_midpoint(np.argwhere(crops.thinned(m)))
+        assert (got[label].center_local_0, got[label].center_local_1) == (cy, cx)
+        assert (got[label].thickness, got[label].septum_width) == (2 * inner.max(), 2 * inner[int(cy), int(cx)])
+
+
 def test_registries(spark):
     own = registries.Registry("node property")
 
