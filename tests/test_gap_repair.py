@@ -4,6 +4,7 @@ import random
 import threading
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,28 @@ def test_folded_groups_equal_a_walk_over_the_sequence(spark, seed):
     assert names == 0 and done.tracks.count() == done.tracks.select("index").distinct().count()
 
 
+def test_components_are_folded_one_after_the_other(spark):
+    """Many in a batch, and one that several batches hold, give what each gives by itself."""
+    own = [(c, kind, 10 * c + 1, t, end, y, 3, 0, 0.0, False, False) for c in range(1, 8) for kind, t, end, y in [("gap", 0, 2, 0), *(("pixel", 0, 0, y) for y in range(c))]]
+    names = [gap_repair.SEQ, "component", "kind", "label", "t", "next_t", "y", "x", "other", "score", "lone", "strong"]
+    pdf = pd.DataFrame([("s", *r) for r in own], columns=names)
+    fold = gap_repair._fold_rows(gap_repair.Rules())
+    one = pd.concat(list(fold(iter(g for _, g in pdf.groupby("component"))))).reset_index(drop=True)
+    assert (one["kind"] == "copy").sum() == 7 and (one["kind"] == "pixel").sum() == 28
+    for size in (1, 2, 3, 5, 100):
+        got = pd.concat(list(fold(iter(pdf.iloc[k : k + size] for k in range(0, len(pdf), size))))).reset_index(drop=True)
+        pd.testing.assert_frame_equal(got, one)
+
+
+def test_labels_beyond_what_a_double_holds(spark):
+    stack, rows = single_gap((slice(17, 23), slice(17, 23)))
+    big = 2**53 + 1
+    stack[stack == 2] = big
+    rows[-1] = (2, 1, big, 0, 20, 20)
+    done = chain.close_gaps(resolve=True)(state_of(spark, stack, rows, [(2, 1, 0.9, 0.0)]))
+    assert [(r.label_track, r.cell_source) for r in done.tracks.where("t = 1").collect()] == [(1, "original")]
+
+
 def test_the_detection_gate(spark):
     stack, rows = single_gap()
     rng = np.random.default_rng(0)

@@ -15,6 +15,7 @@ lost under a copy.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
@@ -150,21 +151,51 @@ def fold(gaps: list[dict], scene: Scene, facts: dict[int, dict], answers: dict[t
 FOLDED = "kind string, t int, label long, new long, y int, x int"
 
 
+#: What a row says where its kind has nothing to say: whole numbers stay whole in pandas.
+UNSAID = {"next_t": ("int", 0), "y": ("int", 0), "x": ("int", 0), "other": ("long", 0), "score": ("double", 0.0), "lone": ("boolean", False), "strong": ("boolean", False)}
+
+
+def _folded(pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+    """The rows of fold() for whole components, one behind the other."""
+    ends = (pdf["component"].ne(pdf["component"].shift(-1)) | pdf[SEQ].ne(pdf[SEQ].shift(-1))).to_numpy().nonzero()[0] + 1
+    names = ("kind", "label", "t", "next_t", "y", "x", "other", "score", "lone", "strong")
+    given, sequences, begin, rows = list(zip(*(pdf[k].tolist() for k in names), strict=True)), pdf[SEQ].tolist(), 0, []
+    for end in ends.tolist():
+        scene, gaps, facts, answers = Scene(), [], {}, {}
+        for kind, label, t, next_t, y, x, other, score, lone, strong in given[begin:end]:
+            if kind == "pixel":
+                scene.put(t, ((y, x),), label, log=False)
+            elif kind == "gap":
+                gaps.append({"label": label, "t": t, "next_t": next_t})
+            elif kind == "fact":
+                facts[label] = {"first": t, "last": next_t, "lone": lone, "best": score, "strong": strong}
+            else:
+                answers[label, t, other] = score
+        gaps.sort(key=lambda g: (g["label"], g["t"]))
+        rows += [(*r, None, None, sequences[begin]) for r in fold(gaps, scene, facts, answers, rules)]
+        rows += [("pixel", t, scene.owner[t][y, x], None, y, x, sequences[begin]) for t, y, x in sorted(scene.changed)]
+        begin = end
+    return pd.DataFrame(rows, columns=["kind", "t", "label", "new", "y", "x", SEQ]).astype({"t": "Int32", "label": "Int64", "new": "Int64", "y": "Int32", "x": "Int32"})
+
+
 def _fold_rows(rules: Rules):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        scene = Scene()
-        cells = pdf[pdf["kind"] == "pixel"]
-        for t, label, y, x in zip(*(cells[k].astype("int64").tolist() for k in ("t", "label", "y", "x")), strict=True):
-            scene.put(t, [(y, x)], label, log=False)
-        of = lambda kind: pdf[pdf["kind"] == kind].to_dict("records")
-        whole = lambda r, *names: {k: int(r[k]) for k in names}
-        gaps = sorted((whole(r, "label", "t", "next_t") for r in of("gap")), key=lambda g: (g["label"], g["t"]))
-        facts = {int(r["label"]): {"first": int(r["t"]), "last": int(r["next_t"]), "lone": bool(r["lone"]), "best": float(r["score"]), "strong": bool(r["strong"])} for r in of("fact")}
-        answers = {(int(r["label"]), int(r["t"]), int(r["other"])): float(r["score"]) for r in of("answer")}
-        rows = [(*r, None, None) for r in fold(gaps, scene, facts, answers, rules)]
-        rows += [("pixel", t, scene.owner[t][y, x], None, y, x) for t, y, x in sorted(scene.changed)]
-        out = pd.DataFrame(rows, columns=["kind", "t", "label", "new", "y", "x"])
-        return out.astype({"t": "Int32", "label": "Int64", "new": "Int64", "y": "Int32", "x": "Int32"}).assign(**{SEQ: pdf[SEQ].iloc[0]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # The last component may go on in the next batch.
+            later = (pdf["component"] == pdf["component"].iloc[-1]) & (pdf[SEQ] == pdf[SEQ].iloc[-1])
+            goes_on = bool(held) and held[0]["component"].iloc[0] == pdf["component"].iloc[-1] and held[0][SEQ].iloc[0] == pdf[SEQ].iloc[-1]
+            if goes_on:
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf[~later]])
+            held = [pdf[later]]
+            if len(whole):
+                yield _folded(whole, rules)
+        if held:
+            yield _folded(pd.concat(held), rules)
 
     return run
 
@@ -208,10 +239,11 @@ def contended(state: State, found: DataFrame, rules: Rules) -> DataFrame:
         met = takes.withColumnRenamed("label", "other").join(gaps.select(SEQ, "gap", "label", "t", "next_index"), [SEQ, "gap"])
         answers = met.join(out.select(SEQ, F.col("label").alias("other"), F.col("dst").alias("next_index"), "p1"), [SEQ, "other", "next_index"]).groupBy(SEQ, "gap", "label", "t", "other").agg(F.max("p1").alias("score"))
         rows = rows.unionByName(answers.join(of_gap, [SEQ, "gap"]).select(SEQ, "component", F.lit("answer").alias("kind"), "label", "t", "other", "score"), allowMissingColumns=True)
-    for name, kind in {"lone": "boolean", "strong": "boolean", "score": "double", "other": "long"}.items():
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
-    return rows.groupBy(SEQ, "component").applyInPandas(_fold_rows(rules), f"{FOLDED}, {SEQ} string")
+    said = [F.coalesce(F.col(k) if k in rows.columns else F.lit(None), F.lit(value)).cast(kind).alias(k) for k, (kind, value) in UNSAID.items()]
+    rows = rows.select(SEQ, "component", "kind", "label", "t", *said)
+    # Components may be many and small: a task takes those dealt to it one after the other and holds one at a time.
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), SEQ, "component").sortWithinPartitions(SEQ, "component")
+    return dealt.mapInPandas(_fold_rows(rules), f"{FOLDED}, {SEQ} string")
 
 
 def repaired(state: State, found: DataFrame, rules: Rules, frames: DataFrame | None = None) -> State:
