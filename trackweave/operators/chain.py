@@ -13,6 +13,7 @@ from trackweave.operators import correction as c
 from trackweave.operators import gap_repair
 from trackweave.operators.lineage import _written
 from trackweave.operators.progress import Cancelled, Progress
+from trackweave.storage import NoSharedFolder
 
 SEQ = "sequence_id"
 log = logging.getLogger(__name__)
@@ -20,11 +21,16 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class State:
-    """tracks, pixels by trajectory label, and scored links; every stage returns a new one."""
+    """tracks, pixels by trajectory label, and scored links; every stage returns a new one.
+
+    What the chain as a whole returns says besides what it has not done: uncorrected are (sequence_id, rule, n) of the
+    sequences that kept what was given, failed is the repair that failed and why, after which all kept it."""
 
     tracks: DataFrame
     pixels: DataFrame
     preds: DataFrame
+    uncorrected: DataFrame | None = None
+    failed: str | None = None
 
 
 Stage = Callable[[State], State]
@@ -174,18 +180,20 @@ def default_stages() -> list[Stage]:
 def valid_or_given(given: State, made: State) -> State:
     """Of each sequence what was made of it, if that breaks no rule of a lineage, else what was given. C1, C12."""
     left = _written(c.violations(made.tracks, made.pixels), "violations")
+    broken = left.groupBy(SEQ, "rule").agg(F.count(F.lit(1)).alias("n"))
     bad = left.select(SEQ).distinct()
-    for r in left.groupBy(SEQ, "rule").agg(F.count(F.lit(1)).alias("n")).orderBy(SEQ, "rule").limit(20).collect():
+    for r in broken.orderBy(SEQ, "rule").limit(20).collect():
         log.warning("the repairs of %s break a rule, its tracks stay uncorrected: %s (%d labels)", r[SEQ], r["rule"], r["n"])
     both = lambda new, old: new.join(bad, SEQ, "left_anti").select(*old.columns).unionByName(old.join(bad, SEQ, "left_semi").select(*old.columns))
-    return replace(made, tracks=both(made.tracks, given.tracks), pixels=both(made.pixels, given.pixels))
+    return replace(made, tracks=both(made.tracks, given.tracks), pixels=both(made.pixels, given.pixels), uncorrected=broken)
 
 
-def correct(state: State, stages: list[Stage] | None = None, progress: Progress | None = None) -> State:
+def correct(state: State, stages: list[Stage] | None = None, progress: Progress | None = None, strict: bool = False) -> State:
     """All stages in order; each result is written before the next. Sequences whose result breaks a rule of a lineage
-    keep what was given. If a stage fails, the whole state is what it was before the first, and none of the later ones
-    runs. C1, C15. An error of the cluster itself is not caught. progress: told of each stage; what it cancels ends
-    with Cancelled."""
+    keep what was given; the state names them. If a stage fails, the whole state is what it was before the first, and none
+    of the later ones runs; the state says so, or, if strict, the error is raised. C1, C15. An error of the cluster itself,
+    or of a session without a shared folder, is not caught. progress: told of each stage; what it cancels ends with
+    Cancelled."""
     from pyspark.errors import PySparkException
 
     given, stages = state, stages if stages is not None else default_stages()
@@ -196,11 +204,13 @@ def correct(state: State, stages: list[Stage] | None = None, progress: Progress
             with progress.stage(state.tracks.sparkSession, name, k, len(stages)):
                 made = stage(state)
                 state = replace(made, tracks=_written(made.tracks, "tracks"), pixels=_written(made.pixels, "pixels"))
-        except Cancelled:
+        except (Cancelled, NoSharedFolder):
             raise
         except (PySparkException, ValueError, TypeError, ArithmeticError, LookupError, RuntimeError, AssertionError) as why:
+            if strict:
+                raise
             log.warning("the repair %s failed, the tracks stay uncorrected: %s", name, why)
-            return given
+            return replace(given, failed=f"{name}: {why}")
     return valid_or_given(given, state)
 
 

@@ -38,7 +38,12 @@ def _conflicts(spark, d):
 
 @plan("c1_correction_chain")
 def _c1(spark, d):
-    return chain.correct(_state(spark, d)).tracks.select("sequence_id", "index", "t", "label_track", "parent_track", "cell_source")
+    """The corrected tracks; corrected is false where a sequence's repairs break a rule, so that its rows are the given
+    ones. A repair that fails is an error of the query."""
+    done = chain.correct(_state(spark, d), strict=True)
+    kept = done.uncorrected.select("sequence_id", F.lit(False).alias("corrected")).distinct()
+    rows = done.tracks.join(kept, "sequence_id", "left").withColumn("corrected", F.coalesce("corrected", F.lit(True)))
+    return rows.select("sequence_id", "index", "t", "label_track", "parent_track", "cell_source", "corrected")
 
 
 @plan("c15_failure_isolation", sql("SELECT sequence_id, index, t, label_track FROM tracks WHERE label_track > 0", "tracks"))
@@ -59,16 +64,16 @@ def _sequences(spark, d):
 
 @plan("c1_sequences_corrected", sql("+u AS (SELECT DISTINCT label_track AS l FROM tracks WHERE label_track > 0) SELECT 's' || (l % 8) AS sequence_id, bool_and(l % 2 = 0 OR l + 8 NOT IN (SELECT l FROM u)) AS valid FROM u GROUP BY 1", "tracks"))
 def _c1_sequences(spark, d):
-    """Which sequences break no rule behind the chain; the others have kept what was given."""
+    """Which sequences break no rule behind the chain; the others have kept what was given. A repair that fails is an
+    error of the query."""
     given = _sequences(spark, d)
-    done = chain.correct(given)
-    broken = violations(done.tracks, done.pixels).select("sequence_id").distinct().withColumn("valid", F.lit(False))
+    broken = chain.correct(given, strict=True).uncorrected.select("sequence_id").distinct().withColumn("valid", F.lit(False))
     return given.tracks.select("sequence_id").distinct().join(broken, "sequence_id", "left").select("sequence_id", F.coalesce("valid", F.lit(True)).alias("valid"))
 
 
 @plan("c1_violations_left")
 def _left(spark, d):
-    done = chain.correct(_sequences(spark, d))
+    done = chain.correct(_sequences(spark, d), strict=True)
     return violations(done.tracks, done.pixels)
 
 
